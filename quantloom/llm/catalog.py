@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
+from quantloom.llm.host_rules import op6_host_rules
 from quantloom.llm.sharding import op4_sampled_splitters
 
 QUERIES = {
     "op4_sampled_splitters": op4_sampled_splitters,
+    "op5_benchmark_windows": op5_benchmark_windows,
+    "op6_host_rules": op6_host_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_benchmark_windows": OP5_SQL,
+}
