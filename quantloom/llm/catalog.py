@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
 from quantloom.llm.host_rules import op6_host_rules
+from quantloom.llm.minmax import op8_minmax_dedup
+from quantloom.llm.mixing import op9_temperature_mix
 from quantloom.llm.sharding import op4_sampled_splitters
 
 QUERIES = {
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_benchmark_windows": op5_benchmark_windows,
     "op6_host_rules": op6_host_rules,
+    "op8_minmax_dedup": op8_minmax_dedup,
+    "op9_temperature_mix": op9_temperature_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {
