@@ -8,10 +8,11 @@ pair is a link only if the full shingle sets confirm it.
 Work grows with the texts, not with the squares of groups:
 
 * texts with equal shingle sets are one node (their class);
-* in each round every node is compared with one hub of each of its buckets, and only in
+* in a hub round every node is compared with one hub of each of its buckets, and only in
   buckets that still hold nodes of different components;
-* what the rounds leave - pairs of one bucket in different components, that no round has
-  compared - is compared in full.
+* what the rounds leave is compared in full: in each bucket the nodes outside its largest
+  component against all of its nodes, in blocks of bounded size that are compared as a
+  whole by matrix products and return nothing but links.
 
 So every pair of nodes that share a bucket is either compared or already in one component.
 Two texts at the threshold share no bucket with a chance of (1 - threshold ** (2 *
@@ -113,18 +114,20 @@ def signatures(docs: DataFrame, size: int = 5, bands: int = 48, permutations: in
     return docs.select("doc_id", "text").mapInArrow(_signer(size, bands, permutations, seed), schema)
 
 
-def _confirmer(size: int, percent: int):
-    """A mapInArrow function: a, b, text_a, text_b -> a, b, for the pairs at or above the threshold."""
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    for start, end, body, offsets in bytewords.slices(column):
+        values, begins = distinct_shingles(*shingles(bytewords.Words(body, offsets), size), end - start)
+        yield from (values[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True))
+
 
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for start, end, body, offsets in bytewords.slices(column):
-            values, begins = distinct_shingles(*shingles(bytewords.Words(body, offsets), size), end - start)
-            yield from (values[x:y] for x, y in zip(begins[:-1], begins[1:], strict=True))
+def _confirmer(size: int, percent: int):
+    """A mapInArrow function: a, b, text_a, text_b -> a, b, linked."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(sets(batch.column("text_a")), sets(batch.column("text_b")), strict=True)):
+            for i, (x, y) in enumerate(zip(_sets(batch.column("text_a"), size), _sets(batch.column("text_b"), size), strict=True)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 union = len(x) + len(y) - both
                 linked[i] = union > 0 and 100 * both >= percent * union
@@ -133,6 +136,44 @@ def _confirmer(size: int, percent: int):
     return confirm
 
 
+def _block_comparer(size: int, percent: int, slab: int = 4096):
+    """An applyInArrow function: the nodes of a block (node, outer, text) -> its links (a, b).
+
+    Every node with outer set is compared with every node that has it not set.
+    Intersections are counted by products of 0/1 matrices, a slab of shingles at a time.
+    """
+
+    def compare(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, outer = block.column("node"), block.column("outer").to_numpy(zero_copy_only=False)
+        sets = list(_sets(block.column("text").combine_chunks(), size))
+        n = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), n)
+        _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(code, kind="stable")
+        order = order[times[code[order]] > 1]  # a shingle of one node is in no intersection
+        code, row = code[order], row[order]
+        new = np.concatenate([[0], np.cumsum(np.diff(code) != 0)]) if len(code) else code
+        one, two = np.flatnonzero(outer), np.flatnonzero(~outer)
+        place = np.zeros(len(sets), dtype=np.int64)
+        place[one], place[two] = np.arange(len(one)), np.arange(len(two))
+        both = np.zeros((len(one), len(two)), dtype=np.float32)
+        for low in range(0, int(new[-1]) + 1 if len(new) else 0, slab):
+            a, b = np.searchsorted(new, [low, low + slab])
+            columns, rows = new[a:b] - low, row[a:b]
+            parts = []
+            for mask, count in ((outer[rows], len(one)), (~outer[rows], len(two))):
+                m = np.zeros((count, slab), dtype=np.float32)
+                m[place[rows[mask]], columns[mask]] = 1
+                parts.append(m)
+            both += parts[0] @ parts[1].T
+        union = n[one][:, None] + n[two][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union) & (union > 0))
+        return pa.table({"a": node.take(pa.array(one[i])), "b": node.take(pa.array(two[j]))}).select(["a", "b"])
+
+    return compare
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node and component (the least node that it is connected with) for the nodes of `edges` (a, b).
 
@@ -158,6 +199,20 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         before = state
 
 
+def _compare_blocks(current: DataFrame, texts: DataFrame, kind: str, size: int, percent: int, block: int) -> DataFrame:
+    """The links (a, b) between the nodes outside the largest component of each bucket and all of its nodes."""
+    outside = F.col("all") - F.col("main.k")
+    parts = current.withColumns({"p": F.ceil(outside / block).cast("int"), "q": F.ceil(F.col("all") / (2 * block)).cast("int")})
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = parts.where(F.col("component") != F.col("main.component")).select("bucket", "node", F.lit(True).alias("outer"), deal("p").alias("i"), every("q").alias("j"))
+    inner = parts.select("bucket", "node", F.lit(False).alias("outer"), deal("q").alias("j"), every("p").alias("i"))
+    rows = outer.unionByName(inner).join(texts, "node")
+    blocks = rows.groupBy("bucket", "i", "j")
+    links = blocks.applyInArrow(_block_comparer(size, percent), f"a {kind}, b {kind}").where("a <> b")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link(
     docs: DataFrame,
     size: int = 5,
@@ -165,7 +220,8 @@ def link(
     bands: int = 48,
     permutations: int = 3,
     rounds: int = 3,
-    few_pairs: int = 200_000,
+    few_pairs: int = 20_000_000,
+    block: int = 512,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text).
 
@@ -173,7 +229,7 @@ def link(
     (`size` words after A-Z lower-casing; a text of fewer words is one shingle).
     component_id: the least doc_id reachable over links; kept: doc_id = component_id.
     rounds: hub rounds at most; they end when no more than `few_pairs` pairs are left for the
-    full comparison.
+    full comparison, which is done in blocks of about `block` by 2 * `block` nodes.
 
     Null and empty texts have no shingles and no links.  Rows with one id are one document:
     they share the component of all their texts.  A row with a null id links nothing and is kept,
@@ -208,36 +264,40 @@ def link(
             return members.withColumn("component", F.col("node"))
         return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    def open_buckets(of: DataFrame) -> DataFrame:
-        """The members of buckets with more than one component; settled."""
+    def open_buckets(of: DataFrame, name: str) -> DataFrame:
+        """The members of buckets with more than one component, with the bucket's size, open pairs, and largest component."""
         sizes = of.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-        several = sizes.groupBy("bucket").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares")).where("all * all > squares")
-        return settle(of.join(several.withColumn("pairs", (F.col("all") * F.col("all") - F.col("squares")) / 2), "bucket"), "open-buckets")
+        several = sizes.groupBy("bucket").agg(
+            F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "component")).alias("main")
+        )
+        several = several.where("all * all > squares").select("bucket", "all", "main", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"))
+        return settle(of.join(several, "bucket"), name)
 
     links = tried = found = None
     for turn in range(rounds + 1):
-        current = open_buckets(labelled(found))
+        current = open_buckets(labelled(found), f"open-{turn}")
+        if turn:  # a bucket of two has had its one comparison
+            current = current.where(F.col("all") > 2)
         left = current.select("bucket", "pairs").distinct().agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
         if not left:
             break
-        if turn == rounds or left <= few_pairs:
-            x = current.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = current.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close(F.col("n_a"), F.col("n_b")))
+        full = turn == rounds or (turn > 0 and left <= few_pairs)
+        if full:
+            new = _compare_blocks(current, texts, docs.schema["doc_id"].dataType.simpleString(), size, percent, block)
+            new = settle(new, "block-links")
         else:
             # The first round's hub is the least node; later ones differ by bucket and round.
             rank = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
             hub = current.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("hub"))
             pairs = current.join(hub, "bucket").where((F.col("component") != F.col("hub.component")) & close(F.col("n"), F.col("hub.n")))
-            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        result = confirmed(pairs, f"compared-{turn}")
-        tried = result.select("a", "b") if tried is None else tried.union(result.select("a", "b"))
-        new = result.where("linked").select("a", "b")
+            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            result = confirmed(pairs, f"compared-{turn}")
+            tried = result.select("a", "b") if tried is None else tried.union(result.select("a", "b"))
+            new = result.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
-        if turn == rounds or left <= few_pairs:
+        if full:
             break
         found = components(links, f"links-{turn}")
     every = components(copies if links is None else copies.union(links), "all-links")
