@@ -6,10 +6,12 @@ from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
 from quantloom.llm.host_rules import op6_host_rules
 from quantloom.llm.minmax import op8_minmax_dedup
 from quantloom.llm.mixing import op9_temperature_mix
+from quantloom.llm.pii import op2_boosted_pii
 from quantloom.llm.sharding import op4_sampled_splitters
 from quantloom.llm.toxicity import op3_ftrl_toxicity
 
 QUERIES = {
+    "op2_boosted_pii": op2_boosted_pii,
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_benchmark_windows": op5_benchmark_windows,

@@ -102,17 +102,19 @@ def ftrl(rows: list[tuple[np.ndarray, int]], importance: tuple[float, float], ep
     return Model(used[keep], final[keep], float(weights(z[-1:], n[-1:], 0.0)[0]), skips)
 
 
-def train(labelled: DataFrame, most: tuple[int, int] = (5000, 3000), skips: int = 2) -> Model:
-    """The model of `labelled` (doc_id, text, y: 0 or 1; rows with a null y are left out).
+def train(docs: DataFrame, known: DataFrame, most: tuple[int, int] = (5000, 3000), skips: int = 2) -> Model:
+    """The model of `docs` (doc_id, text) and `known` (doc_id, y: 0 or 1; other values are left out).
 
-    most: rows taken of label 0 and of label 1, chosen by a hash of the id; rows of a label
-    that has more are weighted up to stand for all of its rows.  Without any rows of one of the labels
-    the model has no weights.
+    most: labels of 0 and of 1 taken, chosen by a hash of the id, so that about that many
+    ids are broadcast and that many texts' features reach the driver; rows of a label that
+    has more are weighted up to stand for all of its rows.  Without any rows of one of the
+    labels the model has no weights.
     """
-    labelled = labelled.where(F.col("y").isin(0, 1))
-    count = {r[0]: r[1] for r in labelled.groupBy("y").count().collect()}
+    known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    count = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     chance = F.when(F.col("y") == 1, min(1.0, most[1] / max(count.get(1, 0), 1))).otherwise(min(1.0, most[0] / max(count.get(0, 0), 1)))
-    chosen = labelled.where(unit(F.col("doc_id"), F.lit("toxicity")) < chance).select("text", F.col("y").cast("int").alias("y"))
+    picked = known.where(unit(F.col("doc_id"), F.lit("toxicity")) < chance).select("doc_id", F.col("y").cast("int").alias("y"))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")
     got = chosen.mapInArrow(_gather(skips), "codes binary, y int").toArrow()
     rows = [(np.frombuffer(c.as_py(), dtype=np.int32), y.as_py()) for c, y in zip(got["codes"], got["y"], strict=True)]
     here = [sum(y == k for _, y in rows) for k in (0, 1)]
@@ -152,14 +154,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_scorer(model), f"doc_id {kind}, score double")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and y (`toxic`) of the labelled documents that may be learnt from: crc32(doc_id) mod 4 is not 2.
+def learnable(labels: DataFrame) -> DataFrame:
+    """doc_id and y (`toxic`) of the labels that may be learnt from: crc32(doc_id) mod 4 is not 2.
 
     A document with several labels counts as toxic if any label says so.
     """
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    known = known.where(remainder("doc_id", 4) != 2)
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return known.where(remainder("doc_id", 4) != 2)
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -179,7 +180,7 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataF
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(labelled_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(docs, learnable(table(spark, sf_dir, "labels")))
     scored = score(docs, model)
     return scored.select(
         "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
