@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
 from quantloom.llm.host_rules import op6_host_rules
+from quantloom.llm.kneser_ney import op10_kneser_ney
 from quantloom.llm.minmax import op8_minmax_dedup
 from quantloom.llm.mixing import op9_temperature_mix
 from quantloom.llm.pii import op2_boosted_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_host_rules": op6_host_rules,
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_temperature_mix": op9_temperature_mix,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLE_SQL: dict[str, str] = {
