@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from quantloom.llm.bigru import op7_bigru_language
 from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
 from quantloom.llm.host_rules import op6_host_rules
 from quantloom.llm.kneser_ney import op10_kneser_ney
 from quantloom.llm.minmax import op8_minmax_dedup
 from quantloom.llm.mixing import op9_temperature_mix
 from quantloom.llm.pii import op2_boosted_pii
+from quantloom.llm.secrets import op1_secret_forest
 from quantloom.llm.sharding import op4_sampled_splitters
 from quantloom.llm.toxicity import op3_ftrl_toxicity
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
     "op2_boosted_pii": op2_boosted_pii,
     "op3_ftrl_toxicity": op3_ftrl_toxicity,
     "op4_sampled_splitters": op4_sampled_splitters,
     "op5_benchmark_windows": op5_benchmark_windows,
     "op6_host_rules": op6_host_rules,
+    "op7_bigru_language": op7_bigru_language,
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_kneser_ney": op10_kneser_ney,
