@@ -19,45 +19,49 @@ from quantloom.llm.shared import settle, table
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: The columns that the operators here add; columns of the input with these names are replaced.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Columns that `with_measures` adds, from the text alone (null: as empty)."""
     text = F.coalesce(text, F.lit(""))
     return {
-        "_words": F.filter(F.split(text, _SPACE), lambda w: w != ""),
-        "_n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        "__hr_words": F.filter(F.split(text, _SPACE), lambda w: w != ""),
+        "__hr_n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "__hr_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     }
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     raw = docs.withColumns(measures(F.col(text)))
-    at = F.when(F.size("_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
+    at = F.when(F.size("__hr_words") >= 3, F.sequence(F.lit(0), F.size("__hr_words") - 3)).otherwise(F.array().cast("array<int>"))
     windows = raw.withColumns(
         {
-            "_chars": F.aggregate("_words", F.lit(0), lambda n, w: n + F.length(w)),
-            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
+            "__hr_chars": F.aggregate("__hr_words", F.lit(0), lambda n, w: n + F.length(w)),
+            "__hr_hashes": F.transform("__hr_words", lambda w: F.xxhash64(w)),
         }
-    ).withColumn("_windows", F.transform(at, lambda i: F.xxhash64(F.get("_hashes", i), F.get("_hashes", i + 1), F.get("_hashes", i + 2))))
+    ).withColumn("__hr_windows", F.transform(at, lambda i: F.xxhash64(F.get("__hr_hashes", i), F.get("__hr_hashes", i + 1), F.get("__hr_hashes", i + 2))))
     # Equal windows stand side by side once sorted; each then knows from its neighbours if it is repeated.
     ordered = windows.withColumn(
-        "_sorted",
+        "__hr_sorted",
         F.when(
-            F.size(F.array_distinct("_windows")) < F.size("_windows"),
-            F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.size(F.array_distinct("__hr_windows")) < F.size("__hr_windows"),
+            F.sort_array(F.transform("__hr_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
     )
     repeated = F.filter(
-        "_sorted", lambda x, k: (F.get("_sorted", k - 1)["h"] == x["h"]) | (F.get("_sorted", k + 1)["h"] == x["h"])
+        "__hr_sorted", lambda x, k: (F.get("__hr_sorted", k - 1)["h"] == x["h"]) | (F.get("__hr_sorted", k + 1)["h"] == x["h"])
     )
     places = F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return ordered.select(
-        *[c for c in docs.columns if c != text],
-        F.size("_words").cast("long").alias("n_words"),
-        F.col("_chars").cast("long").alias("word_chars"),
-        F.col("_n_symbols").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_sorted").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_repeat_words"),
+        *[c for c in docs.columns if c != text and c not in ADDED],
+        F.size("__hr_words").cast("long").alias("n_words"),
+        F.col("__hr_chars").cast("long").alias("word_chars"),
+        F.col("__hr_n_symbols").alias("n_symbols"),
+        (F.size("__hr_lines") - F.size(F.array_distinct("__hr_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("__hr_sorted").isNull(), 0).otherwise(F.size(places)).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -74,26 +78,26 @@ def rules() -> dict[str, Column]:
 
 
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
-    """A row a host: _host, _docs, and shrunk_<rule> for each rule.
+    """A row a host: __hr_host, __hr_docs, and shrunk_<rule> for each rule.
 
     Rows are pre-aggregated before the shuffle, so a host with most rows costs no more than
     others.  With fewer than two hosts, or equal rates, a rule's prior has the weight of one
     document.
     """
     failed = {k: F.sum(F.when(v, 1).otherwise(0)).alias(f"failed_{k}") for k, v in rules().items()}
-    hosts = settle(measured.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_docs"), *failed.values()), "hosts")
+    hosts = settle(measured.groupBy(F.col(host).alias("__hr_host")).agg(F.count("*").alias("__hr_docs"), *failed.values()), "hosts")
     moments = []
     for k in failed:
-        rate = F.col(f"failed_{k}") / F.col("_docs")
-        moments += [(F.sum(f"failed_{k}") / F.sum("_docs")).alias(f"mean_{k}"), F.var_samp(rate).alias(f"var_{k}")]
+        rate = F.col(f"failed_{k}") / F.col("__hr_docs")
+        moments += [(F.sum(f"failed_{k}") / F.sum("__hr_docs")).alias(f"mean_{k}"), F.var_samp(rate).alias(f"var_{k}")]
     prior = hosts.agg(*moments).first()
     out = hosts
     for k in failed:
         mean, var = prior[f"mean_{k}"] or 0.0, prior[f"var_{k}"] or 0.0
         # a + b of the prior: mean (1 - mean) / var - 1, kept between 1 and a million documents
         strength = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 0 else 1.0
-        out = out.withColumn(f"shrunk_{k}", (F.col(f"failed_{k}") + strength * mean) / (F.col("_docs") + strength))
-    return out.select("_host", "_docs", *[f"shrunk_{k}" for k in failed])
+        out = out.withColumn(f"shrunk_{k}", (F.col(f"failed_{k}") + strength * mean) / (F.col("__hr_docs") + strength))
+    return out.select("__hr_host", "__hr_docs", *[f"shrunk_{k}" for k in failed])
 
 
 def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", reject: float = 0.5, broadcast_hosts: int = 100_000) -> DataFrame:
@@ -108,12 +112,12 @@ def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", rejec
     measured = settle(with_measures(docs, text), "measures")
     rates = settle(host_rates(measured, host), "host-rates")
     worst = F.greatest(*[F.col(f"shrunk_{k}") for k in rules()])
-    rejected = rates.where(worst >= reject).select("_host", F.lit(True).alias("host_rejected"))
+    rejected = rates.where(worst >= reject).select("__hr_host", F.lit(True).alias("host_rejected"))
     if rejected.count() <= broadcast_hosts:
         rejected = F.broadcast(rejected)
     test = rules()
     base = test["short"] | test["repeats"]
-    joined = measured.join(rejected, measured[host].eqNullSafe(rejected["_host"]), "left").drop("_host")
+    joined = measured.join(rejected, measured[host].eqNullSafe(rejected["__hr_host"]), "left").drop("__hr_host")
     return joined.withColumns({"base_failed": base, "host_rejected": F.coalesce("host_rejected", F.lit(False))}).withColumn(
         "kept", ~F.col("base_failed") & ~F.col("host_rejected")
     )

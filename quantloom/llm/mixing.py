@@ -93,7 +93,7 @@ def plan_mix(
     z, entropy = moments(high)
     whole = budget or math.ceil((most / total) ** (1 - high) * z * total)
     weight = F.pow(F.col("__tokens") / F.lit(float(total)), F.lit(high)) / z
-    share = F.ceil(weight * whole - 1e-6).cast("long")
+    share = F.floor(weight * whole + 1e-6).cast("long")
     # Without a stated budget no source gets less than its own tokens.
     share = share if budget else F.greatest(share, "__tokens")
     planned = sources.withColumns({"__weight": weight, "__budget": share}).withColumn(
