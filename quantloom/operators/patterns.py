@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from quantloom.functions import distributions as D
 from quantloom.operators import stats as S
@@ -72,7 +73,7 @@ def signals(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     return kept.where(F.col("kept").isNull() | F.array_contains("kept", F.col("x.i"))).select(*key, "x.i", "x.ts", "x.forward")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def deflated_sharpe(sharpe: pd.Series, trials: pd.Series, skew: pd.Series, kurtosis: pd.Series, n: pd.Series) -> pd.Series:
     """The probability that a Sharpe ratio is above the best of `trials` by chance; 0 where it is not defined.
 

@@ -47,7 +47,8 @@ class Rules:
 
     Orders queued by a bar's conditions fill on the next bar's open.  stop_loss and
     profit_target are orders from the fill on (parts of the fill price), trailing_stop closes
-    when the price gives back a part of its best since entry; days is the longest holding.
+    when the price gives back a part of its best since entry; days is the longest holding,
+    most_shares the largest position.
     """
 
     capital: float = 100_000.0
@@ -57,6 +58,7 @@ class Rules:
     trailing_stop: float | None = None
     days: int | None = None
     slippage: float = 0.0
+    most_shares: int = 1_000_000_000
     close_at_end: bool = True
 
 
@@ -75,7 +77,7 @@ def _walk(bars: pd.DataFrame, rules: Rules) -> list[tuple]:
     for n, b in enumerate(rows):
         if pending == "enter" and position is None:
             price = b.open + rules.slippage
-            quantity = int(cash * rules.fraction // price)
+            quantity = int(min(cash * rules.fraction // price, rules.most_shares))
             if quantity > 0:
                 position = {"ts": b.ts, "price": price, "quantity": quantity, "best": price, "held": 0}
         exit_price, reason = None, None

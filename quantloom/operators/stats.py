@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from quantloom.functions import distributions as D
 
@@ -75,19 +76,19 @@ def t_test(df: DataFrame, x: str, keys: list[str], mu: float = 0.0) -> DataFrame
     return got.withColumn("p", t_p(F.col("t"), F.col("n") - 1))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     return pd.Series(D.t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """Upper-tail p of F."""
     return pd.Series(D.f_upper(f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series(D.normal_cdf(z.to_numpy(float)))
 
