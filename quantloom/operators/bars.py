@@ -110,23 +110,37 @@ def align_tail(bars: DataFrame, symbols: list[str], value: str = "ret") -> DataF
     return wide.dropna(subset=symbols)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], values: list[str], strict: bool = False, backfill: bool = False, prefix: str = "") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], values: list[str], strict: bool = False, backfill: bool = False, prefix: str = "", span: str | None = "month") -> DataFrame:
     """`left` with the values of the right row at or before (strict: before) its ts, of the same `by`.
 
-    backfill: where there is none, the first right row's.  Both sides are sorted once, in one
-    window a key; the right side must be unique by key and ts.
+    backfill: where there is none, the first right row's.  The right side must be unique by
+    key and ts.  Both sides are sorted within a key and a `span` of time, so that a long series
+    is spread over tasks; a row without a match in its span takes what the last earlier span
+    with right rows has handed on.  span=None keeps a key's rows together: for many keys with
+    short series each.
     """
     payload = F.struct("ts", *values)
-    sides = left.select(*left.columns, F.lit(None).cast(right.select(payload.alias("p")).schema[0].dataType).alias("__p"), F.lit(0 if strict else 1).alias("__side"))
+    late, early = (0, 1) if strict else (1, 0)
+    sides = left.select(*left.columns, F.lit(None).cast(right.select(payload.alias("p")).schema[0].dataType).alias("__p"), F.lit(late).alias("__side"))
     nulls = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*by, "ts")]
-    other = right.select(*by, "ts", *nulls, payload.alias("__p"), F.lit(1 if strict else 0).alias("__side"))
+    other = right.select(*by, "ts", *nulls, payload.alias("__p"), F.lit(early).alias("__side"))
     both = sides.unionByName(other)
-    order = Window.partitionBy(*by).orderBy("ts", "__side")
-    found = F.last("__p", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    fields = [*left.columns, *[F.col(f"__f.{v}").alias(f"{prefix}{v}") for v in values], F.col("__f.ts").alias(f"{prefix}found_ts")]
+    if span is None:
+        last = F.last("__p", ignorenulls=True).over(Window.partitionBy(*by).orderBy("ts", "__side").rowsBetween(Window.unboundedPreceding, 0))
+        last = F.coalesce(last, F.min("__p").over(Window.partitionBy(*by))) if backfill else last
+        return both.withColumn("__f", last).where(F.col("__side") == late).select(*fields)
+    both = both.withColumn("__span", F.date_trunc(span, "ts"))
+    spans = both.groupBy(*by, "__span").agg(F.max("__p").alias("__end"), F.min("__p").alias("__start"))
+    before = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    handed = F.last("__end", ignorenulls=True).over(before)
     if backfill:
-        found = F.coalesce(found, F.first("__p", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    joined = both.withColumn("__f", found).where(F.col("__side") == (0 if strict else 1))
-    return joined.select(*left.columns, *[F.col(f"__f.{v}").alias(f"{prefix}{v}") for v in values], F.col("__f.ts").alias(f"{prefix}found_ts"))
+        handed = F.coalesce(handed, F.min("__start").over(Window.partitionBy(*by)))
+    spans = spans.select(*by, "__span", handed.alias("__handed"))
+    inside = Window.partitionBy(*by, "__span").orderBy("ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__in", F.last("__p", ignorenulls=True).over(inside)).where(F.col("__side") == late)
+    joined = found.join(spans, [*by, "__span"], "left").withColumn("__f", F.coalesce("__in", "__handed"))
+    return joined.select(*fields)
 
 
 def common_dates(bars: DataFrame, symbols: list[str]) -> DataFrame:

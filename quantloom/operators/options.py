@@ -115,7 +115,7 @@ def lookup(wanted: DataFrame, prices: DataFrame) -> DataFrame:
 
 def last_known(wanted: DataFrame, prices: DataFrame) -> DataFrame:
     """The quote of each wanted contract (contract, ts) at its time or the last one before it; null if there was none."""
-    return asof_join(wanted, prices.select(*CONTRACT, "ts", "bid", "ask"), CONTRACT, ["bid", "ask"])
+    return asof_join(wanted, prices.select(*CONTRACT, "ts", "bid", "ask"), CONTRACT, ["bid", "ask"], span=None)
 
 
 def select_candidate(quotes: DataFrame, how: str, target_dte: int = 45, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:

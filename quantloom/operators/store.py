@@ -40,7 +40,7 @@ def overview(runs: DataFrame) -> DataFrame:
 
 def best_of_sweeps(sweeps: DataFrame, runs: DataFrame, validations: DataFrame) -> DataFrame:
     """Every sweep with its number of runs, its best run's figures and its least validation p; zeros and nulls without runs."""
-    best = runs.groupBy("sweep_id").agg(F.count("*").alias("runs"), F.max("sharpe").alias("best_sharpe"), F.max_by("run_id", F.struct("sharpe", "run_id")).alias("best_run"), F.min("total_return").alias("worst_return"))
+    best = runs.groupBy("sweep_id").agg(F.count("*").alias("runs"), F.max("sharpe").alias("best_sharpe"), F.max_by("run_id", F.when(F.col("sharpe").isNotNull(), F.struct("sharpe", "run_id"))).alias("best_run"), F.min("total_return").alias("worst_return"))
     valid = validations.join(runs.select("run_id", "sweep_id"), "run_id").groupBy("sweep_id").agg(F.min("p").alias("least_p"))
     return sweeps.join(best, "sweep_id", "left").join(valid, "sweep_id", "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
 

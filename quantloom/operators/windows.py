@@ -162,7 +162,7 @@ def calendar(bars: DataFrame) -> DataFrame:
             "first_bar": before.isNull() | (before != day),
             "last_bar": after.isNull() | (after != day),
             "quarter_end": after.isNull() | (F.quarter(after) != F.quarter(day)),
-            "trading_days_left": F.size(F.collect_set(day).over(month.orderBy(day).rangeBetween(Window.currentRow, Window.unboundedFollowing))) - 1,
+            "trading_days_left": F.dense_rank().over(month.orderBy(F.desc(day))) - 1,
         }
     )
 
