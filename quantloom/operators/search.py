@@ -14,6 +14,8 @@ from quantloom.functions import distributions as D
 from quantloom.operators import metrics as M
 from quantloom.operators import simulation as Sim
 from quantloom.operators import store
+from quantloom.operators.resampling import sign_flip_test
+from quantloom.operators.windows import walk_forward_windows
 
 
 def steps(low: float, high: float, step: float) -> list[float]:
@@ -28,6 +30,15 @@ def grid(spark: SparkSession, parameters: dict[str, list[float]]) -> DataFrame:
     return spark.createDataFrame(rows, "combo int, params map<string,double>")
 
 
+def run_combos(bars: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules) -> tuple[DataFrame, DataFrame]:
+    """Bars once for each combo (symbol is "symbol|combo", __of the symbol itself), and the trades of each."""
+    few = combos.select(F.collect_list(F.struct("combo", "params")).alias("c")).first()["c"]  # the stated grid
+    choices = F.array(*[F.struct(F.lit(r["combo"]).alias("combo"), F.create_map(*[x for k, v in r["params"].items() for x in (F.lit(k), F.lit(v))]).cast("map<string,double>").alias("params")) for r in few])
+    rows = bars.withColumn("__c", F.explode(choices)).select(*bars.columns, "__c.combo", "__c.params").withColumn("__of", F.col("symbol"))
+    rows = rows.withColumn("symbol", F.concat_ws("|", "symbol", F.col("combo").cast("string")))
+    return rows, Sim.backtest(signal(rows), rules)
+
+
 def sweep(bars: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules) -> DataFrame:
     """A row a symbol and combo: params, trade metrics and equity metrics; all combos in one job.
 
@@ -35,11 +46,7 @@ def sweep(bars: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], Data
     symbol of its own, so that the window operators keep them apart.  The bars are read once
     and each is evaluated for each combo of the stated grid.
     """
-    few = combos.select(F.collect_list(F.struct("combo", "params")).alias("c")).first()["c"]  # the stated grid
-    choices = F.array(*[F.struct(F.lit(r["combo"]).alias("combo"), F.create_map(*[x for k, v in r["params"].items() for x in (F.lit(k), F.lit(v))]).cast("map<string,double>").alias("params")) for r in few])
-    rows = bars.withColumn("__c", F.explode(choices)).select(*bars.columns, "__c.combo", "__c.params").withColumn("__of", F.col("symbol"))
-    rows = rows.withColumn("symbol", F.concat_ws("|", "symbol", F.col("combo").cast("string")))
-    trades = Sim.backtest(signal(rows), rules)
+    rows, trades = run_combos(bars, combos, signal, rules)
     t = M.trade_metrics(trades)
     e = M.equity_metrics(Sim.equity(trades, rows.select("symbol", "ts", "close"), rules.capital))
     keys = rows.select("symbol", "__of", "combo").distinct().join(combos, "combo")
@@ -125,3 +132,45 @@ def bayesian(evaluate: Callable[[list[dict[str, float]]], list[float]], space: d
 
 def parameter(name: str) -> Column:
     return F.col("params")[name]
+
+
+#: The walk-forward variants of a strategy evaluation: mode, windows, part of a window for training (fixed values).
+VARIANTS = tuple((mode, n, part) for mode in ("rolling", "anchored") for n, part in ((5, 0.7), (8, 0.7), (5, 0.8)))
+
+
+def evaluate(bars: DataFrame, days: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules, variants=VARIANTS) -> DataFrame:
+    """The walk-forward verdicts of every variant: variant, symbol, efficiency, stability, verdict; all windows of all variants in one job."""
+    plans = None
+    for k, (mode, n, part) in enumerate(variants):
+        plan = walk_forward_windows(days, n, part, mode).withColumn("window", F.col("window") + 1000 * k)
+        plans = plan if plans is None else plans.unionByName(plan)
+    results = walk_forward(bars, plans, combos, signal, rules).withColumn("variant", F.floor(F.col("window") / 1000).cast("int"))
+    named = results.withColumn("symbol", F.concat_ws("~", F.col("variant").cast("string"), "symbol"))
+    key = F.split("symbol", "~")
+    return walk_forward_verdict(named).withColumns({"variant": F.get(key, F.lit(0)).cast("int"), "symbol": F.get(key, F.lit(1))})
+
+
+def gates(bars: DataFrame, days: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules, alpha: float = 0.05, permutations: int = 200, least_returns: int = 30) -> DataFrame:
+    """A row a symbol: the best combo of a sweep and how far it comes through the gates.
+
+    passed counts them in order: trades that beat sign flips (p <= alpha), a walk-forward
+    with efficiency over 0.5, enough out-of-sample returns; a gate after a failed one is skipped.
+    """
+    found = sweep(bars, combos, signal, rules)
+    best = found.groupBy("symbol").agg(F.max_by(F.struct("combo", "sharpe"), F.struct(F.coalesce("sharpe", F.lit(-1e9)), -F.col("combo"))).alias("b")).select("symbol", "b.*")
+    rows, trades = run_combos(bars, combos, signal, rules)
+    of = rows.select("symbol", F.col("__of")).distinct()
+    traded = trades.join(of, "symbol").select(F.col("__of").alias("symbol"), "combo", F.unix_timestamp(F.col("entry_ts").cast("timestamp")).alias("id"), "pnl").join(best.select("symbol", "combo"), ["symbol", "combo"])
+    chance = sign_flip_test(traded, permutations).select("symbol", "p")
+    forward = walk_forward(bars, walk_forward_windows(days), combos, signal, rules)
+    tested = walk_forward_verdict(forward).select("symbol", "efficiency", "stability")
+    spans = walk_forward_windows(days).agg(F.min("test_start").alias("a"), F.max("test_end").alias("z")).first()
+    returns = bars.where(F.to_date("ts").between(F.lit(spans["a"]), F.lit(spans["z"]))).groupBy("symbol").agg(F.count("*").alias("out_of_sample"))
+    out = best.join(chance, "symbol", "left").join(tested, "symbol", "left").join(returns, "symbol", "left")
+    one, two, three = F.coalesce(F.col("p") <= alpha, F.lit(False)), F.coalesce(F.col("efficiency") > 0.5, F.lit(False)), F.coalesce(F.col("out_of_sample") >= least_returns, F.lit(False))
+    return out.withColumn("passed", F.when(~one, 0).when(~two, 1).when(~three, 2).otherwise(3))
+
+
+def merge_profiles(*profiles: dict[str, float]) -> dict[str, float]:
+    """Parameters of the profiles, later ones over earlier: global, strategy, caller."""
+    return {k: v for p in profiles for k, v in p.items()}

@@ -100,3 +100,31 @@ def v4(spark, d):
     days = I.daily(spark, d).select(F.to_date("ts").alias("day")).distinct()
     return V.walk_forward(I.daily(spark, d), W.walk_forward_windows(days, 4, 0.7), V.grid(spark, {"window": [10.0, 30.0]}), crossing, S.Rules())
 
+
+
+def _days(spark, d):
+    return I.daily(spark, d).select(F.to_date("ts").alias("day")).distinct()
+
+
+@query("v5_gates")
+def v5(spark, d):
+    return V.gates(I.daily(spark, d), _days(spark, d), V.grid(spark, {"window": [10.0, 30.0]}), crossing, S.Rules())
+
+
+@query("v6_evaluation")
+def v6(spark, d):
+    return V.evaluate(I.daily(spark, d), _days(spark, d), V.grid(spark, {"window": [10.0, 30.0]}), crossing, S.Rules(), V.VARIANTS[:2])
+
+
+@query("v3_bayesian_search")
+def v3(spark, d):
+    """The points tried for one symbol's window, a batch of them a job."""
+    bars = I.daily(spark, d).where("symbol = '1-URGENT'").cache()
+
+    def evaluate(points):
+        combos = spark.createDataFrame([(k, p) for k, p in enumerate(points)], "combo int, params map<string,double>")
+        got = {r["combo"]: r["sharpe"] for r in V.sweep(bars, combos, crossing, S.Rules()).select("combo", "sharpe").collect()}
+        return [got.get(k) for k in range(len(points))]
+
+    tried = V.bayesian(evaluate, {"window": (5.0, 45.0, 5.0)}, evaluations=8, initial=4)
+    return spark.createDataFrame([(p["window"], float(v)) for p, v in tried], "window double, sharpe double")
