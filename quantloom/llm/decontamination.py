@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.shared import settle, table
 
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The separators, with A-Z counted among the words: for texts not yet lower-cased.
-_RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+def _ascii_class(keep) -> str:
+    """The ASCII characters that `keep` accepts, each on its own: the matcher then tests a bit, not a chain of ranges."""
+    return "".join(f"\\x{i:02X}" for i in range(128) if keep(chr(i)))
+
+
+#: Words are runs of digits, a-z and all characters beyond ASCII; what stands between them:
+_SEPARATORS = f"[{_ascii_class(lambda c: not (c.isdigit() or c.islower()))}]+"
+#: The same with A-Z among the words, for texts not yet lower-cased.
+_RAW_SEPARATORS = f"[{_ascii_class(lambda c: not c.isalnum())}]+"
+_RAW_WORD = f"[{_ascii_class(str.isalnum)}\\x{{80}}-\\x{{10FFFF}}]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The columns that `decontaminate` adds; columns of `docs` with these names are replaced.
 ADDED = ("_n_words", "_n_hit", "_hit_words", "_items", "_contaminated")
