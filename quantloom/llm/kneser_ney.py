@@ -91,9 +91,12 @@ class Files:
         return pyarrow.fs.FileSystem.from_uri(f"{self.uri}/{name}")
 
     def write(self, name: str, array: np.ndarray) -> None:
+        """A task that runs again finds its file there; the content is the same."""
         fs, path = self._at(name)
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.File:
+            return
         fs.create_dir(os.path.dirname(path), recursive=True)
-        draft = f"{path}.{uuid.uuid4().hex}"  # a task that runs twice leaves one whole file
+        draft = f"{path}.{uuid.uuid4().hex}"  # under its name it is always whole
         with fs.open_output_stream(draft) as out:
             out.write(np.ascontiguousarray(array).tobytes())
         fs.move(draft, path)
@@ -212,6 +215,8 @@ def train(docs: DataFrame, per_bucket: int = 4_000_000) -> Model:
     found = {r["bucket"]: r for r in dealt.groupBy("bucket").applyInArrow(merge_words, "bucket int, words long, tokens long").collect()}
     sizes = [found[b]["words"] if b in found else 0 for b in range(1 << word_bits)]
     total = sum(r["tokens"] for r in found.values())
+    if sum(sizes) >= 1 << 32:
+        raise ValueError("a pair of ids has 64 bits: at most 2**32 - 1 words")
     pair_bits = min(_bits(total / per_bucket), 14)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
