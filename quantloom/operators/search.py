@@ -36,17 +36,17 @@ def run_combos(bars: DataFrame, combos: DataFrame, signal: Callable[[DataFrame],
     choices = F.array(*[F.struct(F.lit(r["combo"]).alias("combo"), F.create_map(*[x for k, v in r["params"].items() for x in (F.lit(k), F.lit(v))]).cast("map<string,double>").alias("params")) for r in few])
     rows = bars.withColumn("__c", F.explode(choices)).select(*bars.columns, "__c.combo", "__c.params").withColumn("__of", F.col("symbol"))
     rows = rows.withColumn("symbol", F.concat_ws("|", "symbol", F.col("combo").cast("string")))
-    return rows, Sim.backtest(signal(rows), rules)
+    return rows, Sim.backtest(signal(rows), rules).cache()
 
 
-def sweep(bars: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules) -> DataFrame:
+def sweep(bars: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules, run: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """A row a symbol and combo: params, trade metrics and equity metrics; all combos in one job.
 
     signal: adds enter and leave to bars that have params; it sees each symbol and combo as a
     symbol of its own, so that the window operators keep them apart.  The bars are read once
     and each is evaluated for each combo of the stated grid.
     """
-    rows, trades = run_combos(bars, combos, signal, rules)
+    rows, trades = run or run_combos(bars, combos, signal, rules)
     t = M.trade_metrics(trades)
     e = M.equity_metrics(Sim.equity(trades, rows.select("symbol", "ts", "close"), rules.capital))
     keys = rows.select("symbol", "__of", "combo").distinct().join(combos, "combo")
@@ -66,7 +66,7 @@ def walk_forward(bars: DataFrame, windows: DataFrame, combos: DataFrame, signal:
     results = sweep(parts, combos, signal, rules)
     key = F.split("symbol", "~")
     results = results.withColumns({"window": F.get(key, F.lit(1)).cast("int"), "part": F.get(key, F.lit(2)), "symbol": F.get(key, F.lit(0))})
-    results = results.withColumn("o", F.coalesce(store.objective(by), F.lit(0.0)))
+    results = results.withColumn("o", F.coalesce(store.objective(by), F.lit(0.0))).cache()  # both halves read it
     train = results.where("part = 'train'").groupBy("symbol", "window").agg(F.max_by(F.struct("combo", "params", "o"), F.struct(F.col("o"), -F.col("combo"))).alias("best"))
     test = results.where("part = 'test'").select("symbol", "window", "combo", F.col("o").alias("out_of_sample"), "total_return", "trades")
     chosen = train.select("symbol", "window", "best.combo", "best.params", F.col("best.o").alias("in_sample"))
@@ -156,9 +156,9 @@ def gates(bars: DataFrame, days: DataFrame, combos: DataFrame, signal: Callable[
     passed counts them in order: trades that beat sign flips (p <= alpha), a walk-forward
     with efficiency over 0.5, enough out-of-sample returns; a gate after a failed one is skipped.
     """
-    found = sweep(bars, combos, signal, rules)
-    best = found.groupBy("symbol").agg(F.max_by(F.struct("combo", "sharpe"), F.struct(F.coalesce("sharpe", F.lit(-1e9)), -F.col("combo"))).alias("b")).select("symbol", "b.*")
     rows, trades = run_combos(bars, combos, signal, rules)
+    found = sweep(bars, combos, signal, rules, (rows, trades))
+    best = found.groupBy("symbol").agg(F.max_by(F.struct("combo", "sharpe"), F.struct(F.coalesce("sharpe", F.lit(-1e9)), -F.col("combo"))).alias("b")).select("symbol", "b.*")
     of = rows.select("symbol", F.col("__of")).distinct()
     traded = trades.join(of, "symbol").select(F.col("__of").alias("symbol"), "combo", F.unix_timestamp(F.col("entry_ts").cast("timestamp")).alias("id"), "pnl").join(best.select("symbol", "combo"), ["symbol", "combo"])
     chance = sign_flip_test(traded, permutations).select("symbol", "p")
