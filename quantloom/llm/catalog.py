@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from quantloom.llm.bigru import op7_bigru_language
 from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
-from quantloom.llm.host_rules import op6_host_rules
+from quantloom.llm.host_rules import OP6_SQL, op6_host_rules
 from quantloom.llm.kneser_ney import op10_kneser_ney
-from quantloom.llm.minmax import op8_minmax_dedup
+from quantloom.llm.minmax import OP8_SQL, op8_minmax_dedup
 from quantloom.llm.mixing import op9_temperature_mix
 from quantloom.llm.pii import op2_boosted_pii
 from quantloom.llm.secrets import op1_secret_forest
@@ -28,4 +28,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_windows": OP5_SQL,
+    "op6_host_rules": OP6_SQL,
+    "op8_minmax_dedup": OP8_SQL,
 }

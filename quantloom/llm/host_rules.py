@@ -126,3 +126,37 @@ def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", rejec
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_hosts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+
+
+_HOST_RULES = ("short", "repeats", "symbols", "dup_lines", "word_length")
+
+OP6_SQL = (
+    r"""
+with w as (
+  select doc_id, source, coalesce(text, '') as t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from documents),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) >= 3)),
+c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
+r as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from c where n > 1) group by doc_id),
+m as (
+  select w.doc_id, source, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
+  from w left join r using (doc_id)),
+f as (
+  select *, n_words < 50 as short, 100 * n_repeat_words > 50 * n_words as repeats, 10 * n_symbols > n_words as symbols, n_dup_lines >= 10 as dup_lines,
+         word_chars < 2 * n_words or word_chars > 20 * n_words as word_length from m),
+h as (select source, count(*) as docs, """
+    + ", ".join(f"sum({k}::int) as {k}" for k in _HOST_RULES)
+    + " from f group by source),\np as (select "
+    + ", ".join(f"sum({k}) / sum(docs) as mean_{k}, coalesce(var_samp({k} / docs), 0) as var_{k}" for k in _HOST_RULES)
+    + " from h),\nj as (select source, greatest("
+    + ", ".join(f"({k} + s_{k} * mean_{k}) / (docs + s_{k})" for k in _HOST_RULES)
+    + ") >= 0.5 as host_rejected from h, (select *, "
+    + ", ".join(f"case when var_{k} > 0 then least(greatest(mean_{k} * (1 - mean_{k}) / var_{k} - 1, 1.0), 1e6) else 1.0 end as s_{k}" for k in _HOST_RULES)
+    + """ from p))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats as base_failed,
+       not (short or repeats) and not host_rejected as kept, host_rejected
+from f join j on f.source is not distinct from j.source
+"""
+)

@@ -319,3 +319,20 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)
+
+
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (
+  select distinct doc_id, g from (
+    select doc_id, ws[i] || ' ' || ws[i + 1] as g from (select doc_id, ws, unnest(range(1, len(ws))) as i from w where len(ws) >= 2)
+    union all select doc_id, ws[1] from w where len(ws) = 1)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+k as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from k join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 80 * (p.n + q.n - k)),
+reach(a, b) as (select doc_id, doc_id from w union select a, y from reach join links on b = x)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, c.component_id, w.doc_id = c.component_id as kept
+from w left join n using (doc_id) join (select a, min(b) as component_id from reach group by a) c on c.a = w.doc_id
+"""
