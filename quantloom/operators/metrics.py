@@ -28,10 +28,7 @@ def trade_metrics(trades: DataFrame, key: str = "symbol") -> DataFrame:
 
 
 def value_at_risk(returns: DataFrame, level: float = 0.05, key: str = "symbol", x: str = "ret") -> DataFrame:
-    """var (the return at the floor index), historical_var (interpolated), cvar (mean of the worst ceil(n * level), at least one); signs turned.
-
-    The worst rows are found from two counts a value, without an ordered list a symbol.
-    """
+    """var (the return at the floor index), historical_var (interpolated), cvar (mean of the worst ceil(n * level), at least one); signs turned."""
     rows = returns.where(F.col(x).isNotNull())
     size = rows.groupBy(key).agg(F.count("*").alias("n_"), F.percentile(x, F.lit(level)).alias("h_"))
     ranked = rows.join(size, key).withColumn("i_", F.row_number().over(Window.partitionBy(key).orderBy(x)) - 1)

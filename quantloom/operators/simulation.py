@@ -219,3 +219,35 @@ def hold_to_expiration(positions: DataFrame, closes: DataFrame, model: str = "mi
     contracts = F.aggregate("legs", F.lit(0), lambda acc, x: acc + x["quantity"])
     out = at.where("close is not null").withColumns({"value": value, "exit": F.coalesce(F.get(F.array_compact(fate), F.lit(0)), F.lit("expiration")), "fee": commission(contracts, per_contract)})
     return out.select("symbol", F.col("entry_ts").alias("ts"), "legs", "expiration", "cost", "close", "value", (F.col("value") - F.col("cost")).alias("pnl"), "fee", "exit")
+
+
+def wheel(puts: DataFrame, calls: DataFrame, closes: DataFrame, multiplier: int = 100) -> DataFrame:
+    """Puts sold until one is assigned, then calls on the stock until it is called away, and again.
+
+    puts, calls: `resolve` of one short leg each; closes: symbol, ts, close.  A put with its
+    strike at or over the close at expiration leaves stock bought at the strike; a call with
+    its strike at or under it sells the stock at that strike.  The next contract is the first
+    one quoted after the expiration.  Prices at expiration are joined beforehand; what is left
+    for the walk is one symbol's contracts in order.
+    """
+    one = lambda df, kind: df.select("symbol", "ts", F.lit(kind).alias("kind"), F.get("legs", F.lit(0)).alias("q"))
+    quotes = one(puts, "p").unionByName(one(calls, "c")).select("symbol", F.col("ts").alias("entry_ts"), "kind", F.col("q.strike").alias("strike"), F.col("q.expiration").cast("timestamp_ntz").alias("ts"), ((F.col("q.bid") + F.col("q.ask")) / 2 * multiplier).alias("credit"))
+    settled = asof_join(quotes, closes, ["symbol"], ["close"]).where("close is not null").select("symbol", "entry_ts", F.col("ts").alias("exit_ts"), "kind", "strike", "credit", "close")
+    last = closes.groupBy("symbol").agg(F.max("ts").alias("known"))
+    settled = settled.join(last, "symbol").where("exit_ts <= known").drop("known")
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        rows, stock, after = [], None, None
+        for q in group.sort_values(["entry_ts", "kind"], kind="stable").itertuples(index=False):
+            if q.kind != ("p" if stock is None else "c") or (after is not None and q.entry_ts <= after):
+                continue
+            exit_, gain = "expiration", 0.0
+            if q.kind == "p" and q.strike >= q.close:
+                exit_, stock = "assignment", q.strike
+            elif q.kind == "c" and q.strike <= q.close:
+                exit_, gain, stock = "called_away", (q.strike - stock) * multiplier, None
+            rows.append((key[0], q.entry_ts, q.exit_ts, q.kind, q.strike, q.credit, gain, exit_))
+            after = q.exit_ts
+        return pd.DataFrame(rows, columns=["symbol", "entry_ts", "exit_ts", "kind", "strike", "credit", "stock_pnl", "exit"])
+
+    return settled.groupBy("symbol").applyInPandas(run, "symbol string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, kind string, strike double, credit double, stock_pnl double, exit string")

@@ -90,19 +90,19 @@ CHAIN = """quotes as (
 
 
 def splits(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id % 37 = 5")
-    return e.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg((2 + F.max("event_id") % 3).cast("double").alias("ratio"))
+    """A split on each day on which a symbol's price passes 250."""
+    days = table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg((2 + F.max("event_id") % 3).cast("double").alias("ratio"), F.max("value").alias("top"))
+    return days.where("top > 250").drop("top")
 
 
 def dividends(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id % 29 = 3")
-    return e.groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg(F.round(F.max("value") / 50, 4).alias("amount"))
+    """A dividend every day, of the day's lowest price."""
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), F.to_date("ts").alias("date")).agg(F.min("value").alias("amount"))
 
 
 ACTIONS = """splits as (select event_type as symbol, cast(ts as date) as date, cast(2 + max(event_id) % 3 as double) as ratio
-  from events where user_id % 37 = 5 group by 1, 2),
-dividends as (select event_type as symbol, cast(ts as date) as date, round(max(value) / 50, 4) as amount
-  from events where user_id % 29 = 3 group by 1, 2)"""
+  from events group by 1, 2 having max(value) > 250),
+dividends as (select event_type as symbol, cast(ts as date) as date, min(value) as amount from events group by 1, 2)"""
 
 
 def day_closes(spark: SparkSession, d: str) -> DataFrame:

@@ -194,10 +194,10 @@ def f10(spark, d):
     return I.ticks(spark, d).agg(F.max("ts").alias("last")).withColumn("start", F.col("last") - F.make_dt_interval(days=F.lit(B.LOOKBACK_DAYS["5m"])))
 
 
-@query("f12_timestamp_set", "select event_id as id, ts from events where ts in (select ts from events where user_id = 7)")
+@query("f12_timestamp_set", "select event_id as id, ts from events where ts in (select ts from events where event_type = 'error')")
 def f12(spark, d):
     t = I.ticks(spark, d)
-    return t.join(t.where("volume = 7").select("ts").distinct(), "ts", "left_semi").select("id", "ts")
+    return t.join(t.where("symbol = 'error'").select("ts").distinct(), "ts", "left_semi").select("id", "ts")
 
 
 @query("f14_subsample", f"""with {I.BARS}, n as (select symbol, ts, close, row_number() over (partition by symbol order by ts) - 1 as i, count(*) over (partition by symbol) as n from bars),

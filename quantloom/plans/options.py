@@ -90,19 +90,19 @@ def j2(spark, d):
 _PRICES = Q + ", prices as (select * from quotes qualify row_number() over (partition by symbol, expiration, strike, option_type, cast(ts as date) order by id desc) = 1)"
 
 
-@query("j10_price_lookup", f"with {_PRICES} select symbol, expiration, strike, option_type, cast(ts as date) as day, bid, ask, delta from prices where symbol = 'A' and strike < 190")
+@query("j10_price_lookup", f"with {_PRICES} select symbol, expiration, strike, option_type, cast(ts as date) as day, bid, ask, delta from prices")
 def j10(spark, d):
     q = I.chain(spark, d)
-    wanted = q.where("symbol = 'A' and strike < 190").select(*O.CONTRACT, F.to_date("ts").alias("day")).distinct()
+    wanted = q.select(*O.CONTRACT, F.to_date("ts").alias("day")).distinct()
     return O.lookup(wanted, O.price_table(q, "id")).select(*O.CONTRACT, "day", "bid", "ask", "delta")
 
 
-@query("j6_last_known_quote", f"""with {_PRICES}, w as (select distinct symbol, expiration, strike, option_type, ts + interval 3 day as ts from quotes where symbol = 'R')
+@query("j6_last_known_quote", f"""with {_PRICES}, w as (select distinct symbol, expiration, strike, option_type, ts + interval 3 day as ts from quotes)
   select w.symbol, w.expiration, w.strike, w.option_type, w.ts, p.bid, p.ask from w asof left join prices p
   on w.symbol = p.symbol and w.expiration = p.expiration and w.strike = p.strike and w.option_type = p.option_type and w.ts >= p.ts""")
 def j6(spark, d):
     q = I.chain(spark, d)
-    wanted = q.where("symbol = 'R'").select("symbol", "expiration", "strike", "option_type", (F.col("ts") + F.expr("interval 3 days")).alias("ts")).distinct()
+    wanted = q.select("symbol", "expiration", "strike", "option_type", (F.col("ts") + F.expr("interval 3 days")).alias("ts")).distinct()
     return O.last_known(wanted, O.price_table(q, "id")).select("symbol", "expiration", "strike", "option_type", "ts", "bid", "ask")
 
 

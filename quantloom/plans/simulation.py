@@ -113,18 +113,24 @@ def v5(spark, d):
 
 @query("v6_evaluation")
 def v6(spark, d):
-    return V.evaluate(I.daily(spark, d), _days(spark, d), V.grid(spark, {"window": [10.0, 30.0]}), crossing, S.Rules(), V.VARIANTS[:2])
+    return V.evaluate(I.daily(spark, d), _days(spark, d), V.grid(spark, {"window": [10.0, 30.0]}), crossing, S.Rules())
 
 
 @query("v3_bayesian_search")
 def v3(spark, d):
-    """The points tried for one symbol's window, a batch of them a job."""
-    bars = I.daily(spark, d).where("symbol = '1-URGENT'").cache()
+    """The points tried for the window, a batch of them a job; the objective is the symbols' mean."""
+    bars = I.daily(spark, d).cache()
 
     def evaluate(points):
         combos = spark.createDataFrame([(k, p) for k, p in enumerate(points)], "combo int, params map<string,double>")
-        got = {r["combo"]: r["sharpe"] for r in V.sweep(bars, combos, crossing, S.Rules()).select("combo", "sharpe").collect()}
+        got = {r["combo"]: r["sharpe"] for r in V.sweep(bars, combos, crossing, S.Rules()).groupBy("combo").agg(F.avg("sharpe").alias("sharpe")).collect()}
         return [got.get(k) for k in range(len(points))]
 
     tried = V.bayesian(evaluate, {"window": (5.0, 45.0, 5.0)}, evaluations=8, initial=4)
     return spark.createDataFrame([(p["window"], float(v)) for p, v in tried], "window double, sharpe double")
+
+
+@query("b7_wheel")
+def b7(spark, d):
+    q = I.chain(spark, d)
+    return S.wheel(S.resolve(q, S.strategy("short_put", 0.4, dte=30)), S.resolve(q, S.strategy("short_call", 0.4, dte=30)), closes(spark, d))

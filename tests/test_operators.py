@@ -156,6 +156,17 @@ def test_strategies(spark):
     assert held["cost"] == pytest.approx(-300) and held["pnl"] == pytest.approx(100) and held["exit"] == "assignment"
 
 
+def test_wheel(spark):
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(n)
+    leg = lambda n, strike, until, bid: ("X", day(n), [(0, False, "p", 1, float(strike), day(until).date(), bid, bid + 0.2, -0.3)])
+    schema = "symbol string, ts timestamp_ntz, legs array<struct<number:int,long:boolean,kind:string,quantity:int,strike:double,expiration:date,bid:double,ask:double,delta:double>>"
+    puts = spark.createDataFrame([leg(0, 90, 10, 1.0), leg(5, 92, 15, 1.0), leg(11, 100, 20, 2.0), leg(41, 99, 50, 1.0), leg(45, 99, 80, 1.0)], schema)
+    calls = spark.createDataFrame([leg(1, 99, 9, 9.0), leg(21, 110, 30, 1.5), leg(31, 105, 40, 1.0)], schema)
+    prices = spark.createDataFrame([("X", day(n), float(c)) for n, c in ((10, 95), (20, 97), (30, 104), (40, 107), (60, 98))], "symbol string, ts timestamp_ntz, close double")
+    got = [(r["kind"], r["strike"], r["exit"], round(r["stock_pnl"], 2), round(r["credit"], 2)) for r in simulation.wheel(puts, calls, prices).orderBy("entry_ts").collect()]
+    assert got == [("p", 90, "expiration", 0, 110), ("p", 100, "assignment", 0, 210), ("c", 110, "expiration", 0, 160), ("c", 105, "called_away", 500, 110), ("p", 99, "expiration", 0, 110)]
+
+
 def test_resample_and_lookups(spark):
     ticks = spark.createDataFrame([("A", dt.datetime(2024, 1, 1, 9, m), m, float(v), float(v), float(v), float(v), 1) for m, v in ((31, 5), (33, 9), (34, 2), (36, 4))], "symbol string, ts timestamp_ntz, id long, open double, high double, low double, close double, volume long")
     got = [(r["ts"].minute, r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in B.resample(ticks, "5m", tie="id").orderBy("ts").collect()]
