@@ -90,7 +90,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broad
     windows = settle(benchmark_windows(benchmark.select("item_id", "text"), window), "benchmark-windows")
     grams = windows.select("length", "gram", "h").distinct()
     lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most `window` values
-    small = grams.count() <= broadcast_rows
+    small = windows.count() <= broadcast_rows
     keep = F.broadcast if small else (lambda x: x)
     hashed = docs.select(*keys, _word_hashes(F.col("text")).alias("hashes"))
     found = None

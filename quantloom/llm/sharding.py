@@ -114,7 +114,9 @@ def shard(
     )
     whole = F.col("group_bytes") <= max(total, 1) / shards * group_part
     at = F.col("bytes_before") + F.when(whole, F.col("group_before")).otherwise(F.col("before"))
-    placed = ordered.join(F.broadcast(offsets), ["range", "piece"]).select(
+    if ranges + rows // most_rows <= 100_000:
+        offsets = F.broadcast(offsets)
+    placed = ordered.join(offsets, ["range", "piece"]).select(
         "doc_id",
         "size",
         "text_crc32",
