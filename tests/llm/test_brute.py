@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -336,7 +337,12 @@ def test_pipeline_against_plain_python(spark):
 def test_tables_in_the_shared_folder_can_be_deleted(spark):
     df = shared.settle(edge_docs(spark, clashes=False).select(F.col("doc_id")), "probe")
     assert df.count() == len(edge_rows())
-    path = df.inputFiles()[0].removeprefix("file://")
-    import os
+    path = Path(df.inputFiles()[0].removeprefix("file://"))
+    assert path.exists()
+    assert shared.shared_folder(spark).startswith("file:")
 
-    assert os.path.exists(path)
+
+def test_without_a_shared_folder_a_temporary_one_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    first = shared.shared_folder(spark)
+    assert first == shared.shared_folder(spark) and "quantloom-" in first
