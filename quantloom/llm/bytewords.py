@@ -20,7 +20,7 @@ _UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 #: Bytes of text that one numpy step handles at once (a longer single text is one step).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def byte_class(spec: str) -> np.ndarray:

@@ -74,11 +74,10 @@ def ftrl(rows: list[tuple[np.ndarray, int]], importance: tuple[float, float], ep
     seen = np.zeros(size, dtype=np.uint8)
     for codes, _ in rows:
         seen[codes] += seen[codes] < 255
-    rows = [(codes[seen[codes] >= least_rows], y) for codes, y in rows]
     used = np.flatnonzero(seen >= least_rows).astype(np.int32)
-    place = np.zeros(size, dtype=np.int32)
+    place = np.full(size, -1, dtype=np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    rows = [(place[codes], y) for codes, y in rows]
+    rows = [(at[at >= 0], y) for at, y in ((place[codes], y) for codes, y in rows)]
     del seen, place
     z, n = np.zeros(len(used) + 1), np.zeros(len(used) + 1)  # the last is the bias, without L1
     order = np.random.default_rng(3)
@@ -116,7 +115,11 @@ def train(docs: DataFrame, known: DataFrame, most: tuple[int, int] = (5000, 3000
     picked = known.where(unit(F.col("doc_id"), F.lit("toxicity")) < chance).select("doc_id", F.col("y").cast("int").alias("y"))
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")
     got = chosen.mapInArrow(_gather(skips), "codes binary, y int").toArrow()
-    rows = [(np.frombuffer(c.as_py(), dtype=np.int32), y.as_py()) for c, y in zip(got["codes"], got["y"], strict=True)]
+    held = got["codes"].combine_chunks().cast(pa.large_binary())
+    body = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)
+    offs = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset :] if len(held) else []
+    # Views of the Arrow buffer: the driver holds the sample's features once.
+    rows = [(body[offs[i] : offs[i + 1]].view(np.int32), y) for i, y in enumerate(got["y"].to_pylist())]
     here = [sum(y == k for _, y in rows) for k in (0, 1)]
     if not all(here):
         return Model(np.zeros(0, np.int32), np.zeros(0), -2.0 if not here[1] else 2.0, skips)
