@@ -64,11 +64,11 @@ class Model:
     skips: int
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], importance: tuple[float, float], epochs: int = 5, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, least_rows: int = 3, skips: int = 2) -> Model:
+def ftrl(rows: list[tuple[np.ndarray, int]], importance: tuple[float, float], epochs: int = 5, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, least_rows: int = 3, skips: int = 2) -> Model:
     """FTRL-proximal over (coordinates, label) rows, in a fixed random order.
 
     importance: weights of labels 0 and 1.  Coordinates of fewer than `least_rows` rows are
-    left out.
+    left out.  `alpha` and `l1` made the fewest mistakes in three folds of the learnable labels.
     """
     size = 1 << BITS
     seen = np.zeros(size, dtype=np.uint8)
