@@ -198,6 +198,24 @@ def test_secret_findings(spark):
     assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["token"] for r in got)
 
 
+def found(text: str) -> dict[str, bool]:
+    """Token -> assigned, of the candidates in a text."""
+    body = text.encode()
+    return {body[s:e].decode(): assigned for _, s, e, _, _, assigned in secrets.findings(np.frombuffer(body, np.uint8), np.array([0, len(body)]))}
+
+
+def test_long_tokens_are_findings(spark):
+    draw = random.Random(8)
+    some = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    jwt, key = f"eyJ{some(33)}.{some(519)}.{some(43)}", some(2048)
+    assert len(jwt) == 600 and found(f"see {jwt} and key={key}.") == {jwt: False, key + ".": True}
+    docs = spark.createDataFrame([(1, f"see {jwt} here", "a"), (2, f'key = "{key}"', "a")], "doc_id long, text string, source string")
+    got = secrets.scan(docs, secrets.train(docs)).collect()
+    assert sorted((r["doc_id"], r["token"], r["end"] - r["start"]) for r in got) == [(1, jwt, 600), (2, key, 2048)]
+    assert secrets.seed_label(jwt, "see ", False) == 1 and secrets.seed_label("a@b.c.d@" + ".x" * 50_000, "", False) is None
+    assert secrets.seed_label("x" * 200_000 + "1", "", False) == 0 and secrets.seed_label("anexample_", "", False) == secrets.seed_label("a@b.c", "", False) == 0
+
+
 def test_forest_and_boosting_learn():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(600, 5))
