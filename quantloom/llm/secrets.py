@@ -10,6 +10,7 @@ they are sure of.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bytewords
-from quantloom.llm.shared import table, unit
+from quantloom.llm.shared import settle, table, unit
 from quantloom.llm.trees import Forest
 
 #: Words that a secret is assigned to, or that stand before one.
@@ -168,17 +169,27 @@ def seed_label(token: str, before: str, assigned: bool) -> int | None:
 
 @dataclass(frozen=True)
 class Scanner:
-    forest: Forest
+    """Scores findings by the forest or, without one, by what the seed rules call true."""
+
+    forest: Forest | None
     background: Background
 
     def judge(self, rows: list[tuple[str, str, str, bool, str | None]]) -> np.ndarray:
         if not rows:
             return np.zeros(0)
+        if self.forest is None:
+            return np.array([float(seed_label(token, before, assigned) == 1) for token, before, _, assigned, _ in rows])
         return self.forest.probability(np.array([features(*r, self.background) for r in rows]))
 
 
-def _scan(docs: DataFrame, path: str, judge: Scanner | None = None) -> DataFrame:
-    """The findings of `docs`: doc_id, start, end (code points), token, before, after, assigned, path and, with a scanner, score."""
+_EXAMPLE = "key binary, label int, x array<double>"
+
+
+def _scan(docs: DataFrame, path: str, judge: Scanner | None = None, seeds: Background | None = None) -> DataFrame:
+    """The findings of `docs`: doc_id, start, end (code points), token, before, after, assigned, path and score.
+
+    With `seeds`, the examples (key, label, x) of those that the seed rules label, instead.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +202,17 @@ def _scan(docs: DataFrame, path: str, judge: Scanner | None = None) -> DataFrame
                     place = int((text[:s] & 0xC0 != 0x80).sum())
                     token = bytes(text[s:e]).decode("utf-8", "replace")
                     rows.append((start + r, place, place + len(token), token, before, after, assigned, paths[start + r].as_py()))
+                if seeds:
+                    labels = [seed_label(x[3], x[4], x[6]) for x in rows]
+                    yield _examples([(*x[3:], y) for x, y in zip(rows, labels, strict=True) if y is not None], seeds)
+                    continue
                 at = [x[0] for x in rows]
                 score = judge.judge([x[3:] for x in rows]) if judge else np.zeros(len(rows))
                 columns = [ids.take(pa.array(at, pa.int64())), *[pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()), 1)], pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "end", "token", "before", "after", "assigned", "path", "score"])
 
     fields = f"doc_id {kind}, start long, end long, token string, before string, after string, assigned boolean, path string, score double"
-    return docs.select("doc_id", "text", F.col(path).cast("string").alias("path")).mapInArrow(run, fields)
+    return docs.select("doc_id", "text", F.col(path).cast("string").alias("path")).mapInArrow(run, _EXAMPLE if seeds else fields)
 
 
 def background(docs: DataFrame, texts: int = 2000) -> Background:
@@ -209,25 +224,37 @@ def background(docs: DataFrame, texts: int = 2000) -> Background:
     return Background.of(Counter({r[0]: r[1] for r in top.collect()}))
 
 
+def _examples(rows: list[tuple], base: Background) -> pa.RecordBatch:
+    """key (a digest of token, before and after), label and features of (token, before, after, assigned, path, label)."""
+    keys = [hashlib.blake2b("\0".join(r[:3]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for r in rows]
+    x = [features(*r[:5], base) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([int(r[5]) for r in rows], pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["key", "label", "x"])
+
+
 def train(docs: DataFrame, path: str = "source", labelled: DataFrame | None = None, most: int = 20_000) -> Scanner:
     """A scanner from labelled findings (token, before, after, assigned, path, label: 0 or 1).
 
-    Without `labelled`, the findings of `docs` that the seed rules are sure of.  At most
-    about `most` of them are taken, chosen by a hash.  Without any, every finding scores 0.
+    Without `labelled`, the findings of all `docs` that the seed rules are sure of.  Findings are
+    labelled in the tasks; those of equal token, before and after count once, and at most
+    most / 2 of each label are taken, chosen by a hash.  Where a label has none, the scanner
+    keeps what the seed rules call true.
     """
     base = background(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("token", "before", "after", "assigned", "path", "label")), strict=True)
+            yield _examples([r for r in rows if r[5] is not None], base)
+
     if labelled is None:
-        n = docs.count()
-        some = docs.where(unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("secrets")) < min(1.0, 10 * most / max(n, 1)))
-        labelled = _scan(some, path).withColumn("label", F.lit(None).cast("int"))
-    order = F.xxhash64("token", "before", "after")
-    rows = labelled.select("token", "before", "after", "assigned", "path", "label").orderBy(order, "token", "before", "after").limit(most).collect()
-    labels = [r["label"] if r["label"] is not None else seed_label(r["token"], r["before"], r["assigned"]) for r in rows]
-    known = [(r, y) for r, y in zip(rows, labels, strict=True) if y is not None]
-    if len({y for _, y in known}) < 2:
-        return Scanner(Forest(), base)
-    x = np.array([features(r["token"], r["before"], r["after"], r["assigned"], r["path"], base) for r, _ in known])
-    return Scanner(Forest().fit(x, np.array([y for _, y in known], float)), base)
+        known = _scan(docs, path, seeds=base)
+    else:
+        columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("token", "before", "after")]
+        known = labelled.where("token <> ''").select(*columns, F.coalesce("assigned", F.lit(False)).alias("assigned"), F.col("path").cast("string"), F.col("label").cast("int")).mapInArrow(run, _EXAMPLE)
+    once = settle(known.groupBy("key").agg(F.min(F.struct("label", "x")).alias("v")).select("key", "v.label", "v.x"), "secrets")
+    rows = [r for y in (0, 1) for r in once.where(F.col("label") == y).orderBy("key").limit(most // 2).collect()]
+    y = np.array([r["label"] for r in rows], float)
+    return Scanner(Forest().fit(np.array([r["x"] for r in rows]), y) if len(set(y)) == 2 else None, base)
 
 
 def scan(docs: DataFrame, scanner: Scanner, path: str = "source", keep: float = 0.5) -> DataFrame:

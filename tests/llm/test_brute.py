@@ -216,6 +216,20 @@ def test_long_tokens_are_findings(spark):
     assert secrets.seed_label("x" * 200_000 + "1", "", False) == 0 and secrets.seed_label("anexample_", "", False) == secrets.seed_label("a@b.c", "", False) == 0
 
 
+def test_rare_and_only_labels_train_the_forest(spark):
+    key = "AKIA" + "Q7" * 8
+    hot = [(i, prose(5, 1) + " 4000000000000001 " + prose(5, 2), "src") for i in range(200)]
+    rows = hot + [(1000 + i, prose(8, i) + f" {4_000_000_000_000_000 + i} or qwe{i}rtyuiop12 " + prose(8, i + 1), "src") for i in range(200)]
+    secret = [(5000 + i, prose(20, i) + f" {key[:-1]}{i} " + prose(20, i + 9), "src") for i in range(3)]
+    docs, alone = (spark.createDataFrame(r, "doc_id long, text string, source string") for r in (rows + secret, secret))
+    kept = lambda d, scanner: {r["doc_id"] for r in secrets.scan(d, scanner).where("kept").collect()}
+    scanner = secrets.train(docs, most=20)
+    assert scanner.forest is not None and {5000, 5001, 5002} <= kept(docs, scanner) <= {5000, 5001, 5002} | set(range(1000, 1200))
+    assert kept(alone, secrets.train(alone)) == {5000, 5001, 5002}
+    given = spark.createDataFrame([(key, "", "", False, None, 1)], "token string, before string, after string, assigned boolean, path string, label int")
+    assert kept(alone, secrets.train(alone, labelled=given)) == {5000, 5001, 5002}
+
+
 def test_forest_and_boosting_learn():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(600, 5))
