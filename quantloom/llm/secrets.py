@@ -1,7 +1,7 @@
 """Secret scans: a random forest that removes false positives from high-recall findings.
 
 A generator proposes every token that could be a credential: long ones with digits or mixed
-case, and any value assigned to a word like "password".  The forest judges a finding by its
+case, and any value assigned to a name with a word like "password" in it.  The forest judges a finding by its
 length, its character transitions (classes, and a transition model of ordinary words),
 its dictionary coverage, its path and the words beside it.  It is trained from labelled
 findings; where none are given, rules of well-known formats label those of the corpus that
@@ -56,9 +56,23 @@ _NEVER = (
 )
 
 
-def _keyword_hashes() -> np.ndarray:
-    body = np.frombuffer(" ".join(KEYWORDS).encode(), np.uint8)
-    return np.sort(bytewords.Words(body, np.array([0, len(body)])).hashes())
+#: Parts of a name: cut at signs, digits and changes of case.
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+_LONG = tuple(k.replace("_", "") for k in KEYWORDS if k not in ("key", "auth", "token"))
+_NAME = re.compile(r"[^\x00-\x20\"'`=:,;()<>\[\]{}|]+")
+
+
+def names_secret(name: str) -> int:
+    """2 if `name` is or ends with a keyword (a last part "key" alone does not do), 1 if it has one elsewhere, 0 without any.
+
+    DB_PASSWORD, client-secret, dbPassword, dbpassword and aws_secret_access_key end with one.
+    """
+    parts = [p.lower().removesuffix("s") for p in _PART.findall(name)]
+    if not parts:
+        return 0
+    if name.lower() in KEYWORDS or "_".join(parts[-2:]) in KEYWORDS or (parts[-1] in KEYWORDS and parts[-1] != "key") or parts[-1].endswith(_LONG):
+        return 2
+    return int(any(p in KEYWORDS or p.endswith(_LONG) for p in parts))
 
 
 def findings(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, str, str, bool]]:
@@ -71,16 +85,14 @@ def findings(body: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int,
         return
     count = lambda flag: np.add.reduceat(np.append(flag[body], 0), np.stack([words.starts, words.ends], 1).ravel())[::2]
     n, digits, upper, lower = words.ends - words.starts, count(_DIGIT), count(_UPPER), count(_LOWER)
-    row, keys = words.row, _keyword_hashes()
-    h = words.hashes()
-    keyed = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+    row = words.row
+    assigns = np.append(0, np.cumsum((body == ord("=")) | (body == ord(":"))))
     assigned = np.zeros(len(n), dtype=bool)
-    assigned[1:] = keyed[:-1] & (row[1:] == row[:-1]) & (words.starts[1:] - words.ends[:-1] <= 5)
+    assigned[1:] = (assigns[words.starts[1:]] > assigns[words.ends[:-1]]) & (row[1:] == row[:-1]) & (words.starts[1:] - words.ends[:-1] <= 5) & (n[1:] >= 6)
     for i in np.flatnonzero(assigned):
-        gap = bytes(body[words.ends[i - 1] : words.starts[i]])
-        assigned[i] = b"=" in gap or b":" in gap
+        assigned[i] = names_secret(bytes(body[words.starts[i - 1] : words.ends[i - 1]]).decode("utf-8", "replace")) > 0
     mixed = ((digits >= 1) & (n >= 12)) | ((upper >= 3) & (lower >= 3) & (n >= 16))
-    for i in np.flatnonzero(mixed | (assigned & (n >= 6))):
+    for i in np.flatnonzero(mixed | assigned):
         low, high = offsets[row[i]], offsets[row[i] + 1]
         s, e = words.starts[i], words.ends[i]
         text = lambda a, b: bytes(body[a:b]).decode("utf-8", "replace")
@@ -132,7 +144,7 @@ def features(token: str, before: str, after: str, assigned: bool, path: str | No
     n = len(codes)
     change = kind[1:] != kind[:-1] if n > 1 else np.zeros(0, bool)
     p = np.bincount(codes, minlength=64) / n
-    words = re.findall(r"\w+", before.lower())
+    named = [names_secret(w) for w in re.findall(r"\w+", before)[-3:]]
     path = path or ""
     return [
         n,
@@ -145,8 +157,8 @@ def features(token: str, before: str, after: str, assigned: bool, path: str | No
         background.coverage(token),
         float(bool(_HEX.fullmatch(token))),
         float(assigned),
-        float(bool(words) and words[-1] in KEYWORDS),
-        float(any(w in KEYWORDS for w in words[-3:])),
+        float(bool(named) and named[-1] > 0),
+        float(any(named)),
         float(bool(HARMLESS.search(before[-24:]))),
         float(before[-1:] in "\"'`" if before else 0),
         float(after[:1] in "\"'`" if after else 0),
@@ -163,7 +175,9 @@ def seed_label(token: str, before: str, assigned: bool) -> int | None:
     if any(r.fullmatch(token) for r in _SURE):
         return 1
     if _HEX.fullmatch(token):
-        return 1 if assigned else 0 if HARMLESS.search(before[-24:]) else None
+        if assigned:
+            return 1 if names_secret((_NAME.findall(before) or [""])[-1]) == 2 else None
+        return 0 if HARMLESS.search(before[-24:]) else None
     return 0 if token.isalpha() and not assigned else None
 
 

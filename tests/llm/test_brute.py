@@ -216,6 +216,17 @@ def test_long_tokens_are_findings(spark):
     assert secrets.seed_label("x" * 200_000 + "1", "", False) == 0 and secrets.seed_label("anexample_", "", False) == secrets.seed_label("a@b.c", "", False) == 0
 
 
+def test_values_assigned_to_compound_names_are_findings():
+    lines = {"DB_PASSWORD=hunter": "hunter", 'client_secret: "s3cr3t!x"': "s3cr3t!x", "aws_secret_access_key=abcdef": "abcdef", "dbPassword = 'qwerty'": "qwerty", "my-api-key: zyxwvu": "zyxwvu", "app.token.value=abcabc": "abcabc", "DBPasswords: lmnopq": "lmnopq", "dbpassword=rstuvw": "rstuvw", "password=ghijkl": "ghijkl"}
+    for line, value in lines.items():
+        assert found(f"some words\n{line}\nmore") == {value: True}
+        token, before = value, "some words\n" + line[: line.index(value)]
+        assert secrets.features(token, before, "", True, None, secrets.Background.of(Counter()))[14:16] == [1.0 if "token.value" not in line else 0.0, 1.0]
+    assert found("monkey: banana and turkey = dinner, title: something") == {} and found("password hunter2") == {}
+    digest = hashlib.sha1(b"x").hexdigest()
+    assert [secrets.seed_label(digest, f"{name} = ", True) for name in ("token", "DB_PASSWORD", "key", "cache_key", "token_sha1")] == [1, 1, 1, None, None]
+
+
 def test_rare_and_only_labels_train_the_forest(spark):
     key = "AKIA" + "Q7" * 8
     hot = [(i, prose(5, 1) + " 4000000000000001 " + prose(5, 2), "src") for i in range(200)]
