@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bytewords
-from quantloom.llm.shared import settle, table, unit
+from quantloom.llm.shared import settle, table
 from quantloom.llm.trees import Forest
 
 #: Words that a secret is assigned to, or that stand before one.
@@ -107,13 +106,12 @@ class Background:
     dictionary: frozenset[str]
 
     @staticmethod
-    def of(words: Counter, frequent: int = 5000) -> Background:
+    def of(pairs: dict[str, int], words: Iterable[str] = ()) -> Background:
+        """From the counts of pairs of letters that stand together, and the frequent words."""
         table_ = np.full((64, 64), 0.5)
-        for w, n in words.items():
-            codes = _codes(w)
-            np.add.at(table_, (codes[:-1], codes[1:]), n)
-        top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:frequent]
-        return Background(np.log(table_ / table_.sum(1, keepdims=True)), frozenset(w for w, _ in top if len(w) >= 3))
+        for pair, n in pairs.items():
+            table_[tuple(_codes(pair))] += n
+        return Background(np.log(table_ / table_.sum(1, keepdims=True)), frozenset(w for w in words if len(w) >= 3))
 
     def coverage(self, s: str) -> float:
         """The part of `s` that dictionary words cover, the longest first at each place."""
@@ -229,13 +227,14 @@ def _scan(docs: DataFrame, path: str, judge: Scanner | None = None, seeds: Backg
     return docs.select("doc_id", "text", F.col(path).cast("string").alias("path")).mapInArrow(run, _EXAMPLE if seeds else fields)
 
 
-def background(docs: DataFrame, texts: int = 2000) -> Background:
-    """From about `texts` texts, chosen by a hash of the id: words of letters only."""
-    n = docs.count()
-    sample = docs.where(unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("background")) < min(1.0, texts / max(n, 1)))
-    words = sample.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where("length(w) between 2 and 30")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(20_000)
-    return Background.of(Counter({r[0]: r[1] for r in top.collect()}))
+def background(docs: DataFrame, frequent: int = 5000) -> Background:
+    """From the words, of 2 to 30 letters, of all texts; the `frequent` most frequent ones are the dictionary."""
+    words = docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where("length(w) between 2 and 30")
+    counts = settle(words.groupBy("w").count(), "words")
+    pair = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring("w", i, F.lit(2)))
+    pairs = counts.select(F.explode(pair).alias("pair"), "count").groupBy("pair").agg(F.sum("count"))
+    top = counts.orderBy(F.desc("count"), "w").limit(frequent)
+    return Background.of({r[0]: r[1] for r in pairs.collect()}, [r["w"] for r in top.collect()])
 
 
 def _examples(rows: list[tuple], base: Background) -> pa.RecordBatch:

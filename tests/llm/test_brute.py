@@ -227,6 +227,19 @@ def test_values_assigned_to_compound_names_are_findings():
     assert [secrets.seed_label(digest, f"{name} = ", True) for name in ("token", "DB_PASSWORD", "key", "cache_key", "token_sha1")] == [1, 1, 1, None, None]
 
 
+def test_background_counts_every_document(spark):
+    rows = [(i, "the hot text of copies") for i in range(4000)] + [(4000 + i, f"zyxwv{chr(97 + i % 5)} Zyxwva") for i in range(40)]
+    base = secrets.background(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert base.dictionary == {"the", "hot", "text", "copies"} | {f"zyxwv{c}" for c in "abcde"}
+    words = Counter(w for _, t in rows for w in t.lower().split())
+    table = np.full((64, 64), 0.5)
+    for w, n in words.items():
+        for a, b in zip(w, w[1:], strict=False):
+            table[ord(a) - 97, ord(b) - 97] += n
+    assert base.transitions == pytest.approx(np.log(table / table.sum(1, keepdims=True)))
+    assert secrets.background(spark.createDataFrame(rows, "doc_id long, text string"), frequent=1).dictionary == {"copies"}
+
+
 def test_rare_and_only_labels_train_the_forest(spark):
     key = "AKIA" + "Q7" * 8
     hot = [(i, prose(5, 1) + " 4000000000000001 " + prose(5, 2), "src") for i in range(200)]
