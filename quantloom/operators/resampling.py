@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_TRADES, MOST_PERMUTATIONS = 10, 100_000
@@ -31,34 +31,47 @@ def sign_flip_test(trades: DataFrame, permutations: int, seed: int = 42, key: st
     return observed.join(hits, key).select(key, "n", "observed", "hits", F.when(F.col("n") >= LEAST_TRADES, (F.col("hits") + 1) / F.lit(permutations + 1)).otherwise(1.0).alias("p"))
 
 
-def bootstrap_paths(returns: DataFrame, paths: int = 10_000, horizon: int = 252, capital: float = 100_000.0, seed: int = 42, most: int = 20_000) -> DataFrame:
+def bootstrap_paths(returns: DataFrame, paths: int = 10_000, horizon: int = 252, capital: float = 100_000.0, seed: int = 42, key: str | None = None) -> DataFrame:
     """path, terminal (value) and max_drawdown of paths made of blocks of BLOCK returns.
 
-    returns: ts, ret; at most `most` of them (80 years of days), so that every task can hold
-    the series; needs 30.  A path draws from a generator of its own, by seed and number, so
-    that it is the same on any cluster.  Blocks begin from 0 up to, not including, n - BLOCK.
+    returns: ts, ret; all of them, of any number from 30.  With `key`, paths of each of its
+    values, under it; values of fewer than 30 returns have none.  A path draws from a generator
+    of its own, by seed and number, so that it is the same on any cluster.  Blocks begin from 0
+    up to, not including, n - BLOCK.  Places are drawn first, then joined to numbered returns.
     """
-    series = np.array([r[0] for r in returns.where("ret is not null").orderBy("ts").select("ret").limit(most).collect()])
-    if len(series) < 30:
+    name = key or "_all"
+    series = returns.where("ret is not null").select((F.col(key) if key else F.lit(0)).alias(name), "ts", "ret")
+    numbered = series.withColumn("place", F.row_number().over(Window.partitionBy(name).orderBy("ts", "ret")) - 1).drop("ts")
+    counts = series.groupBy(name).agg(F.count("*").alias("n")).where("n >= 30")
+    if not key and counts.isEmpty():
         raise ValueError("needs 30 returns")
     blocks = -(-horizon // BLOCK)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            starts = [np.random.Generator(np.random.Philox(key=[seed, int(k)])).integers(0, n - BLOCK, blocks) for k, n in zip(batch["path"], batch["n"], strict=True)]
+            yield pd.DataFrame({name: batch[name], "path": batch["path"], "starts": starts})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for k in batch["path"]:
-                draw = np.random.Generator(np.random.Philox(key=[seed, int(k)]))
-                starts = draw.integers(0, len(series) - BLOCK, blocks)
-                value = capital * np.cumprod(1 + series[(starts[:, None] + np.arange(BLOCK)).ravel()[:horizon]])
+            for steps in batch["rets"]:
+                value = capital * np.cumprod(1 + np.asarray(steps))
                 peak = np.maximum.accumulate(np.concatenate([[capital], value]))[1:]
-                rows.append((k, value[-1], ((peak - value) / peak).max()))
-            yield pd.DataFrame(rows, columns=["path", "terminal", "max_drawdown"])
+                rows.append((value[-1], ((peak - value) / peak).max()))
+            yield batch[[name, "path"]].assign(**dict(zip(("terminal", "max_drawdown"), np.array(rows).reshape(-1, 2).T, strict=True)))
 
-    return returns.sparkSession.range(paths).select(F.col("id").alias("path")).mapInPandas(run, "path long, terminal double, max_drawdown double")
+    kind = numbered.schema[name].dataType.simpleString()
+    drawn = counts.crossJoin(returns.sparkSession.range(paths).withColumnRenamed("id", "path")).mapInPandas(draws, f"{name} {kind}, path long, starts array<long>")
+    begun = drawn.select(name, "path", F.posexplode("starts").alias("block", "start"))
+    steps = begun.select(name, "path", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("i"), "block", "start").select(name, "path", (F.col("block") * BLOCK + F.col("i")).alias("step"), (F.col("start") + F.col("i")).alias("place"))
+    joined = steps.where(F.col("step") < horizon).join(numbered, [name, "place"])
+    whole = joined.groupBy(name, "path").agg(F.sort_array(F.collect_list(F.struct("step", "ret"))).alias("x")).select(name, "path", F.col("x.ret").alias("rets"))
+    return whole.mapInPandas(walk, f"{name} {kind}, path long, terminal double, max_drawdown double").select(*([key] if key else []), "path", "terminal", "max_drawdown")
 
 
-def path_summary(paths: DataFrame, capital: float = 100_000.0) -> DataFrame:
-    """One row: n, percentiles of the terminal value and the drawdown, probabilities of ending under 90, 75, 50 % and of the capital."""
+def path_summary(paths: DataFrame, capital: float = 100_000.0, key: str | None = None) -> DataFrame:
+    """One row, or one of each value of `key`: n, percentiles of the terminal value and the drawdown, probabilities of ending under 90, 75, 50 % and of the capital."""
     p = lambda c, q: F.percentile(c, F.lit(q))
     ruin = {f"below_{k}": F.avg(F.when(F.col("terminal") < capital * k / 100, 1.0).otherwise(0.0)).alias(f"below_{k}") for k in (100, 90, 75, 50)}
-    return paths.agg(F.count("*").alias("n"), F.avg("terminal").alias("mean"), *[p("terminal", q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], *ruin.values(), p("max_drawdown", 0.5).alias("median_drawdown"), p("max_drawdown", 0.95).alias("p95_drawdown"))
+    return paths.groupBy(*([key] if key else [])).agg(F.count("*").alias("n"), F.avg("terminal").alias("mean"), *[p("terminal", q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], *ruin.values(), p("max_drawdown", 0.5).alias("median_drawdown"), p("max_drawdown", 0.95).alias("p95_drawdown"))

@@ -111,5 +111,5 @@ def p19(spark, d):
 
 @query("p18_monte_carlo")
 def p18(spark, d):
-    x = B.returns(B.resample(I.ticks(spark, d), "1h", tie="id")).where("symbol = 'click'").withColumn("ret", F.least(F.greatest(F.col("ret") / 1000, F.lit(-0.05)), F.lit(0.05)))
-    return X.path_summary(X.bootstrap_paths(x, paths=2000))
+    x = B.returns(B.resample(I.ticks(spark, d), "1h", tie="id")).withColumn("ret", F.least(F.greatest(F.col("ret") / 1000, F.lit(-0.05)), F.lit(0.05)))
+    return X.path_summary(X.bootstrap_paths(x, paths=2000, key="symbol"), key="symbol")

@@ -288,6 +288,24 @@ def test_chance_tests_do_not_depend_on_partitions(spark):
         resampling.bootstrap_paths(returns.limit(10), paths=2)
 
 
+def test_bootstrap_paths_use_the_whole_series_of_every_symbol(spark):
+    n, capital = 25_000, 100_000.0
+    x = np.random.default_rng(9).normal(0, 0.01, n)
+    x[:20_000] = 0.0
+    rows = spark.createDataFrame(pd.DataFrame({"symbol": ["A"] * n + ["B"] * 40 + ["C"] * 20, "ts": [*range(n), *range(40), *range(20)], "ret": [*x, *x[-40:], *x[-20:]]}))
+    got = {(r["symbol"], r["path"]): (r["terminal"], r["max_drawdown"]) for r in resampling.bootstrap_paths(rows.repartition(5), paths=30, horizon=50, key="symbol").collect()}
+    assert set(got) == {(s, k) for s in "AB" for k in range(30)}
+    for (symbol, k), (terminal, drawdown) in got.items():
+        series = {"A": x, "B": x[-40:]}[symbol]
+        starts = np.random.Generator(np.random.Philox(key=[42, k])).integers(0, len(series) - resampling.BLOCK, 3)
+        value = capital * np.cumprod(1 + np.concatenate([series[s : s + resampling.BLOCK] for s in starts])[:50])
+        peak = np.maximum.accumulate(np.append(capital, value))[1:]
+        assert (terminal, drawdown) == pytest.approx((value[-1], ((peak - value) / peak).max()))
+    assert len({terminal for (s, _), (terminal, _) in got.items() if s == "A"}) > 1
+    summary = resampling.path_summary(rows.sparkSession.createDataFrame([(s, *v) for (s, _), v in got.items()], "symbol string, terminal double, max_drawdown double"), key="symbol").collect()
+    assert {r["symbol"]: r["n"] for r in summary} == {"A": 30, "B": 30}
+
+
 def test_search(spark):
     assert search.steps(0.1, 0.3, 0.1) == [0.1, 0.2, 0.3]
     assert search.grid(spark, {}).count() == 1 and search.grid(spark, {"a": [1, 2], "b": [3, 4, 5]}).count() == 6
