@@ -208,6 +208,11 @@ class Reader:
         return out / np.maximum(np.bincount(row, n, len(out)), 1)[:, None]
 
 
+def spread(words: list[bytes], most: int) -> list[bytes]:
+    """At most `most` of the words, evenly over all of them."""
+    return words if len(words) <= most else [words[i * len(words) // most] for i in range(most)]
+
+
 def train(docs: DataFrame, per_language: int = 1000, words_per_doc: int = 60, steps: int = 900) -> Network | None:
     """A network from `docs` (doc_id, text, lang); rows without lang or words teach nothing.
 
@@ -229,8 +234,7 @@ def train(docs: DataFrame, per_language: int = 1000, words_per_doc: int = 60, st
             texts, langs = [], []
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
                 words = text.as_py().encode().split()
-                step = max(1, len(words) // words_per_doc)
-                texts.append(b" ".join(words[::step][: words_per_doc + 1]))
+                texts.append(b" ".join(spread(words, words_per_doc)))
                 langs.append(lang.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(langs, pa.string())], names=["words", "lang"])
 

@@ -162,6 +162,13 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) > 0.9
 
 
+@pytest.mark.parametrize("n", [0, 1, 60, 61, 119, 179, 1000])
+def test_training_words_spread_over_the_whole_text(n):
+    got = bigru.spread(list(range(n)), 60)
+    assert len(got) == min(n, 60) and got == sorted(set(got))
+    assert n <= 60 or (got[0] == 0 and got[-1] >= n - 1 - n / 60 and max(b - a for a, b in zip(got, got[1:], strict=False)) <= n // 60 + 1)
+
+
 def test_backpropagation_equals_differences():
     net = bigru.Network(["a", "b", "c"], hidden=3).start()
     x, mask = bigru._padded([b"abc", b"zq", b"hello", b"a"])
