@@ -7,7 +7,7 @@ pair is a link only if the full shingle sets confirm it.
 
 Work grows with the texts, not with the squares of groups:
 
-* texts with equal shingle sets are one node (their class);
+* texts with equal shingle sets are one node (their class); classes that share an id are joined;
 * in a hub round every node is compared with one hub of each of its buckets, and only in
   buckets that still hold nodes of different components;
 * what the rounds leave is compared in full: in each bucket the nodes outside its largest
@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import bytewords
-from quantloom.llm.shared import settle, table
+from quantloom.llm.shared import free, settle, table
 
 _THREE = np.uint64(3)
 
@@ -62,7 +62,7 @@ def distinct_shingles(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[n
 
 
 def _signer(size: int, bands: int, permutations: int, seed: int):
-    """A mapInArrow function: doc_id, text -> doc_id, n_shingles, set_a, set_b, bands."""
+    """A mapInArrow function: doc_id, text, text_hash -> doc_id, text_hash, n_shingles, set_a, set_b, bands."""
     draw = np.random.default_rng(seed)
     factors = draw.integers(0, 1 << 31, bands * permutations, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     shifts = draw.integers(0, 1 << 32, bands * permutations, dtype=np.uint32)
@@ -96,22 +96,23 @@ def _signer(size: int, bands: int, permutations: int, seed: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(start, rows),
+                        batch.column("text_hash").slice(start, rows),
                         pa.array(counts),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
                         lists,
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return sign
 
 
 def signatures(docs: DataFrame, size: int = 5, bands: int = 48, permutations: int = 3, seed: int = 11) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128 bits of the set), bands (a key for each band; none if empty)."""
+    """doc_id, text_hash, n_shingles, set_a and set_b (128 bits of the set), bands (a key for each band; none if empty)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
-    return docs.select("doc_id", "text").mapInArrow(_signer(size, bands, permutations, seed), schema)
+    schema = f"doc_id {kind}, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>"
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(_signer(size, bands, permutations, seed), schema)
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -174,32 +175,43 @@ def _block_comparer(size: int, percent: int, slab: int = 4096):
     return compare
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], count: str, total: int, parts: int = 1000) -> DataFrame:
+    """Inner join of `rows` with the unique keys of `keyed`, where no key gathers in one task.
+
+    count: a column of `keyed`, the number of rows of a key; total: at least their sum.  Keys of
+    more than total / parts rows are fewer than `parts`, and are broadcast; the others shuffle.
+    """
+    hot = F.broadcast(keyed.where(F.col(count) * parts > total))
+    rest = keyed.where(F.col(count) * parts <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """node and component (the least node that it is connected with) for the nodes of `edges` (a, b).
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until the
-    edges stop changing; a hub with most edges is no special case, as minima are
-    pre-aggregated and joins split large partitions.
+    edges stop changing.  Minima are pre-aggregated, and a hub's minimum is broadcast to its edges.
     """
     current = settle(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-edges")
-    before = None
+    before, here = None, current.count()
     while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("k"))
+        large = spread_join(both, least, "u", "k", 2 * here).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settle(large.where("u <> v").distinct(), f"{name}-large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"))
+        small = spread_join(large, least, "u", "k", large.count())
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        current = settle(small.where("u <> v").distinct(), f"{name}-stars")
+        previous, current = current, settle(small.where("u <> v").distinct(), f"{name}-stars")
+        free(previous, large)
         # Done when every node hangs on one root that hangs on nothing, and the last step kept the edges.
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first()
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+        before, here = state, state[0]
 
 
-def _compare_blocks(current: DataFrame, texts: DataFrame, kind: str, size: int, percent: int, block: int) -> DataFrame:
+def _compare_blocks(current: DataFrame, texts: DataFrame, size: int, percent: int, block: int) -> DataFrame:
     """The links (a, b) between the nodes outside the largest component of each bucket and all of its nodes."""
     outside = F.col("all") - F.col("main.k")
     parts = current.withColumns({"p": F.ceil(outside / block).cast("int"), "q": F.ceil(F.col("all") / (2 * block)).cast("int")})
@@ -209,10 +221,24 @@ def _compare_blocks(current: DataFrame, texts: DataFrame, kind: str, size: int,
     inner = parts.select("bucket", "node", F.lit(False).alias("outer"), deal("q").alias("j"), every("p").alias("i"))
     rows = outer.unionByName(inner).join(texts, "node")
     blocks = rows.groupBy("bucket", "i", "j")
-    links = blocks.applyInArrow(_block_comparer(size, percent), f"a {kind}, b {kind}").where("a <> b")
+    links = blocks.applyInArrow(_block_comparer(size, percent), "a long, b long").where("a <> b")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, parts: int = 1000) -> DataFrame:
+    """a, b and linked for each pair of `pairs` (node, hub), by the full sets; a hub with many pairs is salted."""
+    total = pairs.count()
+    hot = pairs.groupBy("hub").agg(F.count("*").alias("k")).where(F.col("k") * parts > total)
+    hot = F.broadcast(hot.select("hub", F.ceil(F.col("k") * parts / max(total, 1)).cast("int").alias("salts")))  # fewer than `parts`
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = pairs.join(hot, "hub", "left").select("hub", "node", F.pmod(F.xxhash64("node"), salts).cast("int").alias("salt"))
+    hubs = texts.select(F.col("node").alias("hub"), F.col("text").alias("text_b")).join(pairs.select("hub").distinct(), "hub", "left_semi")
+    hubs = hubs.join(hot, "hub", "left").select("hub", "text_b", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    one = texts.select("node", F.col("text").alias("text_a"))
+    full = dealt.join(one, "node").join(hubs, ["hub", "salt"]).select(F.col("node").alias("a"), F.col("hub").alias("b"), "text_a", "text_b")
+    return full.mapInArrow(_confirmer(size, percent), "a long, b long, linked boolean")
+
+
 def link(
     docs: DataFrame,
     size: int = 5,
@@ -235,30 +261,30 @@ def link(
     they share the component of all their texts.  A row with a null id links nothing and is kept,
     with a null component.  No rows give none.
     """
-    signed = settle(signatures(docs, size, bands, permutations), "signatures")
+    # Row numbers stay as they are once the table is written.
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    signed = settle(signatures(docs, size, bands, permutations).withColumn("row", F.monotonically_increasing_id()), "signatures")
     of_set = ["set_a", "set_b", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("node"))
+    linkable = signed.where("n_shingles > 0 and doc_id is not null")
+    # A node is a class of equal sets, named by its first row; an id may have several.
+    classes = linkable.groupBy(*of_set).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("members"))
     classes = settle(classes, "classes")
-    in_class = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *of_set).join(classes, of_set).select(F.col("doc_id"), "node")
-    copies = in_class.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-
-    keyed = signed.select(F.col("doc_id").alias("node"), *of_set, "bands").join(classes.select("node", *of_set), ["node", *of_set], "left_semi")
-    keyed = keyed.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    n_rows, n_classes = classes.agg(F.coalesce(F.sum("members"), F.lit(0)), F.count("*")).first()
+    in_class = spread_join(linkable.select("doc_id", *of_set), classes.drop("least"), of_set, "members", n_rows)
+    in_class = settle(in_class.select("doc_id", "node").distinct(), "class-ids")
+    several = in_class.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")
+    same_id = settle(in_class.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")), "same-id")
+
+    firsts = signed.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "doc_id", "text_hash", F.col("n_shingles").alias("n"), "bands")
+    firsts = settle(firsts, "class-bands")
+    keyed = firsts.select("node", "n", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = settle(keyed.join(shared.select("bucket"), "bucket"), "bucket-members")
+    members = settle(spread_join(keyed, shared, "bucket", "members", n_classes * bands).drop("members"), "bucket-members")
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where(F.col("node").isNotNull())
-    involved = settle(members.select("node").distinct(), "bucket-nodes")
-    texts = settle(texts.join(involved, "node", "left_semi").dropDuplicates(["node"]), "bucket-texts")
+    involved = firsts.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    texts = settle(docs.join(involved, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "bucket-texts")
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        full = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-        return settle(full.mapInArrow(_confirmer(size, percent), f"a {kind}, b {kind}, linked boolean"), name)
-
     def labelled(found: DataFrame | None) -> DataFrame:
         if found is None:
             return members.withColumn("component", F.col("node"))
@@ -266,12 +292,13 @@ def link(
 
     def open_buckets(of: DataFrame, name: str) -> DataFrame:
         """The members of buckets with more than one component, with the bucket's size, open pairs, and largest component."""
+        of = settle(of, f"{name}-labels") if found is not None else of
         sizes = of.groupBy("bucket", "component").agg(F.count("*").alias("k"))
         several = sizes.groupBy("bucket").agg(
             F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.max(F.struct("k", "component")).alias("main")
         )
         several = several.where("all * all > squares").select("bucket", "all", "main", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("pairs"))
-        return settle(of.join(several, "bucket"), name)
+        return settle(spread_join(of, several, "bucket", "all", n_classes * bands), name)
 
     links = tried = found = None
     for turn in range(rounds + 1):
@@ -283,25 +310,37 @@ def link(
             break
         full = turn == rounds or (turn > 0 and left <= few_pairs)
         if full:
-            new = _compare_blocks(current, texts, docs.schema["doc_id"].dataType.simpleString(), size, percent, block)
-            new = settle(new, "block-links")
+            new = settle(_compare_blocks(current, texts, size, percent, block), "block-links")
         else:
             # The first round's hub is the least node; later ones differ by bucket and round.
             rank = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
-            hub = current.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("hub"))
-            pairs = current.join(hub, "bucket").where((F.col("component") != F.col("hub.component")) & close(F.col("n"), F.col("hub.n")))
-            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+            hub = current.groupBy("bucket", "all").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "component")).alias("hub"))
+            pairs = spread_join(current.drop("all"), hub, "bucket", "all", n_classes * bands)
+            pairs = pairs.where((F.col("component") != F.col("hub.component")) & close(F.col("n"), F.col("hub.n")))
+            pairs = pairs.groupBy(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).agg(F.min("hub.node").alias("hub"))
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            result = confirmed(pairs, f"compared-{turn}")
+            pairs = settle(pairs.select((F.when(F.col("a") == F.col("hub"), F.col("b")).otherwise(F.col("a"))).alias("node"), "hub"), f"pairs-{turn}")
+            result = settle(_confirmed(pairs, texts, size, percent), f"compared-{turn}")
+            result = result.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "linked")
             tried = result.select("a", "b") if tried is None else tried.union(result.select("a", "b"))
             new = result.where("linked").select("a", "b")
         links = new if links is None else links.union(new)
         if full:
             break
         found = components(links, f"links-{turn}")
-    every = components(copies if links is None else copies.union(links), "all-links")
-    out = signed.select("doc_id", "n_shingles").join(every.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    every = components(same_id if links is None else same_id.union(links), "all-links")
+    every = every.union(every.select("component", "component").distinct())
+    # Each component is named by the least id of its classes.
+    least = every.join(classes.select("node", "least"), "node")
+    names = least.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    of_node = spread_join(every, names, "component", "k", n_classes).select("node", "component_id")
+    of_node = classes.select("node", "members", "least").join(of_node, "node", "left")
+    of_node = settle(of_node.select("node", "members", F.coalesce("component_id", "least").alias("component")), "class-components")
+    moved = spread_join(in_class, of_node, "node", "members", n_rows).where("doc_id <> component")
+    moved = moved.groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = settle(signed.select("doc_id", "n_shingles").join(moved, "doc_id", "left"), "components")
+    free(signed, classes, in_class, same_id, firsts, members, texts, of_node)
     component = F.coalesce("component", "doc_id").alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -309,12 +348,15 @@ def link(
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one with the least id.
 
-    Of repeated rows with that id, and of rows with equal id and text, one stays; rows with a
-    null id all stay.
+    Of several rows with that id one stays (the one whose text has the least hash); rows with
+    a null id all stay.
     """
     kept = link(docs.select("doc_id", "text"), size, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    return with_id.join(kept, with_id["doc_id"] == kept["__kept"], "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text_hash"))
+    with_id = packed.where(F.col("__id").isNotNull())
+    once = with_id.join(kept, with_id["__id"] == kept["__kept"], "left_semi")
+    once = once.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy("__text_hash"))).where("__nth = 1")
+    return once.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,37 +11,70 @@ from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
+_HOOKED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, with its file system named.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is taken, one an
-    application.
+    Only where that is unset and the master is local, as in tests on one machine, a temporary
+    folder is taken, one an application; on a cluster that would lose rows, and it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="quantloom-"))
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The application's part of the shared folder; it is deleted when the driver's Python ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _HOOKED:
+        _HOOKED.add(application)
+        atexit.register(_release_at_end, spark)
+    return f"{shared_folder(spark)}/{application}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """`df`, written as a table in the shared folder and read again.
 
     This cuts the lineage: the files outlive lost executors, and what follows reads only
-    the columns that it needs.  `release` deletes all of an application's tables.
+    the columns that it needs.  `free` deletes tables that nothing reads any more, `release`
+    all of an application's tables.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._settled = path
+    return again
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes the files of `tables`, as `settle` returned them; what was computed from them must be settled itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._settled)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes every table that `settle` wrote for this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
+def _release_at_end(spark: SparkSession) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception:  # the session is gone already
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

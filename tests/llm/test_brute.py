@@ -98,6 +98,50 @@ def test_near_duplicates_on_the_small_table(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == components_of({r["doc_id"]: r["text"] for r in rows_of(spark)}, 2)
 
 
+def test_rows_of_one_id_share_the_component_of_all_their_texts(spark):
+    from quantloom.llm import minmax
+
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(1, a), (1, b), (2, b + " x y"), (3, a + " u v"), (4, ""), (5, ""), (5, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minmax.link(docs, size=2).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (None, None, True)}
+    kept = minmax.keep_one(docs, size=2).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 4]
+
+    draw = random.Random(9)
+    texts = family(60, 12, 5) + family(40, 40, 6) + [prose(40, k) for k in range(30)]
+    rows = [(draw.randrange(90), draw.choice(texts)) for _ in range(200)]
+    linked = components_of({n: t for n, (_, t) in enumerate(rows)}, 2)
+    parent = {i: i for i, _ in rows}
+    for _ in rows:  # ids that share a component of texts, until nothing changes
+        for c in set(linked.values()):
+            low = min(parent[i] for n, (i, _) in enumerate(rows) if linked[n] == c)
+            for n, (i, _) in enumerate(rows):
+                parent[i] = min(parent[i], low) if linked[n] == c else parent[i]
+    got = minmax.link(spark.createDataFrame([(f"id{i:03d}", t) for i, t in rows], "doc_id string, text string"), size=2, block=16).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {f"id{i:03d}": f"id{c:03d}" for i, c in parent.items()}
+
+
+def test_a_hot_key_is_joined_and_salted_whole(spark):
+    from quantloom.llm import minmax
+
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 100, k) for k in range(500)], "key long, v long")
+    keyed = rows.groupBy("key").agg(F.count("*").alias("n")).where("key <> 3")
+    for parts in (1, 4, 1000):
+        got = minmax.spread_join(rows, keyed, "key", "n", 500, parts).collect()
+        assert sorted((r["key"], r["v"]) for r in got) == sorted((k, v) for k, v in ((k % 7 if k % 2 else 100, k) for k in range(500)) if k != 3)
+    texts = {k: t for k, t in enumerate([prose(60, 1)] + family(30, 20, 3))}
+    pairs = [(k, 1) for k in range(2, 31)] + [(0, 1), (2, 3)]
+    for parts in (1, 5, 1000):
+        got = minmax._confirmed(spark.createDataFrame(pairs, "node long, hub long"), spark.createDataFrame(list(texts.items()), "node long, text string"), 2, 80, parts)
+        got = {(r["a"], r["b"]): r["linked"] for r in got.collect()}
+        assert set(got) == set(pairs)
+        for (a, b), linked in got.items():
+            x, y = ({tuple(w[k : k + 2]) for k in range(len(w) - 1)} for w in (space_words(texts[a]), space_words(texts[b])))
+            assert linked == (100 * len(x & y) >= 80 * len(x | y))
+
+
 # Personal data -----------------------------------------------------------------------------
 
 
