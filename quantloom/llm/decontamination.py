@@ -1,10 +1,12 @@
 """Benchmark decontamination: training windows looked up in a set of benchmark word n-grams.
 
 A window is `window` consecutive words of a benchmark item (a shorter item is one window).
-Every window of every training text is hashed and looked up in the set of benchmark
-windows, which is broadcast while it is small enough (the rows are counted first) and
-joined by shuffle otherwise.  Hits are then verified word by word, only on the texts that
-have any, and mark the words that they cover.
+One pass over the training texts takes the windows of all lengths: a position is hashed in
+full only if a table of 65,536 slots holds the first two words of some benchmark window (or
+the one word of an item of one word).  The hashes are looked up in the set of benchmark
+windows, which is broadcast while its bytes are few (they are counted first) and joined by
+shuffle otherwise.  Hits are then verified word by word, only on the texts that have any,
+and mark spans of words.
 
 All steps are DataFrame functions.  Texts are shuffled only if they have a hit.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import settle, table
+from quantloom.llm.shared import free, settle, table
 
 
 def _ascii_class(keep) -> str:
@@ -30,7 +32,8 @@ _RAW_WORD = f"[{_ascii_class(str.isalnum)}\\x{{80}}-\\x{{10FFFF}}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The columns that `decontaminate` adds; columns of `docs` with these names are replaced.
-ADDED = ("_n_words", "_n_hit", "_hit_words", "_items", "_contaminated")
+ADDED = ("_n_words", "_n_hit", "_hit_spans", "_items", "_contaminated")
+_SLOT_BITS = 16
 
 
 def _words(text: Column, separators: str) -> Column:
@@ -51,108 +54,146 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(_words(text, _RAW_SEPARATORS), lambda w: F.xxhash64(F.lower(w)))
 
 
-def _window_hashes(hashes: str, length: int) -> Column:
-    """One hash for each run of `length` word hashes; the place in the array is its start."""
-    at = F.when(F.size(hashes) >= length, F.sequence(F.lit(0), F.size(hashes) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(length)]))
+def _slot(hash_: Column) -> Column:
+    return F.shiftrightunsigned(hash_, 64 - _SLOT_BITS).cast("int")
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """item_id, length, gram (the words, joined by spaces) and h for each distinct window of each item."""
+    """item_id, length, gram (the words, joined by spaces), h and slot (of the first two words) for each distinct window of each item."""
     words = benchmark.select("item_id", exact_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     length = F.least(F.lit(window), F.size("words"))
     starts = words.select("item_id", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("at"))
     grams = starts.select("item_id", "length", F.slice("words", F.col("at") + 1, F.col("length")).alias("gram")).distinct()
-    folded = F.transform("gram", lambda w: F.xxhash64(F.lower(w)))
+    hashed = grams.withColumn("hashes", F.transform("gram", lambda w: F.xxhash64(F.lower(w))))
     by_length = F.lit(None).cast("bigint")
     for k in range(1, window + 1):
         by_length = F.when(F.col("length") == k, F.xxhash64(*[F.get("hashes", F.lit(i)) for i in range(k)])).otherwise(by_length)
-    return grams.withColumn("hashes", folded).select("item_id", "length", F.array_join("gram", " ").alias("gram"), by_length.alias("h"))
+    slot = _slot(F.when(F.col("length") == 1, F.get("hashes", F.lit(0))).otherwise(F.xxhash64(F.get("hashes", F.lit(0)), F.get("hashes", F.lit(1)))))
+    return hashed.select("item_id", "length", F.array_join("gram", " ").alias("gram"), by_length.alias("h"), slot.alias("slot"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The columns of `docs` and, for each row, what of it stands in the benchmark.
+def _slots(windows: DataFrame) -> Column:
+    """A byte a slot, 1 where a window of `windows` begins: a binary literal of fixed size."""
+    table_ = bytearray(1 << _SLOT_BITS)
+    for (slot,) in windows.select("slot").distinct().collect():
+        table_[slot] = 1
+    return F.lit(bytes(table_))
 
-    Added: _n_words, _n_hit (words inside any window), _hit_words (their places, from 0),
-    _items (ids of the items with an occurring window, as sorted strings), _contaminated.
 
-    docs: doc_id, text and any other columns; benchmark: item_id, text.  Up to
-    `broadcast_rows` windows (or ids of texts with hits) are broadcast; beyond that they are
-    joined by shuffle.  Null and empty texts have no words and no hits; items with a null id
-    mark words but are no item.  Repeated rows each get their row; no rows give none.
-    """
+def _candidates(hashes: str, windows: DataFrame, lengths: list[int]) -> Column:
+    """An array of (at, length, h): the windows of a text that may be among `windows`."""
+    taken = lambda slots, h: F.substring(slots, _slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
+    singles = _slots(windows.where("length = 1")) if 1 in lengths else None
+    longer = _slots(windows.where("length > 1")) if lengths[-1] > 1 else None
+
+    def maybe(i: Column) -> Column:
+        one = taken(singles, F.get(hashes, i)) if singles is not None else F.lit(False)
+        return one | taken(longer, F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1))) if longer is not None else one
+
+    places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
+    of = lambda i, k: F.struct(i.alias("at"), F.lit(k).alias("length"), F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]).alias("h"))
+    return F.flatten(F.transform(F.filter(places, maybe), lambda i: F.array(*[of(i, k) for k in lengths])))
+
+
+def _spans(places: str) -> Column:
+    """The runs of consecutive numbers of a sorted array without repeats, as (start, end), end exclusive."""
+    first = F.filter(places, lambda x, i: F.coalesce(F.get(places, i - 1), F.lit(-9)) != x - 1)
+    last = F.filter(places, lambda x, i: F.coalesce(F.get(places, i + 1), F.lit(-9)) != x + 1)
+    return F.zip_with(first, last, lambda x, y: F.struct(x.alias("start"), (y + 1).alias("end")))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_bytes: int) -> DataFrame:
+    """row (a struct of the columns of `docs`, whatever their names) and the columns ADDED."""
     keys = [F.col("doc_id").alias("__id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__text_hash")]
     same = ["__id", "__text_hash"]
 
     def on(left: DataFrame, right: DataFrame) -> Column:
         return left["__id"].eqNullSafe(right["__id"]) & (left["__text_hash"] == right["__text_hash"])
 
+    def small(table_: DataFrame, row_bytes: Column) -> bool:
+        return (table_.agg(F.sum(row_bytes)).first()[0] or 0) <= broadcast_bytes
+
     windows = settle(benchmark_windows(benchmark.select("item_id", "text"), window), "benchmark-windows")
-    grams = windows.select("length", "gram", "h").distinct()
-    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most `window` values
-    small = windows.count() <= broadcast_rows
-    keep = F.broadcast if small else (lambda x: x)
-    hashed = docs.select(*keys, _word_hashes(F.col("text")).alias("hashes"))
-    found = None
-    for k in lengths:
-        at = hashed.select(*same, F.posexplode(_window_hashes("hashes", k)).alias("at", "h"))
-        hits = at.join(keep(grams.where(F.col("length") == k)), "h").select(*same, "at", "length", "gram")
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "__id bigint, __text_hash bigint, at int, length int, gram string")
-        found = found.withColumn("__id", F.col("__id").cast(docs.schema["doc_id"].dataType))
-    found = settle(found, "window-hits")
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # at most `window` values
+    few = small(windows, F.octet_length("gram") + F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit(""))) + 64)
+    keep = F.broadcast if few else (lambda x: x)
+    if lengths:
+        hashed = docs.select(*keys, _word_hashes(F.col("text")).alias("hashes"))
+        at = hashed.select(*same, F.explode(_candidates("hashes", windows, lengths)).alias("w")).select(*same, "w.*")
+        found = at.join(keep(windows.select("length", "h").distinct()), ["length", "h"]).select(*same, "at", "length")
+    else:
+        found = docs.select(*keys, F.lit(0).alias("at"), F.lit(0).alias("length")).limit(0)
+    found = settle(found.distinct(), "window-hits")
 
     # Verification reads again only the texts with a hit.
     hit_keys = settle(found.select(*same).distinct(), "hit-texts")
-    keep = F.broadcast if hit_keys.count() <= broadcast_rows else (lambda x: x)
     keyed = docs.select(*keys, "text")
-    suspects = keyed.join(keep(hit_keys), on(keyed, hit_keys), "left_semi").dropDuplicates(same)
+    id_bytes = F.octet_length(F.coalesce(F.col("__id").cast("string"), F.lit(""))) + 64
+    suspects = keyed.join(F.broadcast(hit_keys) if small(hit_keys, id_bytes) else hit_keys, on(keyed, hit_keys), "left_semi").dropDuplicates(same)
     suspects = suspects.select(*same, exact_words(F.col("text")).alias("words"))
-    per_text = found.groupBy(*same).agg(F.collect_set(F.struct("at", "length", "gram")).alias("hits"))
+    per_text = found.groupBy(*same).agg(F.collect_list(F.struct("at", "length")).alias("hits"))
     joined = suspects.join(per_text, on(suspects, per_text)).select(suspects["__id"], suspects["__text_hash"], "words", "hits")
-    true_hit = lambda x: F.array_join(F.slice("words", x["at"] + 1, x["length"]), " ") == x["gram"]
-    verified = settle(joined.select(*same, F.filter("hits", true_hit).alias("hits")).where(F.size("hits") > 0), "verified-hits")
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1))))
-    occurring = verified.select(*same, F.explode(F.array_distinct(F.transform("hits", lambda x: x["gram"]))).alias("gram"))
+    read = lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), F.array_join(F.slice("words", x["at"] + 1, x["length"]), " ").alias("gram"))
+    read_hits = joined.select(*same, F.explode(F.transform("hits", read)).alias("x")).select(*same, "x.*")
+    verified = settle(read_hits.join(keep(windows.select("gram").distinct()), "gram", "left_semi"), "verified-hits")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["at"], x["at"] + x["length"] - 1)))))
+    spans = verified.groupBy(*same).agg(F.collect_list(F.struct("at", "length")).alias("hits")).select(*same, covered.alias("places"))
+    spans = spans.select(*same, F.size("places").cast("long").alias("_n_hit"), _spans("places").alias("_hit_spans"))
     item_grams = windows.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "gram")
-    items = occurring.join(F.broadcast(item_grams) if small else item_grams, "gram").groupBy(*same).agg(F.sort_array(F.collect_set("item")).alias("_items"))
-    words_hit = verified.select(*same, covered.alias("_hit_words"))
-    marks = words_hit.join(items, on(words_hit, items), "left").select(words_hit["__id"], words_hit["__text_hash"], "_hit_words", "_items")
+    occurring = verified.select(*same, "gram").distinct().join(keep(item_grams), "gram")
+    items = occurring.groupBy(*same).agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    marks = spans.join(items, on(spans, items), "left").select(spans["__id"], spans["__text_hash"], "_n_hit", "_hit_spans", "_items")
     marks = settle(marks, "marks")
-    if marks.count() <= broadcast_rows // 10:
+    free(windows, found, hit_keys, verified)
+    mark_bytes = id_bytes + 16 * F.size("_hit_spans") + F.octet_length(F.array_join(F.coalesce("_items", F.array().cast("array<string>")), ", "))
+    if small(marks, mark_bytes):
         marks = F.broadcast(marks)
-    all_docs = docs.withColumns({"__id": keys[0], "__text_hash": keys[1]})
-    nothing, none = F.array().cast("array<int>"), F.array().cast("array<string>")
-    return (
-        all_docs.join(marks, on(all_docs, marks), "left")
-        .withColumn("_hit_words", F.coalesce("_hit_words", nothing))
-        .select(
-            *[all_docs[c] for c in docs.columns if c not in ADDED],
-            F.regexp_count(F.coalesce(all_docs["text"], F.lit("")), F.lit(_RAW_WORD)).cast("long").alias("_n_words"),
-            F.size("_hit_words").cast("long").alias("_n_hit"),
-            F.sort_array("_hit_words").alias("_hit_words"),
-            F.coalesce("_items", none).alias("_items"),
-            (F.size("_hit_words") > 0).alias("_contaminated"),
-        )
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_RAW_WORD)).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), n_words.alias("_n_words"), *keys)
+    return rows.join(marks, on(rows, marks), "left").select(
+        "row",
+        "_n_words",
+        F.coalesce("_n_hit", F.lit(0).cast("long")).alias("_n_hit"),
+        F.coalesce("_hit_spans", F.array().cast("array<struct<start:int,end:int>>")).alias("_hit_spans"),
+        F.coalesce("_items", F.array().cast("array<string>")).alias("_items"),
+        F.col("_n_hit").isNotNull().alias("_contaminated"),
     )
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """The columns of `docs` and, for each row, what of it stands in the benchmark.
+
+    Added: _n_words, _n_hit (words inside any window), _hit_spans (the runs of such words,
+    as places from 0, end exclusive), _items (ids of the items with an occurring window, as
+    sorted strings), _contaminated.
+
+    docs: doc_id, text and any other columns; benchmark: item_id, text.  Windows, ids of texts
+    with hits and marks are broadcast up to `broadcast_bytes` each; beyond that they are
+    joined by shuffle.  Null and empty texts have no words and no hits; items with a null id
+    mark words but are no item.  Repeated rows each get their row; no rows give none.
+    """
+    return _marked(docs, benchmark, window, broadcast_bytes).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
+
+
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of `docs` without any benchmark window."""
-    return decontaminate(docs, benchmark, window).where(~F.col("_contaminated")).select(*docs.columns)
+    """The rows of `docs` without any benchmark window; all columns as they were."""
+    return _marked(docs, benchmark, window, 64 << 20).where(~F.col("_contaminated")).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """`docs` with the words inside benchmark windows cut out of the texts.
 
     A text with a hit comes back as its remaining words, normalised and joined by spaces;
-    other texts are unchanged.
+    other texts, and all other columns, are unchanged.
     """
-    marked = decontaminate(docs, benchmark, window)
-    rest = F.filter(exact_words(F.col("text")), lambda w, i: ~F.array_contains(F.col("_hit_words"), i))
-    clean = F.when(F.col("_contaminated"), F.array_join(rest, " ")).otherwise(F.col("text"))
-    return marked.withColumn("text", clean).select(*docs.columns)
+    marked = _marked(docs, benchmark, window, 64 << 20)
+    words, n = exact_words(F.col("row.text")), F.size("_hit_spans")
+    end = lambda k: F.coalesce(F.get("_hit_spans", k - 1)["end"], F.lit(0))
+    start = lambda k: F.coalesce(F.get("_hit_spans", k)["start"], F.size("__w"))
+    rest = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda k: F.slice("__w", end(k) + 1, start(k) - end(k))))
+    clean = F.when(F.col("_contaminated"), F.array_join(rest, " ")).otherwise(F.col("row.text"))
+    columns = [F.col("row").getField(c).alias(c) if c != "text" else clean.alias(c) for c in docs.columns]
+    return marked.withColumn("__w", F.when(F.col("_contaminated"), words)).select(*columns)
 
 
 def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

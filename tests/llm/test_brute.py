@@ -341,6 +341,38 @@ def test_decontamination(spark):
         assert (g["n_words"], g["n_hit"], g["n_items"], g["items_sha256"]) == (len(w), len(hit), len(items), hashlib.sha256(ids.encode()).hexdigest())
 
 
+def test_decontamination_with_items_of_one_to_twelve_words(spark):
+    draw = random.Random(12)
+    texts = {i: prose(60, 700 + i) for i in range(80)}
+    bench = {}
+    for n in range(1, 13):
+        for k in range(2):
+            at, words = draw.randrange(40), texts[draw.randrange(20)].split()
+            bench[10 * n + k] = " ".join(words[at : at + n]) if n > 1 else f"only{k}"
+    texts |= {200: "Only0", 201: "said only1, said", 202: "", 203: None, 204: " ".join(bench[n] for n in bench)}
+    want = {}
+    for i, t in texts.items():
+        w, hit, items = ascii_words(t), set(), set()
+        for item, b in bench.items():
+            g = ascii_words(b)
+            n = min(10, len(g))
+            for x in range(len(g) - n + 1):
+                for k in range(len(w) - n + 1):
+                    if w[k : k + n] == g[x : x + n]:
+                        hit |= set(range(k, k + n))
+                        items.add(str(item))
+        want[i] = (sorted(hit), sorted(items))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    items = spark.createDataFrame(list(bench.items()), "item_id long, text string")
+    for few in (0, 64 << 20):
+        got = {r["doc_id"]: r for r in decontamination.decontaminate(docs, items, broadcast_bytes=few).collect()}
+        assert {i: ([x for s in r["_hit_spans"] for x in range(s["start"], s["end"])], r["_items"]) for i, r in got.items()} == want
+        assert all(r["_n_hit"] == len(want[i][0]) and r["_contaminated"] == bool(want[i][0]) for i, r in got.items())
+        assert all(a["end"] < b["start"] for r in got.values() for a, b in zip(r["_hit_spans"], r["_hit_spans"][1:], strict=False))
+    cut = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(docs, items).collect()}
+    assert all(cut[i] == (" ".join(w for k, w in enumerate(ascii_words(t)) if k not in want[i][0]) if want[i][0] else t) for i, t in texts.items())
+
+
 def test_lower_case_beyond_ascii_is_kept_apart(spark):
     docs = spark.createDataFrame([(1, "É A b"), (2, "é a B"), (3, "xΑΣ' y"), (4, "\u212a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(9, "é a b"), (8, "xας y"), (7, "k b")], "item_id long, text string")

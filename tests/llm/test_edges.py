@@ -37,11 +37,12 @@ def test_decontamination(spark, docs, none):
     assert got[8]["_contaminated"] and got[4]["_items"] == ["4"] and got[9]["_items"] == ["5"]
     assert got[1]["_n_words"] == 0 and not got[1]["_contaminated"] and not got[5]["_items"]
     assert decontamination.decontaminate(docs, bench).count() == docs.count()
-    assert decontamination.decontaminate(docs, bench, broadcast_rows=0).where("_contaminated").count() == decontamination.decontaminate(docs, bench).where("_contaminated").count()
+    assert decontamination.decontaminate(docs, bench, broadcast_bytes=0).where("_contaminated").count() == decontamination.decontaminate(docs, bench).where("_contaminated").count()
     assert decontamination.decontaminate(docs, bench.limit(0)).where("_contaminated").count() == 0
     assert decontamination.decontaminate(none, bench).count() == 0
     kept = decontamination.remove_documents(docs, bench)
     assert kept.columns == docs.columns and kept.where("doc_id in (4, 6, 7, 8, 9)").count() == 0 and kept.where("doc_id = 1").count() == 1
+    assert kept.where("_n_hit <> 1 or _items <> 1 or __text_hash <> 1 or row <> 1").count() == 0
     cut = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(docs, bench).collect()}
     assert cut[6] == "" and "東京" not in cut[9] and "Straße" not in cut[9] and "straße" in cut[9] and cut[5] == edge_rows()[4][1]
 

@@ -46,7 +46,7 @@ def edge_rows() -> list[tuple]:
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with names that operators use inside.
-CLASHES = "hits, words, key, size, node, component, bucket, range, text_hash, y, score, kept, n_words, _words, __id, __source, h, at, bands"
+CLASHES = "_n_words, _n_hit, _hit_spans, _items, _contaminated, __text_hash, row, __nth, set, text_hash, hub, salt, hits, words, key, size, node, component, bucket, range, y, score, kept, n_words, _words, __id, __source, h, at, bands"
 
 
 def edge_docs(spark, clashes: bool = True):
