@@ -2,21 +2,24 @@
 
 The records are put into one order, by a hash of the text and then by a hash of the id,
 so that equal texts stand together.  A sample whose chances follow the records' sizes gives
-the boundaries of many ranges of near equal bytes; a key that the sample meets often (a
-group of copies) gets several boundaries of its own, and a range that still has too many
-rows is subdivided.  Offsets inside ranges and offsets of ranges together give every record
-its exact place in the order, from which shard and slot follow.
+the boundaries of many ranges of near equal bytes; a range that has too many rows is
+subdivided by a second sample of its keys.  Boundaries fall between texts; only a text that
+alone fills several ranges has boundaries among its ids.  Offsets inside ranges and offsets
+of ranges together give every record its exact place in the order, from which shard and slot
+follow.
 
 Everything is DataFrame functions; texts are never shuffled.  The driver sees only the
-sampled keys (about ``ranges * oversample``) and no row of the corpus.
+sampled keys (about ``oversample`` a range) and a row a range, and no row of the corpus.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import settle, table, unit
+from quantloom.llm.shared import free, settle, table, unit
 
 LAW = "bytes"
 
@@ -26,53 +29,58 @@ def _order_key(hash_: Column, tie: Column) -> Column:
     return F.concat(F.lpad(F.hex(hash_), 16, "0"), F.lpad(F.hex(tie), 16, "0"))
 
 
-def _splitters(keyed: DataFrame, total: int, ranges: int, oversample: int) -> list[str]:
-    """At most ranges - 1 boundaries, from a sample whose chances follow the sizes."""
-    wanted = ranges * oversample
-    chance = F.col("size").cast("double") * wanted / max(total, 1)
-    sample = sorted(r[0] for r in keyed.where(unit(F.col("key"), F.lit("sample")) < chance).select("key").collect())
-    picked = [sample[len(sample) * i // ranges] for i in range(1, ranges)] if len(sample) >= ranges else sample
+def _cuts(sample: list[str], parts: int) -> list[str]:
+    """The boundaries of about `parts` equal parts of a sample of keys."""
+    sample = sorted(sample)
+    picked = [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= parts else sample
     heads: dict[str, int] = {}
     for k in picked:
         heads[k[:16]] = heads.get(k[:16], 0) + 1
     # A range begins at the first record of its text, but for texts that fill several ranges.
-    return sorted({k if heads[k[:16]] > 1 else k[:16] for k in picked})
+    return sorted({x for k in picked for x in ((k[:16], k) if heads[k[:16]] > 1 else (k[:16],))})
 
 
-def _range_of(key: Column, splitters: list[str]) -> Column:
-    """The number of splitters at or below `key`, by halving steps over a literal array."""
-    if not splitters:
-        return F.lit(0)
-    width = 1 << (len(splitters)).bit_length()
+def _place(bounds: Column, n: Column | int, most: int, key: Column) -> Column:
+    """How many of the first `n` (at most `most`) sorted `bounds` are at or below `key`, by halving steps."""
+    width = 1 << most.bit_length()
     steps = F.array(*[F.lit(width >> i) for i in range(1, width.bit_length())])
-    bounds = F.array(*[F.lit(s) for s in splitters])
-    return F.aggregate(
-        steps, F.lit(0), lambda at, step: F.when((at + step <= len(splitters)) & (F.get(bounds, at + step - 1) <= key), at + step).otherwise(at)
-    )
+    step = lambda at, w: F.when((at + w <= n) & (F.get(bounds, at + w - 1) <= key), at + w).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
+
 
+def _ranged(keyed: DataFrame, splitters: list[str]) -> DataFrame:
+    """`keyed` with range: the number of splitters at or below the key.
 
-def shard(
-    docs: DataFrame,
-    shards: int = 8,
-    ranges: int = 256,
-    oversample: int = 32,
-    most_rows: int = 200_000,
-    group_part: float = 1e-3,
-) -> DataFrame:
+    The splitters lie in two levels of about the square root of their number each: the upper
+    ones are a literal, the lower ones a broadcast table of sorted arrays.
+    """
+    if not splitters:
+        return keyed.withColumn("range", F.lit(0))
+    width = math.isqrt(len(splitters) - 1) + 1
+    blocks = [splitters[i : i + width] for i in range(0, len(splitters), width)]
+    upper = [b[0] for b in blocks]
+    rows = [(0, 0, [])] + [(k + 1, k * width, b) for k, b in enumerate(blocks)]
+    lower = F.broadcast(keyed.sparkSession.createDataFrame(rows, "__block int, __from int, __bounds array<string>"))
+    block = _place(F.array(*[F.lit(x) for x in upper]), len(upper), len(upper), F.col("key"))
+    # Generated, so that the optimizer copies the expression to neither side of the join.
+    joined = keyed.withColumn("__block", F.explode(F.array(block))).join(lower, "__block")
+    inner = _place(F.col("__bounds"), F.size("__bounds"), width, F.col("key"))
+    return joined.withColumn("range", (F.col("__from") + inner).cast("int")).drop("__block", "__from", "__bounds")
+
+
+def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, oversample: int = 32, most_rows: int = 1_000_000, group_part: float = 1e-3) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) for each row of `docs`.
 
     docs: doc_id, text (other columns are ignored).  Law: the shards' bytes are near equal.
-    ranges: sorting ranges (at most 4096, as their boundaries are a literal of the plan);
-    oversample: sampled keys a range; most_rows: rows of a range above which it is
-    subdivided; group_part: a group of equal texts stays in one shard unless it has more
-    than this part of a shard's bytes.
+    ranges: sorting ranges, more where the rows are over `most_rows` a range; oversample:
+    sampled keys a range; most_rows: rows of a range above which it is subdivided;
+    group_part: a group of equal texts stays in one shard unless it has more than this part
+    of a shard's bytes.
 
     Null text: size 1, crc32 0, as the empty text.  Null or repeated ids and repeated rows each
     get a slot.  No rows: an empty result.  Shard sizes differ by less than
     2 * group_part of a shard plus twice the largest record.
     """
-    if not 1 <= ranges <= 4096:
-        raise ValueError("ranges must be from 1 to 4096")
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = settle(
         docs.select(
@@ -84,45 +92,61 @@ def shard(
         "shard-keys",
     )
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranged = keyed.withColumn("range", _range_of(F.col("key"), _splitters(keyed, total, ranges, oversample)))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("rows") / most_rows)).cast("int")
-    overfull = F.broadcast(ranged.groupBy("range").agg(F.count("*").alias("rows")).where(F.col("rows") > most_rows).select("range", pieces.alias("pieces")))
-    # An overfull range is subdivided by a hash of the id: at most `ranges` rows are broadcast.
-    placed = ranged.join(overfull, "range", "left").withColumn(
-        "piece", F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces"))).otherwise(0).cast("int")
-    )
-    by_piece = Window.partitionBy("range", "piece")
-    inside = by_piece.orderBy("key", "doc_id", "size")
-    same_text = Window.partitionBy("range", "piece", F.substring("key", 1, 16))
+    total = max(total, 1)
+    ranges = max(ranges, -(-rows // most_rows))
+    drawn = lambda df, chance: df.where(unit(F.col("doc_id"), F.col("key"), F.lit("sample")) < chance)
+    by_size = F.col("size").cast("double") * ranges * oversample / total
+    splitters = _cuts([r[0] for r in drawn(keyed, by_size).select("key").collect()], ranges)
+
+    def overfull(ranged: DataFrame) -> dict[int, int]:
+        """Ranges of over `most_rows` rows: fewer than rows / most_rows."""
+        return {r[0]: r[1] for r in ranged.groupBy("range").count().where(F.col("count") > most_rows).collect()}
+
+    # Many small records fill no range by bytes: they are sampled by rows.
+    ranged = _ranged(keyed, splitters)
+    full = overfull(ranged)
+    if full:
+        table_ = F.broadcast(docs.sparkSession.createDataFrame([(k, oversample * -(-n // most_rows) / n) for k, n in full.items()], "range int, chance double"))
+        sample: dict[int, list[str]] = {}
+        for r in drawn(ranged.join(table_, "range"), F.col("chance")).select("range", "key").collect():
+            sample.setdefault(r[0], []).append(r[1])
+        more = [x for k, found in sample.items() for x in _cuts(found, -(-full[k] // most_rows))]
+        splitters = sorted(set(splitters) | set(more))
+        ranged = _ranged(keyed, splitters)
+    inside = Window.partitionBy("range").orderBy("key", "doc_id", "size")
+    head = F.substring("key", 1, 16).alias("head")
+    same_text = Window.partitionBy("range", "head")
     ordered = settle(
-        placed.withColumn("nth", F.row_number().over(inside) - 1)
-        .withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("before", F.coalesce(F.col("before"), F.lit(0)))
+        ranged.withColumn("head", head)
+        .withColumn("nth", F.row_number().over(inside) - 1)
+        .withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("group_bytes", F.sum("size").over(same_text))
-        .withColumn("group_before", F.min("before").over(same_text))
-        .drop("pieces"),
+        .withColumn("group_before", F.min("before").over(same_text)),
         "shard-order",
     )
-    # One row a piece: at most `ranges` plus rows / most_rows.
-    totals = ordered.groupBy("range", "piece").agg(F.sum("size").alias("piece_bytes"), F.count("*").alias("piece_rows"))
-    running = Window.orderBy("range", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "range",
-        "piece",
-        F.coalesce(F.sum("piece_bytes").over(running), F.lit(0)).alias("bytes_before"),
-        F.coalesce(F.sum("piece_rows").over(running), F.lit(0)).alias("rows_before"),
-    )
-    whole = F.col("group_bytes") <= max(total, 1) / shards * group_part
-    at = F.col("bytes_before") + F.when(whole, F.col("group_before")).otherwise(F.col("before"))
-    if ranges + rows // most_rows <= 100_000:
-        offsets = F.broadcast(offsets)
-    placed = ordered.join(offsets, ["range", "piece"]).select(
+    # A row a range, with running sums, on the driver.
+    offsets, at_bytes, at_rows = [], 0, 0
+    for k, n_bytes, n in ordered.groupBy("range").agg(F.sum("size"), F.count("*")).orderBy("range").collect():
+        offsets.append((k, at_bytes, at_rows))
+        at_bytes, at_rows = at_bytes + n_bytes, at_rows + n
+    spark = docs.sparkSession
+    located = ordered.join(F.broadcast(spark.createDataFrame(offsets, "range int, bytes_before long, rows_before long")), "range")
+    # Texts that lie in several ranges: as many as there are splitters among ids at most.
+    cut = spark.createDataFrame([(x,) for x in sorted({k[:16] for k in splitters if len(k) > 16})], "head string")
+    several = located.join(F.broadcast(cut), "head", "left_semi").groupBy("head")
+    several = several.agg(F.sum("size").alias("head_bytes"), F.min(F.col("bytes_before") + F.col("before")).alias("head_before"))
+    located = located.join(F.broadcast(several), "head", "left")
+    whole = F.coalesce("head_bytes", "group_bytes") <= total / shards * group_part
+    start = F.coalesce(F.col("head_before"), F.col("bytes_before") + F.col("group_before"))
+    at = F.when(whole, start).otherwise(F.col("bytes_before") + F.col("before"))
+    placed = located.select(
         "doc_id",
         "size",
         "text_crc32",
-        F.least(F.lit(shards - 1), F.floor(at * shards / F.lit(max(total, 1)))).cast("int").alias("shard"),
+        F.least(F.lit(shards - 1), F.floor(at * shards / F.lit(total))).cast("int").alias("shard"),
         (F.col("rows_before") + F.col("nth")).cast("long").alias("at"),
     )
+    free(keyed)
     first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # one row a shard
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id",
