@@ -6,14 +6,17 @@ overlap, in looser formats ("name at host dot org", numbers with other separator
 Boosted trees judge each candidate by its format and by the words around it; a threshold per
 kind, on calibrated probabilities, selects what is redacted besides.
 
-There are no hand labels, so the trees learn from the corpus itself: base spans are
-positives, and so are loosened copies of them in their own context (separators changed,
-prefix dropped, "@" and "." spelled out); candidates that look alike but fail the checks
-(Luhn, ranges, lengths), versions, dates and bare numbers are negatives.
+There are no hand labels, so the trees learn from the corpus itself.  Positives are base
+spans and what the generators propose for loosened copies of them in their own context
+(separators changed, prefix dropped, "@" and "." spelled out).  Negatives are candidates whose
+plain form fails the base checks (Luhn, ranges, lengths), addresses whose last part is no
+top-level domain, dates, versions and other numbered things, and bare numbers.  A candidate whose plain form passes may
+well be personal data: it teaches nothing, unless a word like "version" stands beside it.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm.shared import table, unit
+from quantloom.llm.shared import free, settle, table, unit
 from quantloom.llm.trees import Boosted
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,13 +41,22 @@ _DIGIT = re.compile(r"[0-9]")
 
 #: Generators of looser candidates, with the kind that they propose.
 _LOOSE = (
-    ("email", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_%+-]{0,40}(?: ?[\[(]at[\])] ?| at |@)[A-Za-z0-9-]{1,40}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,40}){1,4}")),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+(?: ?[\[(]at[\])] ?| at |@)[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]++)+")),
     ("ip", re.compile(r"(?<![0-9])[0-9]{1,3}(?:[.,:_-]| ?[\[(](?:\.|dot)[\])] ?)[0-9]{1,3}(?:(?:[.,:_-]| ?[\[(](?:\.|dot)[\])] ?)[0-9]{1,3}){2}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]{2,6}){2,4}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9])(?:\+|00|\()?[0-9]{1,4}[)]?(?:[\x20./()-]{1,2}[0-9]{2,5}){2,5}(?![0-9])")),
 )
 
 
+#: Common top-level domains besides two-letter ones (fixed values).
+_DOMAINS = frozenset("com org net edu gov mil int info biz name pro dev app io ai example test invalid local".split())
+#: Words right before a number that is no personal data.
+_NUMBERED = re.compile(r"(version|licen[cs]e|section|chapter|page|isbn|issn|rfc|article|figure|fig\.?|table|no\.?|nr\.?|§)\s*[:#]?\s*\Z", re.I)
+
+
+_DATE = re.compile(r"(?:(?:1[6-9]|20)[0-9]{2}([-./ ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./ ])[0-9]{1,2}\2(?:1[6-9]|20)[0-9]{2})(?![0-9]).*")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -80,16 +92,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end) that the generators propose; they may overlap."""
-    if not _DIGIT.search(text) and "@" not in text and " at " not in text and "at)" not in text and "at]" not in text:
-        return []
-    digits = _DIGIT.search(text) is not None
+    digits, at = _DIGIT.search(text) is not None, any(x in text for x in ("@", " at ", "at)", "at]"))
     out = []
     for kind, pattern in _LOOSE:
-        if kind == "email" and not ("@" in text or " dot " in text or "dot)" in text or "dot]" in text):
-            continue
-        if kind != "email" and not digits:
-            continue
-        out += [(KINDS.index(kind), m.start(), m.end()) for m in pattern.finditer(text)]
+        if at if kind == "email" else digits:
+            out += [(KINDS.index(kind), m.start(), m.end()) for m in pattern.finditer(text)]
     return out
 
 
@@ -126,6 +133,8 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float("(" in s),
         float(luhn(digits)) if len(digits) >= 12 else -1.0,
         float(max((int(g[:6]) for g in groups), default=0) <= 255),
+        float(bool(_NUMBERED.search(text[max(0, start - 24) : start]))),
+        float(bool(_DATE.match(text, start, end))),
         float(before.isalnum() or before in "=/#_"),
         float(after.isalnum() or after in "=/_"),
         *[float(bool(c.search(around))) for c in _CUES],
@@ -146,8 +155,39 @@ def _loosen(kind: int, s: str, k: int) -> str:
     return ("-".join(tail), f"({tail[0]}) {tail[1]}-{tail[2]}", "00" + digits[:-10] + " " + " ".join(tail))[k % 3]
 
 
-def _overlaps(a: tuple[int, int, int], spans: list[tuple[int, int, int]]) -> bool:
-    return any(a[1] < e and s < a[2] for _, s, e in spans)
+def apart(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of `spans` that overlap none of `base`: by binary search over sorted starts."""
+    ordered = sorted(base, key=lambda x: x[1])
+    starts, upto = [s for _, s, _ in ordered], []
+    for _, _, e in ordered:
+        upto.append(max(e, upto[-1] if upto else 0))
+    free = []
+    for x in spans:
+        k = bisect.bisect_left(starts, x[2])  # those before it begin before x ends
+        if not k or upto[k - 1] <= x[1]:
+            free.append(x)
+    return free
+
+
+def plain_form(kind: int, s: str) -> str:
+    """A candidate with its separators as the plain format has them."""
+    if kind == 0:
+        s = re.sub(r" ?[\[(]at[\])] ?| at ", "@", s)
+        return re.sub(r" ?[\[(]dot[\])] ?| dot ", ".", s)
+    if kind == 1:
+        return ".".join(re.findall(r"[0-9]+", s))
+    return ("" if kind == 2 else "+") + "".join(re.findall(r"[0-9]", s))
+
+
+def unsure(text: str, kind: int, start: int, end: int) -> bool:
+    """A candidate that may be personal data: its plain form passes the base checks, and nothing beside it denies it."""
+    s = plain_form(kind, text[start:end])
+    if (kind, 0, len(s)) not in base_spans(s):
+        return False
+    if kind == 0:
+        top = s.rpartition(".")[2].lower()
+        return (len(top) == 2 and top.isalpha()) or top in _DOMAINS
+    return not (_NUMBERED.search(text[max(0, start - 24) : start]) or _DATE.match(text, start, end))
 
 
 def examples(text: str) -> list[tuple[list[float], float]]:
@@ -156,14 +196,15 @@ def examples(text: str) -> list[tuple[list[float], float]]:
     base = base_spans(text)
     for n, (kind, start, end) in enumerate(base):
         out.append((features(text, kind, start, end), 1.0))
-        loose = _loosen(kind, text[start:end], n)
-        out.append((features(text[max(0, start - 60) : start] + loose + text[end : end + 60], kind, min(start, 60), min(start, 60) + len(loose)), 1.0))
-    for c in candidates(text):
-        if not _overlaps(c, base):
-            out.append((features(text, *c), 0.0))
-    for m in re.finditer(r"(?<![0-9A-Za-z])[0-9][0-9.,/-]*", text):  # bare numbers, versions, dates: negatives of every number kind
-        span = (2 + len(out) % 2, m.start(), m.end())
-        if not _overlaps(span, base):
+        loose, low = _loosen(kind, text[start:end], n), max(0, start - 60)
+        near, span = text[low:start] + loose + text[end : end + 60], (kind, start - low, start - low + len(loose))
+        if span in candidates(near):  # as it is served, or not at all
+            out.append((features(near, *span), 1.0))
+    found = apart(candidates(text), base)
+    # Bare numbers, versions and dates are looked at as cards and as phone numbers in turn.
+    bare = [(2 + n % 2, m.start(), m.end()) for n, m in enumerate(re.finditer(r"(?<![0-9A-Za-z])[0-9][0-9.,/-]*", text))]
+    for span in found + apart(bare, base + found):
+        if not unsure(text, *span):
             out.append((features(text, *span), 0.0))
     return out
 
@@ -180,38 +221,50 @@ class Detector:
         base = base_spans(text)
         if self.trees is None:
             return base, []
-        loose = [c for c in candidates(text) if not _overlaps(c, base)]
+        loose = apart(candidates(text), base)
         if not loose:
             return base, []
         p = self.trees.probability(np.array([features(text, *c) for c in loose]))
-        added: list[tuple[int, int, int]] = []
+        added: list[tuple[int, int, int]] = []  # sorted by start; none overlaps another
         for i in np.argsort(-p, kind="stable"):
-            if p[i] >= self.thresholds[loose[i][0]] and not _overlaps(loose[i], added):
-                added.append(loose[i])
+            kind, start, end = loose[i]
+            if p[i] < self.thresholds[kind]:
+                continue
+            at = bisect.bisect_left(added, start, key=lambda x: x[1])
+            if (at == len(added) or added[at][1] >= end) and (not at or added[at - 1][2] <= start):
+                added.insert(at, loose[i])
         return base, added
 
 
 def train(docs: DataFrame, texts: int = 20_000, rows: int = 40_000, precision: float = 0.98) -> Detector:
-    """A detector from about `texts` texts (chosen by a hash of the id) and at most `rows` of their candidates.
+    """A detector from about `texts` texts (chosen by a hash of the id, a null one as empty) and their candidates.
 
+    At most rows / 2 of each label are taken, by a hash of id and place; rows of one text and
+    id are repeated as often as they stand, and ties in the hash are broken by the features.
     Each kind's threshold is the least at which `precision` holds on the calibration third.
     Without positives or without negatives there are no trees, and only base spans are found.
     """
     count = docs.count()
-    sample = docs.where(unit(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit("pii")) < min(1.0, texts / max(count, 1))).select("text")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    sample = docs.where(unit(key, F.lit("pii")) < min(1.0, texts / max(count, 1))).select(key.alias("key"), "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [r for t in batch.column("text") for r in examples(t.as_py() or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.list_(pa.float64())), pa.array([r[1] for r in got], pa.float64())], names=["x", "y"])
-
-    got = sample.mapInArrow(gather, "x array<double>, y double").orderBy(F.xxhash64("x"), "x").limit(rows).toArrow()
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                got = examples(text.as_py() or "")
+                columns = [pa.array([key] * len(got), pa.string()), pa.array(range(len(got)), pa.int64()), pa.array([r[0] for r in got], pa.list_(pa.float64())), pa.array([r[1] for r in got], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "nth", "x", "y"])
+
+    known = settle(sample.mapInArrow(gather, "key string, nth long, x array<double>, y double"), "pii-examples")
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("key", "nth"), "x").limit(rows // 2).select("x", "y").toArrow() for y in (0, 1)]
+    free(known)
+    got = pa.concat_tables(parts)
     if not got.num_rows:
         return Detector(None, (1.0,) * 4)
     x, y = np.array(got["x"].to_pylist()), got["y"].to_numpy()
     if y.min() == y.max():
         return Detector(None, (1.0,) * 4)
-    held = np.arange(len(y)) % 3 == 0
+    held = np.arange(len(y)) % 3 == 0  # of each label, as the rows of one follow the other's
     trees = Boosted().fit(x, y, held=held)
     p, hy, hk = trees.probability(x[held]), y[held], x[held][:, 0]
     thresholds = []
