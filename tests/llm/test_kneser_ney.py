@@ -4,6 +4,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow.fs
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,42 @@ def test_edge_rows_and_nothing_to_learn(spark):
     untrained = kneser_ney.train(docs.limit(0))
     assert kneser_ney.score(docs, untrained).where(F.col("n_known") > 0).count() == 0
     assert kneser_ney.score(docs.limit(0), untrained).count() == 0
+
+
+@pytest.mark.parametrize(("width", "bits"), [(32, 2), (32, 9), (33, 2), (40, 16), (40, 20)])
+def test_pairs_are_packed_and_unpacked(width, bits):
+    draw = np.random.default_rng(width)
+    pairs = kneser_ney.Pairs(width, bits)
+    left, right = (draw.integers(0, 1 << width, 5000) for _ in range(2))
+    bucket, key = pairs.pack(left, right)
+    assert bucket.min() >= 0 and bucket.max() < 1 << bits and (bits > 9 or len(set(bucket)) == 1 << bits)
+    for b in np.unique(bucket)[:200]:
+        x, y = pairs.unpack(int(b), key[bucket == b])
+        assert (x == left[bucket == b]).all() and (y == right[bucket == b]).all()
+    twice = lambda a: np.concatenate([a, a[::-1]])
+    b, k, back = pairs.distinct(twice(bucket), twice(key))
+    assert (b[back] == twice(bucket)).all() and (k[back] == twice(key)).all() and len(set(zip(b, k, strict=True))) == len(k)
+    assert list(zip(b, k, strict=True)) == sorted(zip(b, k, strict=True))
+    assert kneser_ney.Pairs.of(1000, 1e9).bits == 30 and kneser_ney.Pairs.of(5 << 32, 1) == kneser_ney.Pairs(35, 6)
+
+
+def test_wide_ids_many_buckets_and_few_open_files_give_the_same_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(40, i)) for i in range(60)], "doc_id long, text string")
+    scores = lambda model: [tuple(r) for r in kneser_ney.score(docs, model).orderBy("doc_id").collect()]
+    plain = scores(kneser_ney.train(docs))
+    for model in (kneser_ney.train(docs, width=33), kneser_ney.train(docs, per_bucket=20, texts_per_bucket=2)):
+        assert all(a[:3] == b[:3] and a[3:] == pytest.approx(b[3:]) for a, b in zip(plain, scores(model), strict=True))
+    files = kneser_ney.Files(model.uri, most_open=2)
+    for b in range(6):
+        files.read(f"pairs-{b}", np.uint64)
+    assert len(files.maps) == 2
+    assert kneser_ney._slim(np.array([1, 1 << 33])).tolist() == [1, 1 << 33] and kneser_ney._slim(np.array([1, 2])).dtype == np.uint32
+
+    class Far(kneser_ney.Files):
+        def _at(self, name):
+            fs, path = super()._at(name)
+            return pyarrow.fs.SubTreeFileSystem("/", fs), path
+
+    name = next(f"pairs-{b}" for b in range(6) if len(files.read(f"pairs-{b}", np.uint64)))
+    far = [Far(model.uri).read(name, np.uint64) for _ in range(2)]
+    assert (far[0] == files.read(name, np.uint64)).all() and far[0].filename == far[1].filename != files.read(name, np.uint64).filename
