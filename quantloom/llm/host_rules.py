@@ -2,8 +2,9 @@
 
 Every text is measured once; each rule is a test of the measures.  Rule failures are summed
 by host.  Over all hosts the failure rates of a rule give the two parameters of a beta
-prior (method of moments, hosts weighted by their documents), and a host's rate is its
-posterior mean, so that a small host needs more evidence than a large one.  A host whose
+prior (method of moments: hosts weighted by their documents, the binomial noise of their
+counts taken off), and a host's rate is its posterior mean, so that a small host needs more
+evidence than a large one.  A host whose
 shrunk rate of any rule reaches `reject` is rejected with its documents.
 
 All steps are DataFrame functions.  No text is shuffled.
@@ -77,25 +78,38 @@ def rules() -> dict[str, Column]:
     }
 
 
+def prior_of(hosts: int, docs: float, squares: float, failures: int, spread: float) -> tuple[float, float]:
+    """Mean and weight in documents of a rule's beta prior.
+
+    squares: the sum of the hosts' documents squared; spread: that of failures**2 / documents.
+    """
+    mean = failures / docs if docs else 0.0
+    room = docs - squares / docs - (hosts - 1) if docs else 0.0
+    if not 0 < mean < 1 or room <= 0:
+        return mean, 1.0
+    rho = ((spread - failures * mean) / (mean * (1 - mean)) - (hosts - 1)) / room
+    return mean, min(max(1 / rho - 1, 1.0), 1e6) if rho > 0 else 1e6
+
+
 def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
     """A row a host: __hr_host, __hr_docs, and shrunk_<rule> for each rule.
 
     Rows are pre-aggregated before the shuffle, so a host with most rows costs no more than
-    others.  With fewer than two hosts, or equal rates, a rule's prior has the weight of one
-    document.
+    others.  A rule's prior has the weight of 1 / rho - 1 documents, from 1 to a million, rho
+    being the correlation of two documents of one host: what the hosts' weighted spread has
+    beyond chance.  Without such a spread it is a million documents; with fewer than two hosts,
+    one document each, or a rule that all or no documents fail, one document.
     """
     failed = {k: F.sum(F.when(v, 1).otherwise(0)).alias(f"failed_{k}") for k, v in rules().items()}
     hosts = settle(measured.groupBy(F.col(host).alias("__hr_host")).agg(F.count("*").alias("__hr_docs"), *failed.values()), "hosts")
-    moments = []
+    docs = F.col("__hr_docs").cast("double")
+    moments = [F.count("*").alias("hosts"), F.sum(docs).alias("docs"), F.sum(docs * docs).alias("squares")]
     for k in failed:
-        rate = F.col(f"failed_{k}") / F.col("__hr_docs")
-        moments += [(F.sum(f"failed_{k}") / F.sum("__hr_docs")).alias(f"mean_{k}"), F.var_samp(rate).alias(f"var_{k}")]
+        moments += [F.sum(f"failed_{k}").alias(f"sum_{k}"), F.sum(F.col(f"failed_{k}") * F.col(f"failed_{k}") / docs).alias(f"spread_{k}")]
     prior = hosts.agg(*moments).first()
     out = hosts
     for k in failed:
-        mean, var = prior[f"mean_{k}"] or 0.0, prior[f"var_{k}"] or 0.0
-        # a + b of the prior: mean (1 - mean) / var - 1, kept between 1 and a million documents
-        strength = min(max(mean * (1 - mean) / var - 1, 1.0), 1e6) if var > 0 else 1.0
+        mean, strength = prior_of(prior["hosts"], prior["docs"] or 0.0, prior["squares"] or 0.0, prior[f"sum_{k}"] or 0, prior[f"spread_{k}"] or 0.0)
         out = out.withColumn(f"shrunk_{k}", (F.col(f"failed_{k}") + strength * mean) / (F.col("__hr_docs") + strength))
     return out.select("__hr_host", "__hr_docs", *[f"shrunk_{k}" for k in failed])
 
@@ -148,13 +162,17 @@ f as (
          word_chars < 2 * n_words or word_chars > 20 * n_words as word_length from m),
 h as (select source, count(*) as docs, """
     + ", ".join(f"sum({k}::int) as {k}" for k in _HOST_RULES)
-    + " from f group by source),\np as (select "
-    + ", ".join(f"sum({k}) / sum(docs) as mean_{k}, coalesce(var_samp({k} / docs), 0) as var_{k}" for k in _HOST_RULES)
-    + " from h),\nj as (select source, greatest("
+    + " from f group by source),\np as (select count(*) as hosts, sum(docs)::double as n, sum(docs::double * docs) as squares, "
+    + ", ".join(f"sum({k})::double as sum_{k}, sum({k}::double * {k} / docs) as spread_{k}" for k in _HOST_RULES)
+    + " from h),\nq as (select *, n - squares / n - (hosts - 1) as room, "
+    + ", ".join(f"sum_{k} / n as mean_{k}" for k in _HOST_RULES)
+    + " from p),\nrho as (select *, "
+    + ", ".join(f"case when mean_{k} > 0 and mean_{k} < 1 and room > 0 then ((spread_{k} - sum_{k} * mean_{k}) / (mean_{k} * (1 - mean_{k})) - (hosts - 1)) / room end as rho_{k}" for k in _HOST_RULES)
+    + " from q),\nj as (select source, greatest("
     + ", ".join(f"({k} + s_{k} * mean_{k}) / (docs + s_{k})" for k in _HOST_RULES)
     + ") >= 0.5 as host_rejected from h, (select *, "
-    + ", ".join(f"case when var_{k} > 0 then least(greatest(mean_{k} * (1 - mean_{k}) / var_{k} - 1, 1.0), 1e6) else 1.0 end as s_{k}" for k in _HOST_RULES)
-    + """ from p))
+    + ", ".join(f"case when rho_{k} is null then 1.0 when rho_{k} > 0 then least(greatest(1 / rho_{k} - 1, 1.0), 1e6) else 1e6 end as s_{k}" for k in _HOST_RULES)
+    + """ from rho))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short or repeats as base_failed,
        not (short or repeats) and not host_rejected as kept, host_rejected
 from f join j on f.source is not distinct from j.source
