@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bytewords
-from quantloom.llm.shared import remainder, table, unit
+from quantloom.llm.shared import free, remainder, settle, table, unit
 
 BITS = 24
 
@@ -39,7 +39,7 @@ def _features(body: np.ndarray, offsets: np.ndarray, skips: int) -> Iterator[tup
 
 
 def _gather(skips: int):
-    """A mapInArrow function: text, y -> the sorted distinct coordinates (int32 bytes) of each text, y."""
+    """A mapInArrow function: doc_id, text, y -> doc_id, the sorted distinct coordinates (int32 bytes) of each text, y."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,7 +49,8 @@ def _gather(skips: int):
                 bounds = np.searchsorted(codes >> BITS, np.arange(end - start + 1))
                 low = (codes & ((1 << BITS) - 1)).astype(np.int32)
                 rows = [low[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column("y").slice(start, end - start)], names=["codes", "y"])
+                cut = lambda c: batch.column(c).slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([cut("doc_id"), pa.array(rows, pa.binary()), cut("y")], names=["doc_id", "codes", "y"])
 
     return gather
 
@@ -101,20 +102,28 @@ def ftrl(rows: list[tuple[np.ndarray, int]], importance: tuple[float, float], ep
     return Model(used[keep], final[keep], float(weights(z[-1:], n[-1:], 0.0)[0]), skips)
 
 
-def train(docs: DataFrame, known: DataFrame, most: tuple[int, int] = (5000, 3000), skips: int = 2) -> Model:
+def train(docs: DataFrame, known: DataFrame, most: tuple[int, int] = (5000, 3000), skips: int = 2, driver_bytes: int = 256 << 20) -> Model:
     """The model of `docs` (doc_id, text) and `known` (doc_id, y: 0 or 1; other values are left out).
 
     most: labels of 0 and of 1 taken, chosen by a hash of the id, so that about that many
     ids are broadcast and that many texts' features reach the driver; rows of a label that
-    has more are weighted up to stand for all of its rows.  Without any rows of one of the
-    labels the model has no weights.
+    has more are weighted up to stand for all of its rows.  driver_bytes: where the features
+    have more bytes, so many texts are taken, by another hash of the id, as fit.  Repeated
+    rows teach as often as they stand.  Without any rows of one of the labels the model has no
+    weights.
     """
     known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     count = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     chance = F.when(F.col("y") == 1, min(1.0, most[1] / max(count.get(1, 0), 1))).otherwise(min(1.0, most[0] / max(count.get(0, 0), 1)))
     picked = known.where(unit(F.col("doc_id"), F.lit("toxicity")) < chance).select("doc_id", F.col("y").cast("int").alias("y"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "y")
-    got = chosen.mapInArrow(_gather(skips), "codes binary, y int").toArrow()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    features = settle(chosen.mapInArrow(_gather(skips), f"doc_id {kind}, codes binary, y int"), "toxicity-features")
+    size = features.agg(F.sum(F.octet_length("codes") + 16)).first()[0] or 0
+    fits = unit(F.col("doc_id"), F.lit("bytes")) < min(1.0, driver_bytes / max(size, 1))
+    # By id, so that the order of learning is the same on every run.
+    got = features.where(fits).orderBy("doc_id", "y", F.xxhash64("codes")).select("codes", "y").toArrow()
+    free(features)
     held = got["codes"].combine_chunks().cast(pa.large_binary())
     body = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)
     offs = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset :] if len(held) else []
