@@ -115,9 +115,9 @@ class Background:
 
     def coverage(self, s: str) -> float:
         """The part of `s` that dictionary words cover, the longest first at each place."""
-        s, i, covered = s.lower(), 0, 0
+        s, i, covered, longest = s.lower(), 0, 0, max(map(len, self.dictionary), default=0)
         while i < len(s):
-            for k in range(min(12, len(s) - i), 2, -1):
+            for k in range(min(longest, len(s) - i), 2, -1):
                 if s[i : i + k] in self.dictionary:
                     covered += k
                     i += k
@@ -248,9 +248,9 @@ def train(docs: DataFrame, path: str = "source", labelled: DataFrame | None = No
     """A scanner from labelled findings (token, before, after, assigned, path, label: 0 or 1).
 
     Without `labelled`, the findings of all `docs` that the seed rules are sure of.  Findings are
-    labelled in the tasks; those of equal token, before and after count once, and at most
-    most / 2 of each label are taken, chosen by a hash.  Where a label has none, the scanner
-    keeps what the seed rules call true.
+    labelled in the tasks; those of equal token, before and after count once (with the lesser
+    label where they differ), and at most most / 2 of each label are taken, by a hash of the
+    three.  Where a label has none, the scanner keeps what the seed rules call true.
     """
     base = background(docs)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantloom.llm import bigru, bytewords, catalog, decontamination, mixing, pii, secrets, sharding, shared, toxicity, trees
-from tests.llm.texts import edge_docs, edge_rows, fold, prose, space_words
+from tests.llm.texts import WORDS, edge_docs, edge_rows, fold, prose, space_words
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -273,6 +274,68 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([got[i] == (i % 3 == 0) for i in held]) > 0.98
 
 
+def test_ftrl_equals_a_plain_loop():
+    draw = np.random.default_rng(4)
+    rows = [(np.unique(draw.integers(0, 40, 8)).astype(np.int32), int(draw.random() < 0.4)) for _ in range(120)]
+    alpha, beta, l1, l2, cost = 0.7, 1.0, 0.3, 0.1, (1.0, 2.5)
+    z, n = Counter(), Counter()
+
+    def weight(c):
+        if c != "bias" and abs(z[c]) <= l1:
+            return 0.0
+        sign = 0.0 if c == "bias" else math.copysign(l1, z[c])
+        return -(z[c] - sign) / ((beta + math.sqrt(n[c])) / alpha + l2)
+
+    order = np.random.default_rng(3)
+    for _ in range(3):
+        for i in order.permutation(len(rows)):
+            codes, y = rows[i]
+            names = [*codes.tolist(), "bias"]
+            w = {c: weight(c) for c in names}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * cost[y]
+            for c in names:
+                sigma = (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / alpha
+                z[c] += g - sigma * w[c]
+                n[c] += g * g
+    model = toxicity.ftrl(rows, cost, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2, least_rows=1)
+    want = {c: weight(c) for c in range(40) if weight(c)}
+    assert dict(zip(model.coordinates.tolist(), model.weights, strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(weight("bias")) and len(want) < 40
+
+
+def test_toxicity_scores_equal_plain_features(spark):
+    texts = {i: t for i, t in enumerate(["Vile vile SCUMBAG, you are vile", "", "one", "a b c d e f g", prose(300, 4), None])}
+    words = lambda t: re.findall(r"[A-Za-z\x80-\U0010ffff]+", fold(t))
+    h = lambda ws: bytewords.Words(np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws).encode())])).hashes()
+
+    def coordinates(t):
+        ws = words(t or "")
+        k = h(ws) if ws else np.zeros(0, np.uint64)
+        pairs = [bytewords.mix(k[i : i + 1] * np.uint64(2 * gap + 1) + k[i + gap : i + gap + 1])[0] for gap in (1, 2, 3) for i in range(len(k) - gap)]
+        return {int(x) >> (64 - toxicity.BITS) for x in [*k, *pairs]}
+
+    every = sorted(set().union(*map(coordinates, texts.values())))[::2]
+    model = toxicity.Model(np.array(every, np.int32), np.linspace(-0.3, 0.3, len(every)), -0.1, 2)
+    weights = dict(zip(every, model.weights, strict=True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(-0.1 + sum(weights.get(c, 0) for c in coordinates(t))))))
+
+
+def test_toxicity_features_on_the_driver_are_bounded(spark):
+    rows = [(i, prose(200, i) + " vile" * (i % 2), i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    seen = []
+    real = toxicity.ftrl
+    try:
+        toxicity.ftrl = lambda rows, *a, **k: seen.append(sum(4 * len(c) for c, _ in rows)) or real(rows, *a, **k)
+        for bound in (64_000, 256 << 20):
+            toxicity.train(docs, docs.select("doc_id", "y"), driver_bytes=bound)
+    finally:
+        toxicity.ftrl = real
+    assert seen[0] < 2 * 64_000 < seen[1]
+
+
 def test_language_on_held_out_rows(spark):
     got = {r["doc_id"]: r for r in catalog.QUERIES["op7_bigru_language"](spark, SMALL).collect()}
     held = [r for r in rows_of(spark) if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
@@ -379,6 +442,60 @@ def test_rare_and_only_labels_train_the_forest(spark):
     assert kept(alone, secrets.train(alone, labelled=given)) == {5000, 5001, 5002}
 
 
+def test_forest_votes_equal_walks_down_its_trees():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 4))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    forest = trees.Forest().fit(x[:200], y[:200], count=9)
+
+    def walk(t, row):
+        at = 0
+        while t.feature[at] >= 0:
+            at = t.left[at] if row[t.feature[at]] <= t.threshold[at] else t.right[at]
+        return t.value[at]
+
+    assert forest.probability(x[200:]) == pytest.approx([sum(walk(t, row) for t in forest.trees) / 9 for row in x[200:]])
+    one = forest.trees[0]  # a leaf is the mean label of the rows drawn into it, each as often as drawn
+    weight = np.bincount(np.random.default_rng(5).integers(0, 200, 200), minlength=200)
+    leaf = np.array([walk(one, row) for row in x[:200]])
+    for v in np.unique(leaf):
+        at = leaf == v
+        assert v == pytest.approx((weight[at] * y[:200][at]).sum() / weight[at].sum(), abs=1e-9) or len(np.unique(leaf)) < len(one.value[one.feature < 0])
+
+
+def labelled_lines(n: int, seed: int) -> list[tuple[int, str, str, int]]:
+    """(id, text, path, label): labels come from how a line was made, not from any rule of the operator."""
+    draw = random.Random(seed)
+    some = lambda k, a="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(draw.choices(a, k=k))
+    hexed = lambda k: some(k, "0123456789abcdef")
+    word = lambda: draw.choice(WORDS)
+    secret = [lambda: f"{word()}_secret = '{some(draw.randrange(18, 40))}'", lambda: f"api_key: {some(32)}", lambda: f"using {some(40)} to log in", lambda: f"token={hexed(40)}", lambda: f"AUTH {some(24)}-{some(12)}"]
+    plain = [
+        lambda: f"commit {hexed(40)}", lambda: f"sha256 {hexed(64)}", lambda: f"name{draw.randrange(10**6)}@{word()}.example.org", lambda: f"see {word()}{word().title()}{word().title()}{draw.randrange(10)}",
+        lambda: f"token: {word()}_{word()}_{draw.randrange(100)}", lambda: f"password = {word()}{word()}", lambda: f"https://{word()}.org/{word()}/{word()}{draw.randrange(1000)}", lambda: f"id {draw.randrange(10**15)}",
+    ]
+    out = []
+    for i in range(n):
+        label = int(draw.random() < 0.4)
+        line = draw.choice(secret if label else plain)()
+        out.append((i, f"{prose(6, seed + i)} {line} {prose(6, seed + i + 1)}", draw.choice(["src/app.py", "conf/prod.env", "docs/test.md", None]), label))
+    return out
+
+
+def test_forest_on_held_out_findings_with_labels_that_are_no_rules(spark):
+    rows = labelled_lines(1600, 21)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, label int")
+    kinds = docs.select("doc_id", "label")
+    seen = secrets._scan(docs.where("doc_id < 1000"), "source").join(kinds, "doc_id").select("token", "before", "after", "assigned", "path", "label")
+    scanner = secrets.train(docs.where("doc_id < 1000"), labelled=seen)
+    got = secrets.scan(docs.where("doc_id >= 1000"), scanner).join(kinds, "doc_id").collect()
+    right, kept, true = sum(r["kept"] and r["label"] for r in got), sum(r["kept"] for r in got), sum(r[3] for r in rows[1000:])
+    print(f"held-out findings: precision {right / kept:.3f}, recall {right / true:.3f}, of {len(got)} findings")
+    assert right / kept > 0.9 and right / true > 0.9
+    base = secrets.Background.of(Counter(), ["extraordinarily", "the"])
+    assert base.coverage("extraordinarilythe") == 1.0 and base.coverage("") == 0.0
+
+
 def test_forest_and_boosting_learn():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(600, 5))
@@ -468,6 +585,20 @@ def test_quality_measures(spark):
         assert g["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w))
 
 
+def test_priors_of_hosts():
+    from quantloom.llm.host_rules import prior_of
+
+    draw = np.random.default_rng(8)
+    for strength, mean in ((4.0, 0.3), (30.0, 0.1)):
+        n = draw.integers(1, 200, 4000)
+        x = draw.binomial(n, draw.beta(strength * mean, strength * (1 - mean), len(n)))
+        got = prior_of(len(n), float(n.sum()), float((n.astype(float) ** 2).sum()), int(x.sum()), float((x.astype(float) ** 2 / n).sum()))
+        assert got[0] == pytest.approx(mean, abs=0.02) and got[1] == pytest.approx(strength, rel=0.15)
+    x = draw.binomial(n, 0.2)  # no spread beyond chance
+    assert prior_of(len(n), float(n.sum()), float((n.astype(float) ** 2).sum()), int(x.sum()), float((x.astype(float) ** 2 / n).sum()))[1] > 300
+    assert prior_of(0, 0.0, 0.0, 0, 0.0) == (0.0, 1.0) and prior_of(1, 10.0, 100.0, 3, 0.9)[1] == 1.0 and prior_of(5, 5.0, 5.0, 2, 2.0)[1] == 1.0
+
+
 def test_mixing_keeps_budgets(spark):
     rows = [(i, prose(20 + i % 30, i), "big" if i % 3 else f"s{i % 7}") for i in range(900)] + [(5000 + i, prose(25, i), None) for i in range(15)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
