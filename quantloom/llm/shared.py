@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 _HOOKED: set[str] = set()
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -50,9 +53,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._settled = path
+    for made in _SCRATCH:
+        made.append(again)
     return again
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that `settle` wrote inside, but for those taken out of the list that it gives."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.remove(made)
+        free(*made)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

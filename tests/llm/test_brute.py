@@ -690,11 +690,26 @@ def test_pipeline_against_plain_python(spark):
 
 
 def test_tables_in_the_shared_folder_can_be_deleted(spark):
-    df = shared.settle(edge_docs(spark, clashes=False).select(F.col("doc_id")), "probe")
-    assert df.count() == len(edge_rows())
-    path = Path(df.inputFiles()[0].removeprefix("file://"))
-    assert path.exists()
-    assert shared.shared_folder(spark).startswith("file:")
+    docs = edge_docs(spark, clashes=False).select(F.col("doc_id"))
+    at = lambda df: Path(df._settled.removeprefix("file:"))
+    df = shared.settle(docs, "probe")
+    assert df.count() == len(edge_rows()) and at(df).exists() and shared.shared_folder(spark).startswith("file:")
+    with shared.scratch() as made:
+        one, two = shared.settle(docs, "one"), shared.settle(docs, "two")
+        made.remove(two)
+    assert not at(one).exists() and at(two).exists() and at(df).exists() and two.count() == len(edge_rows())
+    shared.free(df, df)
+    assert not at(df).exists() and at(two).exists()
+    shared.release(spark)
+    assert not at(two).exists() and not at(two).parent.exists()
+    assert shared.settle(docs, "again").count() == len(edge_rows())
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(spark)
 
 
 def test_without_a_shared_folder_a_temporary_one_is_kept(spark, monkeypatch):
