@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quantloom.llm.decontamination import remove_documents
 from quantloom.llm.minmax import keep_one
 from quantloom.llm.mixing import remix
-from quantloom.llm.shared import settle, table
+from quantloom.llm.shared import free, scratch, settle, table
 from quantloom.llm.sharding import shard
 from quantloom.llm.toxicity import learnable, reject_toxic, train
 
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; tables that a stage wrote on its way are deleted once its own is there."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as made:
+            docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(docs)
+        free(*before)
+        before = [docs]
     return docs
