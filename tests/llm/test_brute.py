@@ -707,7 +707,7 @@ def test_tables_in_the_shared_folder_can_be_deleted(spark):
 
 def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
-    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://somewhere:7077")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://somewhere:7077", raising=False)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_folder(spark)
 
