@@ -164,16 +164,17 @@ def adjustment_factors(splits: DataFrame, dividends: DataFrame, closes: DataFram
     events = events.unionByName(paid.select("symbol", "date", dividend.alias("own")).where("own is not null"))
     days = events.groupBy("symbol", "date").agg(F.product("own").alias("own"))
     later = Window.partitionBy("symbol").orderBy(F.desc("date"))
-    return days.withColumn("factor", F.exp(F.sum(F.log("own")).over(later)))
+    return days.withColumn("factor", F.product("own").over(later))
 
 
 def adjust(bars: DataFrame, factors: DataFrame) -> DataFrame:
     """`bars` with adj_factor: the factor of the first event strictly after the bar's date, 1 after the last."""
-    before = Window.partitionBy("symbol").orderBy("date")
-    spans = factors.withColumn("from", F.lag("date").over(before)).select(F.col("symbol").alias("__s"), F.col("from"), F.col("date").alias("upto"), "factor")
-    day = F.to_date("ts")
-    hit = (F.col("symbol") == F.col("__s")) & (day < F.col("upto")) & (F.col("from").isNull() | (day >= F.col("from")))
-    return bars.join(spans, hit, "left").withColumn("adj_factor", F.coalesce("factor", F.lit(1.0))).drop("__s", "from", "upto", "factor")
+    by_date = Window.partitionBy("symbol").orderBy("date")
+    # What holds from an event on is the next one's factor; before the first event, its own.
+    since = factors.select("symbol", F.col("date").cast("timestamp_ntz").alias("ts"), F.coalesce(F.lead("factor").over(by_date), F.lit(1.0)).alias("adj_factor"))
+    ever = factors.groupBy("symbol").agg(F.lit("0001-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.min_by("factor", "date").alias("adj_factor"))
+    found = asof_join(bars, since.unionByName(ever), ["symbol"], ["adj_factor"])
+    return found.withColumn("adj_factor", F.coalesce("adj_factor", F.lit(1.0))).drop("found_ts")
 
 
 def split_ratio_between(splits: DataFrame, start: str, end: str) -> DataFrame:

@@ -263,12 +263,14 @@ def add(bars: DataFrame, declarations: list[str]) -> DataFrame:
         out = out.withColumns(level) if level else out
     out = out.select(*[c for c in out.columns if not c.startswith("__")])
     if stateful:
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields] + [f"`{k}` double" for k in stateful])
+        # The walk reads three prices; its columns are joined to the rest (one bar a symbol and time).
+        schema = ", ".join(["symbol string", "ts timestamp_ntz", *[f"`{k}` double" for k in stateful]])
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("ts", kind="stable")
-            return group.assign(**{k: f(group) for k, f in stateful.items()})
+            return pd.DataFrame({"symbol": group["symbol"], "ts": group["ts"], **{k: f(group) for k, f in stateful.items()}})
 
-        out = out.groupBy("symbol").applyInPandas(run, schema)
+        walked = bars.select("symbol", "ts", "high", "low", "close").groupBy("symbol").applyInPandas(run, schema)
+        out = out.join(walked, ["symbol", "ts"], "left").select(*out.columns, *stateful)
         out = out.withColumns({k: F.nanvl(k, F.lit(None).cast("double")) for k in stateful})
     return out

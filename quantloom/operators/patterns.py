@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 from quantloom.functions import distributions as D
 from quantloom.operators import stats as S
 from quantloom.operators.bars import returns
-from quantloom.operators.windows import full, order, runs, trailing
+from quantloom.operators.windows import full, order, runs, spaced, trailing
 
 HORIZONS = (5, 10, 20)
 LEAST_SIGNALS = 5
@@ -60,17 +60,11 @@ def signals(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     long = base.select("symbol", "ts", F.col("__i").alias("i"), F.explode(hit).alias("pattern"), ahead.alias("ahead")).select("symbol", "pattern", "i", "ts", F.explode("ahead").alias("a"))
     long = long.select("symbol", "pattern", F.col("a.horizon").alias("horizon"), "i", "ts", F.col("a.forward").alias("forward")).where("forward is not null")
     key = ["symbol", "pattern", "horizon"]
-    gaps = long.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy(*key).orderBy("i")))
-    lists = gaps.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("i", "ts", "forward"))).alias("all"), F.median("gap").alias("gap"))
-    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc, x):
-        keep = acc["last"].isNull() | (x["i"] - acc["last"] >= F.col("horizon"))
-        return F.struct(F.when(keep, x["i"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.concat(acc["kept"], F.array(x["i"]))).otherwise(acc["kept"]).alias("kept"))
-
-    chosen = F.when(F.col("gap") < F.col("horizon"), F.aggregate("all", start, step)["kept"])
-    kept = lists.withColumn("kept", chosen).select(*key, F.explode("all").alias("x"), "kept")
-    return kept.where(F.col("kept").isNull() | F.array_contains("kept", F.col("x.i"))).select(*key, "x.i", "x.ts", "x.forward")
+    gaps = long.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy(*key).orderBy("i"))).groupBy(*key).agg(F.median("gap").alias("gap"))
+    dense = gaps.where(F.col("gap") < F.col("horizon")).select(*key)
+    # Only patterns that stand close are thinned.
+    thinned = spaced(long.join(dense, key, "left_semi"), key, "horizon").where("kept").drop("kept")
+    return long.join(dense, key, "left_anti").unionByName(thinned.select(*long.columns))
 
 
 @pandas_udf(DoubleType())
@@ -129,22 +123,23 @@ def similar_patterns(found: DataFrame, threshold: float = 0.5) -> DataFrame:
     return pairs.select("symbol", "a", "b", jaccard.alias("similarity")).where(F.col("similarity") > threshold)
 
 
-def deduplicate(scanned: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def deduplicate(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row a group of similar patterns: the one with the highest dsr (then the least name).
 
     Groups are connected components over `pairs`, found by passing on the least name until
-    nothing changes; a pattern catalogue has a few dozen names, so the graph is small.
+    nothing changes.  A catalogue has a few dozen names a symbol, so the graph is small.
     """
-    scanned = scanned.cache()
     nodes = scanned.select("symbol", F.col("pattern").alias("node")).distinct().withColumn("label", F.col("node"))
     edges = pairs.select("symbol", F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("symbol", "b", "a"))
-    edges = edges.distinct().cache()
-    for _ in range(rounds):
+    edges = edges.distinct().persist()
+    before = None
+    while True:
         near = edges.join(nodes.select("symbol", F.col("node").alias("y"), "label"), ["symbol", "y"]).groupBy("symbol", F.col("x").alias("node")).agg(F.min("label").alias("other"))
-        step = nodes.join(near, ["symbol", "node"], "left").withColumn("new", F.least("label", F.coalesce("other", "label")))
-        step = step.cache()
-        changed = step.where("new <> label").limit(1).count()
-        nodes = step.select("symbol", "node", F.col("new").alias("label"))
+        step = nodes.join(near, ["symbol", "node"], "left").withColumn("new", F.least("label", F.coalesce("other", "label"))).persist()
+        changed = step.where("new <> label").count()
+        if before is not None:
+            before.unpersist()
+        nodes, before = step.select("symbol", "node", F.col("new").alias("label")), step
         if not changed:
             break
     best = scanned.join(nodes.withColumnRenamed("node", "pattern"), ["symbol", "pattern"])

@@ -13,6 +13,8 @@ from quantloom.operators import stats as S
 YEAR = 252.0
 #: Critical values of the unit-root test with a constant, at 1, 5 and 10 % (fixed values).
 ADF_CRITICAL = {"1%": -3.43, "5%": -2.86, "10%": -2.57}
+#: Statistics and p-values that lines join.
+ADF_POINTS = [(-5.0, 0.0005), (ADF_CRITICAL["1%"], 0.01), (ADF_CRITICAL["5%"], 0.05), (ADF_CRITICAL["10%"], 0.10), (-1.0, 0.60), (0.0, 0.95), (2.0, 0.999)]
 
 
 def benchmark(pairs: DataFrame, asset: str, bench: str) -> DataFrame:
@@ -50,9 +52,8 @@ def spread_summary(pairs: DataFrame) -> DataFrame:
 
 
 def adf_p(t: float) -> float:
-    """A p-value by straight lines between the critical values."""
-    points = [(-5.0, 0.0005), (ADF_CRITICAL["1%"], 0.01), (ADF_CRITICAL["5%"], 0.05), (ADF_CRITICAL["10%"], 0.10), (-1.0, 0.60), (0.0, 0.95), (2.0, 0.999)]
-    return float(np.interp(t, *zip(*points, strict=True)))
+    """A p-value by straight lines between ADF_POINTS."""
+    return float(np.interp(t, *zip(*ADF_POINTS, strict=True)))
 
 
 def engle_granger(pairs: DataFrame) -> dict:
@@ -107,13 +108,15 @@ def _clamped(w: np.ndarray) -> np.ndarray:
 
 
 def optimize(returns: DataFrame, risk_free: float = 0.05, most: int = 20) -> DataFrame:
-    """method, symbol, weight for risk_parity, min_variance and max_sharpe of at most `most` symbols.
+    """method, symbol, weight for risk_parity, min_variance and max_sharpe; over `most` symbols are an error.
 
     Sums are taken in Spark; a matrix of most x most is solved on the driver.  Negative
     weights are set to 0 and the rest normalised; a singular matrix gives equal weights.
     """
     means = {r["symbol"]: r["mean"] for r in risk_parity(returns).collect()}
-    symbols = sorted(means)[:most]
+    if len(means) > most:
+        raise ValueError(f"{len(means)} symbols, {most} at most: choose some, or give a larger limit")
+    symbols = sorted(means)
     at = {s: i for i, s in enumerate(symbols)}
     cov = np.zeros((len(symbols), len(symbols)))
     for r in S.covariance_matrix(returns.where(F.col("symbol").isin(symbols))).collect():

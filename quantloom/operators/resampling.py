@@ -3,32 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_TRADES, MOST_PERMUTATIONS = 10, 100_000
+#: Permutations that take their signs from one hash of a trade.
+SIGNS = 60
 BLOCK = 21
 
 
 def sign_flip_test(trades: DataFrame, permutations: int, seed: int = 42, key: str = "symbol", id_: str = "id", pnl: str = "pnl") -> DataFrame:
     """key, n, observed (mean over deviation of the results), hits and p = (hits + 1) / (permutations + 1).
 
-    A trade's sign in a permutation is a bit of a hash of seed, permutation and id, so the
-    result does not depend on how rows are dealt out.  Fewer than LEAST_TRADES trades: p is 1.
-    Each trade meets each permutation in the aggregate, never in one list.
+    A trade's sign in a permutation is a bit of a hash of seed, block of SIGNS permutations and
+    id, so the result does not depend on how rows are dealt out (observed is rounded to 12 digits).  Fewer than LEAST_TRADES trades:
+    p is 1.  Flips keep the sum of squares, so a permutation is one sum of signed results; a
+    block's sums come from one hash a trade and are pre-aggregated before the shuffle.
     """
     permutations = min(permutations, MOST_PERMUTATIONS)
-    flips = trades.select(key, id_, pnl, F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("k"))
-    bit = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "k", F.col(id_))), 1, 8), 16, 10).cast("long"), F.lit(2))
-    signed = F.when((F.col("k") == 0) | (bit == 0), F.col(pnl)).otherwise(-F.col(pnl))
-    std = F.stddev_samp(signed)
-    drawn = flips.groupBy(key, "k").agg(F.count("*").alias("n"), F.when(std > 0, F.avg(signed) / F.when(std > 0, std)).otherwise(0.0).alias("value"))
-    observed = drawn.where("k = 0").select(key, F.col("value").alias("observed"), "n")
-    hits = drawn.where("k > 0").join(observed.drop("n"), key).groupBy(key).agg(F.sum(F.when(F.col("value") >= F.col("observed"), 1).otherwise(0)).alias("hits"))
-    return observed.join(hits, key).select(key, "n", "observed", "hits", F.when(F.col("n") >= LEAST_TRADES, (F.col("hits") + 1) / F.lit(permutations + 1)).otherwise(1.0).alias("p"))
+    blocks = -(-permutations // SIGNS)
+    dealt = trades.where(F.col(pnl).isNotNull()).select(key, F.col(pnl).cast("double").alias("x"), id_, F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("block"))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "block", F.col(id_))), 1, SIGNS // 4), 16, 10).cast("long")
+    dealt = dealt.withColumn("bits", bits)
+    sums = [F.sum(F.col("x") * (1 - 2 * F.shiftright("bits", j).bitwiseAND(1))).alias(f"s{j}") for j in range(SIGNS)]
+    got = dealt.groupBy(key, "block").agg(F.count("*").alias("n"), F.sum("x").alias("plain"), F.sum(F.col("x") * F.col("x")).alias("squares"), *sums)
+
+    def value(total: Column) -> Column:
+        """Mean over sample deviation; 0 where there is no spread."""
+        mean, n = total / F.col("n"), F.col("n")
+        var = (F.col("squares") - total * mean) / F.when(n > 1, n - 1)
+        return F.when(var > 1e-12 * F.col("squares") / n, mean / F.sqrt(F.greatest(var, F.lit(0.0)))).otherwise(0.0)
+
+    observed = value(F.col("plain"))
+    hit = [F.when((F.col("block") * SIGNS + j < permutations) & (value(F.col(f"s{j}")) >= observed), 1).otherwise(0) for j in range(SIGNS)]
+    by_block = got.select(key, "n", F.round(observed, 12).alias("observed"), reduce(lambda x, y: x + y, hit).alias("hits"))
+    out = by_block.groupBy(key).agg(F.max("n").alias("n"), F.max("observed").alias("observed"), F.sum("hits").alias("hits"))
+    return out.select(key, "n", "observed", "hits", F.when(F.col("n") >= LEAST_TRADES, (F.col("hits") + 1) / F.lit(permutations + 1)).otherwise(1.0).alias("p"))
 
 
 def bootstrap_paths(returns: DataFrame, paths: int = 10_000, horizon: int = 252, capital: float = 100_000.0, seed: int = 42, key: str | None = None) -> DataFrame:
@@ -70,8 +84,26 @@ def bootstrap_paths(returns: DataFrame, paths: int = 10_000, horizon: int = 252,
     return whole.mapInPandas(walk, f"{name} {kind}, path long, terminal double, max_drawdown double").select(*([key] if key else []), "path", "terminal", "max_drawdown")
 
 
-def path_summary(paths: DataFrame, capital: float = 100_000.0, key: str | None = None) -> DataFrame:
-    """One row, or one of each value of `key`: n, percentiles of the terminal value and the drawdown, probabilities of ending under 90, 75, 50 % and of the capital."""
+def path_summary(paths: DataFrame, capital: float = 100_000.0, key: str | None = None, bins: int = 30) -> DataFrame:
+    """One row, or one of each value of `key`, over its paths.
+
+    n, mean, p5 ... p95 (the terminal value at index floor(n * q) of the sorted ones),
+    below_100 ... below_50 (probabilities of ending under that part of the capital),
+    median_drawdown and p95_drawdown (interpolated), and histogram: low, high and n of `bins`
+    equal bins of the terminal values, the last one closed; one bin where none differ.
+    """
     p = lambda c, q: F.percentile(c, F.lit(q))
     ruin = {f"below_{k}": F.avg(F.when(F.col("terminal") < capital * k / 100, 1.0).otherwise(0.0)).alias(f"below_{k}") for k in (100, 90, 75, 50)}
-    return paths.groupBy(*([key] if key else [])).agg(F.count("*").alias("n"), F.avg("terminal").alias("mean"), *[p("terminal", q / 100).alias(f"p{q}") for q in (5, 25, 50, 75, 95)], *ruin.values(), p("max_drawdown", 0.5).alias("median_drawdown"), p("max_drawdown", 0.95).alias("p95_drawdown"))
+    by = [key] if key else []
+    got = paths.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("terminal").alias("mean"), F.sort_array(F.collect_list("terminal")).alias("sorted"),  # as many as the paths asked for
+        *ruin.values(), p("max_drawdown", 0.5).alias("median_drawdown"), p("max_drawdown", 0.95).alias("p95_drawdown"),
+    )
+    low, high = F.array_min("sorted"), F.array_max("sorted")
+    many = F.when(high - low < 2.220446049250313e-16, 1).otherwise(bins)
+    width = (high - low) / many
+    place = lambda x: F.when(width > 0, F.least(F.floor((x - low) / F.when(width > 0, width)), many - 1)).otherwise(0)
+    cells = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.struct((low + k * width).alias("low"), (low + (k + 1) * width).alias("high"), F.size(F.filter("places", lambda x: x == k)).cast("long").alias("n")))
+    at = {f"p{q}": F.get("sorted", F.least(F.floor(F.col("n") * q / 100), F.col("n") - 1).cast("int")).alias(f"p{q}") for q in (5, 25, 50, 75, 95)}
+    placed = got.withColumn("places", F.transform("sorted", place))
+    return placed.select(*by, "n", "mean", *at.values(), *ruin, "median_drawdown", "p95_drawdown", cells.alias("histogram"))

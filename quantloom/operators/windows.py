@@ -171,16 +171,54 @@ def forward_return(h: int) -> Column:
     return F.try_divide(F.lead("close", h).over(order()), F.col("close")) - 1
 
 
+def spaced(rows: DataFrame, key: list[str], h: str | int, least_span: int = 256) -> DataFrame:
+    """Of the places i of each key, those at least h after the last kept one; the first is kept.  Adds kept.
+
+    rows: the key, i (from 0 or 1, repeated places count once) and, where `h` names one, a
+    column that is one number a key.  Places are folded in spans of `least_span` or h of them:
+    first for each state in which a span can be entered (so many places still blocked), then
+    over a key's spans, then once more for the state that holds.  No list is longer than a span
+    or a key's number of spans.
+    """
+    far = (lambda x: F.col(x)) if isinstance(h, str) else F.lit
+    most = rows.agg(F.max(h)).first()[0] if isinstance(h, str) else h
+    span = max(least_span, int(most or 1))
+    held = [h] if isinstance(h, str) else []
+    placed = rows.withColumn("__span", F.floor(F.col("i") / span))
+    spans = placed.groupBy(*key, *held, "__span").agg(F.sort_array(F.collect_set(F.col("i").cast("bigint"))).alias("__at"))
+    begin = F.col("__span") * span
+
+    def leave(blocked: Column) -> Column:
+        """Places of the next span that are blocked, by those of this one that were."""
+        free = F.aggregate("__at", begin + blocked, lambda free, i: F.when(i >= free, i + far(h)).otherwise(free))
+        return F.greatest(free - begin - span, F.lit(0)).cast("bigint")
+
+    table = F.transform(F.sequence(F.lit(0).cast("bigint"), (far(h) - 1).cast("bigint")), leave)
+    maps = spans.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__span", table.alias("t")))).alias("__maps"))
+    start = F.struct(F.lit(-2).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("state"), F.array().cast("array<bigint>").alias("into"))
+
+    def hand_on(acc: Column, m: Column) -> Column:
+        into = F.when(m["__span"] == acc["last"] + 1, acc["state"]).otherwise(F.lit(0).cast("bigint"))
+        return F.struct(m["__span"].alias("last"), F.get(m["t"], into.cast("int")).alias("state"), F.concat(acc["into"], F.array(into)).alias("into"))
+
+    into = F.arrays_zip(F.transform("__maps", lambda m: m["__span"]).alias("__span"), F.aggregate("__maps", start, hand_on)["into"].alias("__into"))
+    entered = maps.select(*key, F.explode(into).alias("x")).select(*key, F.col("x.__span").alias("__span"), F.col("x.__into").alias("__into"))
+    first = F.struct((begin + F.col("__into")).alias("free"), F.array().cast("array<bigint>").alias("kept"))
+    step = lambda acc, i: F.when(i >= acc["free"], F.struct((i + far(h)).cast("bigint").alias("free"), F.concat(acc["kept"], F.array(i)).alias("kept"))).otherwise(acc)
+    kept = spans.join(entered, [*key, "__span"]).select(*key, F.explode(F.aggregate("__at", first, step)["kept"]).alias("i"), F.lit(True).alias("kept"))
+    kept = kept.withColumn("i", F.col("i").cast(rows.schema["i"].dataType))
+    return rows.join(kept, [*key, "i"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 def purge_overlaps(signals: DataFrame, h: int) -> DataFrame:
     """Of each symbol's signals (symbol, i), those at least h bars after the last kept one.
 
-    A fold over the sorted positions of one symbol; the first signal is kept.  Where the
-    median gap is at least h already, all stay.
+    The first signal is kept.  Where the median gap is at least h already, all stay.
     """
     gaps = signals.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy("symbol").orderBy("i")))
-    lists = gaps.groupBy("symbol").agg(F.sort_array(F.collect_list("i")).alias("all"), F.median("gap").alias("gap"))
-    kept = F.aggregate("all", F.array().cast("array<bigint>"), lambda acc, i: F.when((F.size(acc) == 0) | (i - F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) >= h), F.concat(acc, F.array(i.cast("bigint")))).otherwise(acc))
-    return lists.select("symbol", F.explode(F.when(F.col("gap") < h, kept).otherwise(F.transform("all", lambda i: i.cast("bigint")))).alias("i"))
+    gaps = gaps.groupBy("symbol").agg(F.median("gap").alias("gap"))
+    marked = spaced(signals, ["symbol"], h).join(gaps, "symbol")
+    return marked.where(F.col("kept") | ~F.coalesce(F.col("gap") < h, F.lit(False))).select("symbol", "i")
 
 
 def subsample(bars: DataFrame, most: int) -> DataFrame:

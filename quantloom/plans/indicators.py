@@ -88,6 +88,28 @@ _NESTED = {
 }
 
 
+#: Walks from bar to bar, as recursive queries.
+_WALKS = {
+    "psar:2:20": f"""with recursive {_C}, b as (select symbol, ts, i, high, low, lag(low) over v as l1, coalesce(lag(low, 2) over v, lag(low) over v) as l2, lag(high) over v as h1, coalesce(lag(high, 2) over v, lag(high) over v) as h2
+    from c window v as (partition by symbol order by ts)),
+  walk(symbol, ts, i, long, stop, extreme, pace) as (
+    select symbol, ts, i, true, low, high, 0.02::double from b where i = 1
+    union all select symbol, ts, i, long <> flip, case when flip then extreme else s end, case when flip then case when long then low else high end when further then case when long then high else low end else extreme end,
+      case when flip then 0.02 when further then least(pace + 0.02, 0.2) else pace end
+    from (select *, case when long then low < s else high > s end as flip, case when long then high > extreme else low < extreme end as further from (
+      select b.*, w.long, w.extreme, w.pace, case when w.long then least(w.stop + w.pace * (w.extreme - w.stop), l1, l2) else greatest(w.stop + w.pace * (w.extreme - w.stop), h1, h2) end as s
+      from walk w join b on b.symbol = w.symbol and b.i = w.i + 1)))
+  select symbol, ts, round(stop, 4) as value from walk""",
+    "supertrend:10:30": f"""with recursive {_C}, b as (select symbol, ts, i, close, pc, (high + low) / 2 + 3 * avg(tr) {w(10)} as top, (high + low) / 2 - 3 * avg(tr) {w(10)} as bottom from c),
+  walk(symbol, ts, i, upper, lower, up) as (
+    select symbol, ts, i, top, bottom, close >= bottom from b where i = 10
+    union all select symbol, ts, i, u, l, case when up then close >= l else close > u end
+    from (select b.symbol, b.ts, b.i, b.close, w.up, case when top < w.upper or pc > w.upper then top else w.upper end as u, case when bottom > w.lower or pc < w.lower then bottom else w.lower end as l
+      from walk w join b on b.symbol = w.symbol and b.i = w.i + 1))
+  select b.symbol, b.ts, round(case when up then lower else upper end, 4) as value from b left join walk w on w.symbol = b.symbol and w.i = b.i""",
+}
+
+
 def _query(declaration: str):
     (name, p), = N.parse(declaration)
     column = N.column_name(name, p)
@@ -98,13 +120,15 @@ def _query(declaration: str):
     return name, run
 
 
-for _d in [*_SQL, *_NESTED, "psar:2:20", "supertrend:10:30"]:
+for _d in [*_SQL, *_NESTED, *_WALKS]:
     _name, _run = _query(_d)
     _sql = None
     if _d in _SQL:
         _sql = f"with {_C} select symbol, ts, round({_SQL[_d]}, 4) as value from c"
     elif _d in _NESTED:
         _sql = f"with {_C}, n as (select *, {_NESTED[_d][0]} as x from c) select symbol, ts, round({_NESTED[_d][1]}, 4) as value from n"
+    elif _d in _WALKS:
+        _sql = _WALKS[_d]
     query(f"i{N.NAMES.index(_name) + 1:02d}_{_name}", _sql)(_run)
 
 

@@ -101,7 +101,7 @@ def _trades(spark, d):
 
 
 @query("p19_sign_flip_permutation", """with t as (select o_orderpriority as symbol, o_orderkey as id, o_totalprice - 240000 as pnl from orders),
-  f as (select symbol, k, case when k = 0 or ('0x' || md5('42:' || k || ':' || id)[1:8])::bigint % 2 = 0 then pnl else -pnl end as x from t, (select unnest(range(101)) as k)),
+  f as (select symbol, k, case when k = 0 or (('0x' || md5('42:' || ((k - 1) // 60) || ':' || id)[1:15])::bigint >> ((k - 1) % 60)) & 1 = 0 then pnl else -pnl end as x from t, (select unnest(range(101)) as k)),
   v as (select symbol, k, count(*) as n, coalesce(avg(x) / nullif(stddev_samp(x), 0), 0) as value from f group by 1, 2)
   select a.symbol, a.n::bigint as n, round(a.value, 6) as observed, sum((b.value >= a.value)::int)::bigint as hits, round(case when a.n >= 10 then (sum((b.value >= a.value)::int) + 1) / 101 else 1 end, 6) as p
   from v a join v b on a.symbol = b.symbol and a.k = 0 and b.k > 0 group by a.symbol, a.n, a.value""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantloom.operators import options as O
 from quantloom.operators import search as V
 from quantloom.operators import simulation as S
 from quantloom.operators import windows as W
@@ -79,10 +80,53 @@ def b15(spark, d):
     return held.select("symbol", "ts", "expiration", F.round("cost", 4).alias("cost"), "close", F.round("pnl", 4).alias("pnl"), "exit")
 
 
-@query("b15_iron_condor")
-def b15c(spark, d):
-    legs = S.strategy("iron_condor", 0.3, 0.1, 0.3, 0.1, dte=30)
-    return S.hold_to_expiration(S.resolve(I.chain(spark, d), legs), closes(spark, d), per_contract=0.65).drop("legs")
+#: Deltas of a strategy's arguments, by their number.
+_DELTAS = {1: (0.4,), 2: (0.5, 0.3), 3: (0.6, 0.4, 0.2), 4: (0.3, 0.1, 0.3, 0.1)}
+_DTE, _FAR, _FEE = 30, 50, 0.65
+
+
+def _strategy_legs(name):
+    n = 1 + max(int(code[2]) for code in S.STRATEGIES[name].split())
+    return S.strategy(name, *_DELTAS[n], dte=_DTE, far_dte=_FAR)
+
+
+def _strategy_sql(name: str) -> str:
+    """Each leg's contract by its window, side by side, valued at the earliest expiration."""
+    ctes, cost, value, fate, expirations = [], [], [], [], []
+    for n, leg in enumerate(_strategy_legs(name)):
+        w = O.leg_window(leg.delta, leg.dte)
+        ctes.append(
+            f"l{n} as (select * from dq where option_type = '{leg.kind}' and abs(delta) between {w['low']!r} and {w['high']!r} and dte between {w['min_dte']} and {w['max_dte']} "
+            f"qualify row_number() over (partition by symbol, ts order by abs(abs(delta) - {leg.delta!r}), strike, expiration, id) = 1)"
+        )
+        sign = "+" if leg.long else "-"
+        cost.append(f"{sign} (l{n}.bid + l{n}.ask) / 2 * 100")
+        value.append(f"{sign} greatest({f'u.close - k{n}' if leg.kind == 'c' else f'k{n} - u.close'}, 0) * 100")
+        expirations.append(f"l{n}.expiration")
+        if not leg.long:
+            fate.append(f"when k{n} {'>=' if leg.kind == 'p' else '<='} u.close then '{'assignment' if leg.kind == 'p' else 'called_away'}'")
+    many = len(expirations)
+    joins = " ".join(f"join l{n} on l{n}.symbol = l0.symbol and l{n}.ts = l0.ts" for n in range(1, many))
+    first = f"least({', '.join(expirations)})" if many > 1 else expirations[0]
+    strikes = ", ".join(f"l{n}.strike as k{n}" for n in range(many))
+    exit_ = f"case {' '.join(fate)} else 'expiration' end" if fate else "'expiration'"
+    return f"""with {I.CHAIN}, dq as (select *, datediff('day', cast(ts as date), expiration) as dte from quotes where bid > 0.05 and ask > 0.05), {", ".join(ctes)},
+  u as (select symbol, ts, floor(avg(strike)) as close from quotes group by 1, 2), pos as (select l0.symbol, l0.ts, {strikes}, {first} as expiration, {" ".join(cost)} as cost from l0 {joins})
+  select pos.symbol, pos.ts, expiration, round(cost, 4) as cost, u.close, round({" ".join(value)}, 4) as value, round({" ".join(value)} - cost, 4) as pnl, {_FEE * many!r}::double as fee, {exit_} as exit
+  from pos asof join u on pos.symbol = u.symbol and pos.expiration::timestamp >= u.ts"""
+
+
+def _strategy(name):
+    def run(spark, d):
+        held = S.hold_to_expiration(S.resolve(I.chain(spark, d), _strategy_legs(name)), closes(spark, d), per_contract=_FEE)
+        return held.select("symbol", "ts", "expiration", F.round("cost", 4).alias("cost"), "close", F.round("value", 4).alias("value"), F.round("pnl", 4).alias("pnl"), F.round("fee", 4).alias("fee"), "exit")
+
+    return run
+
+
+for _name in S.STRATEGIES:
+    if _name != "short_straddle":  # above
+        query(f"b15_{_name}", _strategy_sql(_name))(_strategy(_name))
 
 
 @query("b11_net_delta", _STRADDLE + " select c.symbol, c.ts, round((c.delta + p.delta) * 100, 4) as net_delta from leg c join leg p on c.symbol = p.symbol and c.ts = p.ts and c.option_type = 'c' and p.option_type = 'p'")

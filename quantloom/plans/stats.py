@@ -10,6 +10,7 @@ from quantloom.operators import metrics as M
 from quantloom.operators import portfolio as P
 from quantloom.operators import stats as S
 from quantloom.plans import _inputs as I
+from quantloom.plans import _sql as Q
 from quantloom.plans._registry import Registry
 
 query = Registry()
@@ -83,9 +84,10 @@ def p1(spark, d):
     return S.t_test(rets(spark, d), "ret", ["symbol"]).select("symbol", "n", r("t").alias("t"))
 
 
-@query("p1_t_test_p_values")
+@query("p1_t_test_p_values", f"""with {I.RETURNS}, t as (select symbol, count(ret)::bigint as n, avg(ret) / (stddev_samp(ret) / sqrt(count(ret))) as t from returns where ret is not null group by 1)
+  select symbol, n, round(t, 5) as t, round({Q.t_two_sided("t", "n - 1")}, 6) as p from t""")
 def p1p(spark, d):
-    return S.t_test(rets(spark, d), "ret", ["symbol"])
+    return S.t_test(rets(spark, d), "ret", ["symbol"]).select("symbol", "n", r("t").alias("t"), r("p", 6).alias("p"))
 
 
 @query("p2_jarque_bera", f"with {_Z} select symbol, n::bigint as n, round(n / 6 * ((c3 / n / (c2 / n) ** 1.5) ** 2 + (c4 / n / (c2 / n) ** 2 - 3) ** 2 / 4), 2) as jb from z")
@@ -93,10 +95,12 @@ def p2(spark, d):
     return S.jarque_bera(rets(spark, d), "ret", ["symbol"]).select("symbol", "n", r("jb", 2).alias("jb"))
 
 
-@query("p3_pearson_p")
+@query("p3_pearson_p", f"""with {I.RETURNS}, c as (select x.symbol as a, y.symbol as b, count(*) as n, corr(x.ret, y.ret) as r
+    from returns x join returns y using (ts) where x.symbol < y.symbol and x.ret is not null and y.ret is not null group by 1, 2)
+  select a, b, round(r, 6) as correlation, round({Q.t_two_sided("r * sqrt((n - 2) / (1 - r * r))", "n - 2")}, 6) as p from c""")
 def p3(spark, d):
     c = S.covariance_matrix(rets(spark, d)).where("a < b")
-    return c.select("a", "b", "correlation", S.pearson_p(F.col("correlation"), F.col("n")).alias("p"))
+    return c.select("a", "b", r("correlation", 6).alias("correlation"), r(S.pearson_p(F.col("correlation"), F.col("n")), 6).alias("p"))
 
 
 @query("p4_correlate_levels", f"""with {I.PAIR} select count(*)::bigint as n, round(corr(a, b), 6) as pearson, round(corr(a, b) ** 2, 6) as r2, round(regr_slope(b, a), 6) as slope from pair""")
@@ -104,11 +108,30 @@ def p4(spark, d):
     return I.pair(spark, d).agg(F.count("*").alias("n"), r(F.corr("a", "b"), 6).alias("pearson"), r(F.pow(F.corr("a", "b"), 2), 6).alias("r2"), r(F.regr_slope("b", "a"), 6).alias("slope"))
 
 
-@query("p5_granger")
+def _granger_sql() -> str:
+    """F of each direction for one and two lags; its tail by t (one lag) or in closed form (two)."""
+    ctes, rows = [], []
+    for c, e in (("ra", "rb"), ("rb", "ra")):
+        for k in (1, 2):
+            g = f"g_{c}_{k}"
+            own, other = [f"e{i}" for i in range(1, k + 1)], [f"c{i}" for i in range(1, k + 1)]
+            lags = ", ".join(f"lag({e}, {i}) over (order by ts) as e{i}, lag({c}, {i}) over (order by ts) as c{i}" for i in range(1, k + 1))
+            # The shorter fit is over the same rows.
+            ctes += [f"{g} as (select * from (select ts, {e} as y, {lags} from pair where ra is not null and rb is not null) where {' and '.join(x + ' is not null' for x in own + other)})"]
+            ctes += [Q.ols(f"{g}_small", g, own, "y"), Q.ols(f"{g}_large", g, own + other, "y")]
+            free = f"(l.n - 1 - {2 * k})"
+            f = f"(((s.rss - l.rss) / {k}) / (l.rss / {free}))"
+            p = Q.t_two_sided(f"sqrt({f})", free) if k == 1 else f"pow(1 + 2 * {f} / {free}, -{free} / 2.0)"
+            rows.append(f"select '{c}' as cause, '{e}' as effect, {k}::int as lags, round({f}, 5) as f, round({p}, 6) as p, l.n::bigint as n from {g}_small s, {g}_large l")
+    return f"with {I.PAIR},\n  " + ",\n  ".join(ctes) + "\n" + "\nunion all ".join(rows)
+
+
+@query("p5_granger", _granger_sql())
 def p5(spark, d):
     p = I.pair(spark, d).where("ra is not null and rb is not null")
     rows = [(c, e, k, (g or {}).get("f"), (g or {}).get("p"), (g or {}).get("n")) for c, e in (("ra", "rb"), ("rb", "ra")) for k in (1, 2) for g in [S.granger(p, c, e, k)]]
-    return spark.createDataFrame(rows, "cause string, effect string, lags int, f double, p double, n long")
+    got = spark.createDataFrame(rows, "cause string, effect string, lags int, f double, p double, n long")
+    return got.withColumns({"f": r("f"), "p": r("p", 6)})
 
 
 @query("p7_cointegration_regression", f"""with {I.PAIR}, c as (select regr_intercept(b, a) as alpha, regr_slope(b, a) as beta from pair), s as (select ts, b - alpha - beta * a as spread from pair, c),
@@ -119,16 +142,41 @@ def p7(spark, d):
     return got.select(r("alpha", 2).alias("alpha"), r("beta").alias("beta"), r("z", 4).alias("z"), "n", r("percentile", 4).alias("percentile"))
 
 
-@query("p7_engle_granger")
+def _adf_sql(t: str) -> str:
+    """p by straight lines between the points that `adf_p` joins."""
+    points = P.ADF_POINTS
+    between = " ".join(f"when {t} <= {x1!r} then {y0!r} + ({t} - {x0!r}) * {(y1 - y0) / (x1 - x0)!r}" for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False))
+    return f"case when {t} <= {points[0][0]!r} then {points[0][1]!r} {between} else {points[-1][1]!r} end"
+
+
+@query("p7_engle_granger", f"""with {I.PAIR}, line as (select regr_intercept(b, a) as alpha, regr_slope(b, a) as beta, regr_r2(b, a) as r2 from pair),
+  s as (select ts, b - alpha - beta * a as spread, lag(b - alpha - beta * a) over (order by ts) as level from pair, line),
+  steps as (select ts, spread, level, spread - level as d, lag(spread - level) over (order by ts) as d1 from s),
+  {Q.ols("fit", "steps", ["level", "d1"], "d")}, phi as (select regr_slope(spread, level) as phi, count(*)::bigint + 1 as n from steps where level is not null)
+  select round(alpha, 2) as alpha, round(beta, 6) as beta, round(r2, 6) as r2, phi.n as n, round(b1 / e1, 5) as adf, round({_adf_sql("(b1 / e1)")}, 6) as p, b1 / e1 < {P.ADF_CRITICAL["5%"]} as cointegrated,
+    round(case when phi > 0 and phi < 1 then -ln(2) / ln(phi) end, 5) as half_life from line, fit, phi""")
 def p7e(spark, d):
     got = P.engle_granger(I.pair(spark, d))
-    return spark.createDataFrame([tuple(got.values())], "alpha double, beta double, r2 double, n long, adf double, p double, cointegrated boolean, half_life double")
+    got = spark.createDataFrame([tuple(got.values())], "alpha double, beta double, r2 double, n long, adf double, p double, cointegrated boolean, half_life double")
+    return got.withColumns({"alpha": r("alpha", 2), "beta": r("beta", 6), "r2": r("r2", 6), "adf": r("adf"), "p": r("p", 6), "half_life": r("half_life")})
+
+
+_FACTORS = ["market", "size", "momentum"]
 
 
-@query("p8_factor_attribution")
+@query("p8_factor_attribution", f"""with {I.RETURNS}, k as (select symbol, ret, row_number() over (partition by symbol order by ts desc) as back from returns where ret is not null),
+  wide as (select a.ret as y, m.ret as market, s.ret - m.ret as size, l.ret - m.ret as momentum from k a join k m using (back) join k s using (back) join k l using (back)
+    where a.symbol = '1-URGENT' and m.symbol = '2-HIGH' and s.symbol = '3-MEDIUM' and l.symbol = '5-LOW'),
+  {Q.ols("fit", "wide", _FACTORS, "y")}, means as (select avg(y) as my, avg(market) as m1, avg(size) as m2, avg(momentum) as m3 from wide)
+  """ + " union all ".join(
+    f"select '{name}' as factor, round(b{i}, 6) as coefficient, round(e{i}, 6) as error, round(b{i} / e{i}, 4) as t, round(2 * (1 - {Q.normal_cdf(f'abs(b{i} / e{i})')}), 6) as p, "
+    f"round(b{i} * {f'm{i}' if i else '1'} / my * 100, 3) as contribution_pct, round(1 - rss / tss, 6) as r2, round(1 - rss / tss * (n - 1) / (n - 4), 6) as adjusted_r2, n::bigint as n from fit, means"
+    for i, name in enumerate(["alpha", *_FACTORS])
+))
 def p8(spark, d):
     wide = B.align_tail(rets(spark, d), ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"])
-    return P.factor_attribution(wide, "1-URGENT", "2-HIGH", {"size": "3-MEDIUM", "momentum": "5-LOW"})
+    got = P.factor_attribution(wide, "1-URGENT", "2-HIGH", {"size": "3-MEDIUM", "momentum": "5-LOW"})
+    return got.withColumns({c: r(c, n) for c, n in (("coefficient", 6), ("error", 6), ("t", 4), ("p", 6), ("contribution_pct", 3), ("r2", 6), ("adjusted_r2", 6))})
 
 
 @query("p9_benchmark", f"""with {I.PAIR}, p as (select * from pair where ra is not null and rb is not null)
@@ -146,9 +194,28 @@ def p10(spark, d):
     return P.risk_parity(rets(spark, d)).select("symbol", r("mean", 4).alias("mean"), r("vol", 4).alias("vol"), r("sharpe").alias("sharpe"), r("weight", 6).alias("weight"))
 
 
-@query("p10_optimal_weights")
+_FIVE = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _weights_sql() -> str:
+    pairs = [(i, j) for i in range(5) for j in range(5)]
+    matrix = ", ".join(f"max(c) filter (a = '{_FIVE[i]}' and b = '{_FIVE[j]}') as m_{i}_{j}" for i, j in pairs)
+    mean = ", ".join(f"max(mean) filter (symbol = '{s}') - 0.05 as u_{i}" for i, s in enumerate(_FIVE))
+    raw = {
+        "risk_parity": [f"1 / sqrt(cov.m_{i}_{i})" for i in range(5)],
+        "min_variance": [" + ".join(f"inv.w_{i}_{j}" for j in range(5)) for i in range(5)],
+        "max_sharpe": [" + ".join(f"inv.w_{i}_{j} * u_{j}" for j in range(5)) for i in range(5)],
+    }
+    rows = " union all ".join(f"select '{m}' as method, '{_FIVE[i]}' as symbol, greatest({x}, 0) as w from cov, inv, means" for m, xs in raw.items() for i, x in enumerate(xs))
+    return f"""with {I.RETURNS}, c as (select x.symbol as a, y.symbol as b, covar_samp(x.ret, y.ret) * 252 as c from returns x join returns y using (ts) where x.ret is not null and y.ret is not null group by 1, 2),
+  cov as (select {matrix} from c), means as (select {mean} from (select symbol, avg(ret) * 252 as mean from returns where ret is not null group by 1)), {Q.inverse("inv", "cov", 5)},
+  raw as ({rows})
+  select method, symbol, round(case when sum(w) over v > 0 then w / sum(w) over v else 0.2 end, 6) as weight from raw window v as (partition by method)"""
+
+
+@query("p10_optimal_weights", _weights_sql())
 def p10o(spark, d):
-    return P.optimize(rets(spark, d))
+    return P.optimize(rets(spark, d)).withColumn("weight", r("weight", 6))
 
 
 _TESTS = I.RETURNS + """, t as (select symbol || '-' || isodow(ts) as label, exp(-abs(avg(ret) / (stddev_samp(ret) / sqrt(count(*))))) as p from returns where ret is not null group by 1)"""

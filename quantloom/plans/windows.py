@@ -165,7 +165,12 @@ def w20(spark, d):
     return I.daily(spark, d).select("symbol", "ts", r(W.forward_return(5), 6).alias("forward"))
 
 
-@query("w20_purge_overlaps")
+@query("w20_purge_overlaps", f"""with recursive {I.RETURNS}, s as (select symbol, rn::bigint as i from returns where ret > 0.5),
+  gaps as (select symbol, median(gap) as gap from (select symbol, i - lag(i) over (partition by symbol order by i) as gap from s) group by 1),
+  nx as (select s.symbol, s.i, min(n.i) as nxt from s left join s n on s.symbol = n.symbol and n.i >= s.i + 5 group by 1, 2),
+  kept(symbol, i) as (select symbol, min(i) from s group by 1 union all select nx.symbol, nx.nxt from kept join nx on kept.symbol = nx.symbol and kept.i = nx.i where nx.nxt is not null)
+  select symbol, i from s join gaps using (symbol) where not coalesce(gap < 5, false) or (symbol, i) in (select (symbol, i) from kept)"""
+)
 def w20p(spark, d):
     b = B.returns(I.daily(spark, d)).withColumn("i", F.row_number().over(W.order()).cast("bigint"))
     return W.purge_overlaps(b.where("ret > 0.5").select("symbol", "i"), 5)

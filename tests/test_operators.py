@@ -363,3 +363,72 @@ def test_forward_step_refuses_a_shorter_replay(spark):
     assert live.forward_step(full.where("equity < 3"), full).count() == 2
     with pytest.raises(ValueError):
         live.forward_step(full, full.where("equity < 3"))
+
+
+@pytest.mark.parametrize("h, least_span", [(1, 4), (5, 8), (20, 1), (7, 1000)])
+def test_spaced_places_equal_a_plain_loop(spark, h, least_span):
+    draw = np.random.default_rng(h)
+    places = {k: sorted(set(draw.integers(0, 400, n).tolist())) for k, n in (("a", 200), ("b", 30), ("c", 1))} | {"d": list(range(100))}
+    rows = spark.createDataFrame([(k, i, h) for k, v in places.items() for i in v], "symbol string, i int, h int")
+    want = set()
+    for k, v in places.items():
+        last = None
+        for i in v:
+            if last is None or i - last >= h:
+                want.add((k, last := i))
+    for given in (h, "h"):
+        got = W.spaced(rows, ["symbol"], given, least_span).collect()
+        assert {(r["symbol"], r["i"]) for r in got if r["kept"]} == want and len(got) == sum(map(len, places.values()))
+    assert W.spaced(rows.limit(0), ["symbol"], "h").count() == 0
+
+
+def test_sign_flips_equal_a_plain_loop(spark):
+    import hashlib
+
+    draw = np.random.default_rng(3)
+    trades = {"a": draw.normal(5, 20, 40), "b": draw.normal(-5, 20, 12), "few": np.array([3.0] * 9), "flat": np.array([2.0] * 15), "one": np.array([1.0])}
+    rows = [(k, i, float(x)) for k, v in trades.items() for i, x in enumerate(v)]
+    got = {r["symbol"]: r for r in resampling.sign_flip_test(spark.createDataFrame(rows, "symbol string, id long, pnl double"), 150).collect()}
+    value = lambda x: x.mean() / x.std(ddof=1) if len(x) > 1 and x.std(ddof=1) > 0 else 0.0
+    for k, v in trades.items():
+        bits = [[int(hashlib.md5(f"42:{b}:{i}".encode()).hexdigest()[:15], 16) for i in range(len(v))] for b in range(3)]
+        signs = [np.array([1 - 2 * (w >> (p % 60) & 1) for w in bits[p // 60]]) for p in range(150)]
+        hits = sum(value(v * s) >= value(v) for s in signs)
+        assert (got[k]["n"], got[k]["hits"], got[k]["observed"]) == (len(v), hits, pytest.approx(value(v)))
+        assert got[k]["p"] == (pytest.approx((hits + 1) / 151) if len(v) >= 10 else 1.0)
+
+
+def test_path_summary_takes_values_at_floor_indices(spark):
+    values = [90_000.0 + 137.0 * (k * 7 % 50) for k in range(50)]
+    paths = spark.createDataFrame([(k, v, 0.01 * k) for k, v in enumerate(values)], "path long, terminal double, max_drawdown double")
+    got = resampling.path_summary(paths).first()
+    assert [got[f"p{q}"] for q in (5, 25, 50, 75, 95)] == [sorted(values)[int(50 * q / 100)] for q in (5, 25, 50, 75, 95)]
+    counts, edges = np.histogram(values, 30)
+    assert [c["n"] for c in got["histogram"]] == counts.tolist() and [c["low"] for c in got["histogram"]] == pytest.approx(edges[:-1].tolist())
+    flat = resampling.path_summary(spark.createDataFrame([(1, 5.0, 0.0), (2, 5.0, 0.0)], "path long, terminal double, max_drawdown double")).first()
+    assert [(c["low"], c["n"]) for c in flat["histogram"]] == [(5.0, 2)] and flat["p95"] == 5.0
+
+
+def test_adjustment_takes_the_first_later_event(spark):
+    import datetime as dt
+
+    bars = series(spark, range(1, 41))
+    days = [dt.date(2024, 1, 5), dt.date(2024, 1, 20), dt.date(2024, 2, 1)]
+    factors = spark.createDataFrame([("X", day, f) for day, f in zip(days, (0.125, 0.25, 0.5), strict=True)], "symbol string, date date, factor double")
+    got = B.adjust(bars, factors).collect()
+    for r in got:
+        assert r["adj_factor"] == next((f for day, f in zip(days, (0.125, 0.25, 0.5), strict=True) if day > r["ts"].date()), 1.0)
+    assert len(got) == 40 and B.adjust(bars, factors.where("symbol = 'Y'")).where("adj_factor <> 1").count() == 0
+
+
+def test_a_chain_of_similar_patterns_is_one_group(spark):
+    names = [f"p{k:02d}" for k in range(40)]
+    scanned = spark.createDataFrame([("X", n, 5, float(k)) for k, n in enumerate(names)] + [("Y", "p00", 5, 1.0)], "symbol string, pattern string, horizon int, dsr double")
+    pairs = spark.createDataFrame([("X", a, b, 0.9) for a, b in zip(names, names[1:], strict=False)], "symbol string, a string, b string, similarity double")
+    assert sorted((r["symbol"], r["pattern"]) for r in patterns.deduplicate(scanned, pairs).collect()) == [("X", "p39"), ("Y", "p00")]
+
+
+def test_too_many_symbols_are_an_error(spark):
+    rows = spark.createDataFrame([(f"s{k:02d}", float(k + t % 3)) for k in range(21) for t in range(5)], "symbol string, ret double").withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+    with pytest.raises(ValueError, match="21 symbols"):
+        portfolio.optimize(rows)
