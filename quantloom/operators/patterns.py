@@ -124,7 +124,7 @@ def similar_patterns(found: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def deduplicate(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row a group of similar patterns: the one with the highest dsr (then the least name).
+    """One row a group of similar patterns: the one with the highest dsr (to nine digits; then the least name).
 
     Groups are connected components over `pairs`, found by passing on the least name until
     nothing changes.  A catalogue has a few dozen names a symbol, so the graph is small.
@@ -143,5 +143,5 @@ def deduplicate(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
         if not changed:
             break
     best = scanned.join(nodes.withColumnRenamed("node", "pattern"), ["symbol", "pattern"])
-    rank = F.row_number().over(Window.partitionBy("symbol", "label").orderBy(F.desc("dsr"), "pattern", "horizon"))
+    rank = F.row_number().over(Window.partitionBy("symbol", "label").orderBy(F.desc(F.round("dsr", 9)), "pattern", "horizon"))
     return best.withColumn("place", rank).where("place = 1").drop("place", "label")

@@ -10,6 +10,7 @@ from quantloom.operators import patterns as P
 from quantloom.operators import regimes as G
 from quantloom.operators import resampling as X
 from quantloom.plans import _inputs as I
+from quantloom.plans import _sql as Q
 from quantloom.plans._registry import Registry
 
 query = Registry()
@@ -73,9 +74,60 @@ def p14s(spark, d):
     return rows.groupBy("symbol", "day").agg(F.count("*").alias("candidates"), F.median("gap").alias("gap"))
 
 
-@query("p14_pattern_scan")
+#: Conditions by pattern, on the columns of `f`.
+_CONDITIONS = {f"seasonality/{d}": f"isodow(ts) = {k + 1}" for k, d in enumerate(("mon", "tue", "wed", "thu", "fri"))}
+_CONDITIONS |= {f"seasonality/{m}": f"month(ts) = {k + 1}" for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+_CONDITIONS |= {
+    "seasonality/turn_of_month": "day(ts) <= 3 or before_end <= 2", "price_action/three_down": "down = 3", "price_action/three_up": "up = 3", "price_action/up_5pct_20": "r20 > 0.05", "price_action/down_5pct_20": "r20 < -0.05",
+    "price_action/day_up_2pct": "ret > 0.02", "price_action/day_down_2pct": "ret < -0.02", "mean_reversion/below_band": "close < sma - 2 * sd", "mean_reversion/above_band": "close > sma + 2 * sd",
+    "mean_reversion/z_below_2": "sd > 0 and (close - sma) / sd < -2", "volume/spike": "volume > 2 * vol_sma", "volume/dry": "volume < 0.5 * vol_sma", "volatility/low": "vol < v25", "volatility/high": "vol > v75",
+    "microstructure/gap_up": "gap > 0.01", "microstructure/gap_down": "gap < -0.01", "microstructure/wide_range": "range > 2 * range_sma", "autocorrelation/lag1": "abs(ac1) > 0.05 and r1 > 0", "autocorrelation/lag5": "abs(ac5) > 0.05 and r5 > 0",
+}
+
+
+def _signals_sql() -> str:
+    """CTEs up to `found`: symbol, pattern, horizon, i, ts, forward."""
+    w20 = "over (partition by symbol order by ts rows between 19 preceding and current row)"
+    patterns = ", ".join(f"case when {c} then '{k}' end" for k, c in _CONDITIONS.items())
+    full = lambda x: f"case when count(*) {w20} = 20 then {x} {w20} end"
+    ahead = " union all ".join(f"select symbol, pattern, {h} as horizon, rn as i, ts, f{h} as forward, min(rn) over (partition by symbol, pattern order by rn range between {h} following and unbounded following) as nxt from hits where f{h} is not null" for h in P.HORIZONS)
+    return f"""{I.RETURNS}, f0 as (select *, lag(ret) over v as r1, lag(ret, 5) over v as r5, open / lag(close) over v - 1 as gap, (high - low) / low as range, close / lag(close, 20) over v - 1 as r20, datediff('day', ts::date, last_day(ts)) as before_end,
+    case when ret > 0 then rn - max(case when ret > 0 then 0 else rn end) over v else 0 end as up, case when ret < 0 then rn - max(case when ret < 0 then 0 else rn end) over v else 0 end as down,
+    {", ".join(f"lead(close, {h}) over v / close - 1 as f{h}" for h in P.HORIZONS)} from returns window v as (partition by symbol order by ts)),
+  f1 as (select *, {full("avg(close)")} as sma, {full("stddev_samp(close)")} as sd, {full("avg(volume)")} as vol_sma, {full("avg(range)")} as range_sma, case when count(ret) {w20} = 20 then stddev_samp(ret) {w20} end as vol from f0),
+  qu as (select symbol, quantile_cont(vol, 0.25) as v25, quantile_cont(vol, 0.75) as v75, corr(ret, r1) as ac1, corr(ret, r5) as ac5, median(vol) as middle from f1 group by 1),
+  f as (select * from f1 join qu using (symbol)), hits as (select *, unnest(list_filter([{patterns}], lambda x: x is not null)) as pattern from f),
+  long as ({ahead}), gaps as (select symbol, pattern, horizon, median(g) as gap from (select *, i - lag(i) over (partition by symbol, pattern, horizon order by i) as g from long) group by 1, 2, 3),
+  dense as (select symbol, pattern, horizon from gaps where gap < horizon),
+  kept(symbol, pattern, horizon, i) as (select symbol, pattern, horizon, min(i) from long semi join dense using (symbol, pattern, horizon) group by 1, 2, 3
+    union all select l.symbol, l.pattern, l.horizon, l.nxt from kept k join long l on k.symbol = l.symbol and k.pattern = l.pattern and k.horizon = l.horizon and k.i = l.i where l.nxt is not null),
+  found as (select * from long anti join dense using (symbol, pattern, horizon) union all select long.* from long join kept using (symbol, pattern, horizon, i))"""
+
+
+def _scan_sql() -> str:
+    """CTEs up to `scanned`."""
+    key = "symbol, pattern, horizon"
+    best = "case when trials > 1 then sqrt(2 * ln(trials)) - (ln(ln(trials)) + ln(4 * pi())) / (2 * sqrt(2 * ln(trials))) else 0 end"
+    return _signals_sql() + f""",
+  m as (select {key}, count(*) as n, avg(forward) as mean, stddev_samp(forward) as std, avg((forward > 0)::int) as win_rate from found group by {key} having count(*) >= {P.LEAST_SIGNALS} and stddev_samp(forward) > 0),
+  zs as (select {key}, sum(((forward - mean) / std) ** 3) as z3, sum(((forward - mean) / std) ** 4) as z4 from found join m using ({key}) group by {key}),
+  st as (select *, sqrt(n * (n - 1.0)) / (n - 2) * z3 / n as skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * z4 / n - 3 * (n - 1)) as kurtosis, mean / (std / sqrt(n)) as t, mean / std * sqrt(252.0 / horizon) as sharpe, count(*) over (partition by symbol) as trials from m join zs using ({key})),
+  tp as (select *, {Q.t_two_sided("t", "n - 1")} as p from st), ra as (select *, row_number() over (partition by symbol order by p, pattern, horizon) as rank from tp),
+  re as (select {key}, (f.vol > f.middle)::int as regime, count(*) as k, avg(forward) / nullif(stddev_samp(forward), 0) as s from found join f using (symbol, ts) where f.vol is not null group by {key}, 4 having count(*) >= 3 and stddev_samp(forward) > 0),
+  cv as (select {key}, case when count(*) >= 2 and avg(s) <> 0 then stddev_samp(s) / abs(avg(s)) end as cv from re group by {key}),
+  ad as (select *, least(min(p * trials / rank) over (partition by symbol order by rank desc), 1) as adjusted, (1 + 0.5 * skew * sharpe + kurtosis / 4 * sharpe * sharpe) / (n - 1) as var, {best} as best from ra left join cv using ({key})),
+  zz as (select *, case when var > 0 then (sharpe - best * sqrt(var)) / sqrt(var) end as z from ad),
+  ds as (select *, coalesce({Q.normal_cdf("z")}, 0) as dsr from zz),
+  scanned as (select *, case when pattern like 'seasonality/%' or pattern like 'volume/%' then {P.STRUCTURAL} else {P.EMPIRICAL} end * greatest(dsr, 0) / (1 + coalesce(cv, 1)) as score from ds)"""
+
+
+_SHOWN = {"mean": 6, "std": 6, "win_rate": 6, "skew": 4, "kurtosis": 3, "t": 4, "sharpe": 4, "p": 5, "adjusted": 5, "cv": 3, "dsr": 5, "score": 5}
+
+
+@query("p14_pattern_scan", f"""with recursive {_scan_sql()}
+  select symbol, pattern, horizon::int as horizon, n::bigint as n, trials::bigint as trials, {", ".join(f"round({c}, {k}) as {c}" for c, k in _SHOWN.items())}, adjusted <= 0.05 as significant from scanned""")
 def p14(spark, d):
-    return P.scan(I.daily(spark, d))
+    return P.scan(I.daily(spark, d)).select("symbol", "pattern", "horizon", "n", "trials", *[r(c, k).alias(c) for c, k in _SHOWN.items()], "significant")
 
 
 @query("j14_similar_patterns", f"""with {I.RETURNS}, t as (select symbol, ts, 'fri' as pattern from returns where isodow(ts) = 5 union all select symbol, ts, 'up' from returns where ret > 0
@@ -89,11 +141,17 @@ def j14(spark, d):
     return P.similar_patterns(found, 0.3).withColumn("similarity", r("similarity", 6))
 
 
-@query("p6_distinct_patterns")
+@query("p6_distinct_patterns", f"""with recursive {_scan_sql()},
+  dates as (select distinct symbol, pattern, ts from found), sizes as (select symbol, pattern, count(*) as n from dates group by 1, 2),
+  both_ as (select x.symbol, x.pattern as a, y.pattern as b, count(*) as k from dates x join dates y on x.symbol = y.symbol and x.ts = y.ts and x.pattern <> y.pattern group by 1, 2, 3),
+  pairs as (select b.symbol, b.a, b.b from both_ b join sizes m on m.symbol = b.symbol and m.pattern = b.a join sizes o on o.symbol = b.symbol and o.pattern = b.b where k / (m.n + o.n - k) > 0.5),
+  reach(symbol, a, b) as (select distinct symbol, pattern, pattern from scanned union select r.symbol, r.a, p.b from reach r join pairs p on p.symbol = r.symbol and p.a = r.b),
+  label as (select symbol, a as pattern, min(b) as label from reach semi join (select distinct symbol, pattern from scanned) s on reach.symbol = s.symbol and reach.b = s.pattern group by 1, 2)
+  select symbol, pattern, horizon::int as horizon, n::bigint as n, round(dsr, 5) as dsr from scanned join label using (symbol, pattern) qualify row_number() over (partition by symbol, label order by round(dsr, 9) desc, pattern, horizon) = 1""")
 def p6(spark, d):
     bars = I.daily(spark, d)
     scanned = P.scan(bars)
-    return P.deduplicate(scanned, P.similar_patterns(P.signals(bars)))
+    return P.deduplicate(scanned, P.similar_patterns(P.signals(bars))).select("symbol", "pattern", "horizon", "n", r("dsr").alias("dsr"))
 
 
 def _trades(spark, d):
