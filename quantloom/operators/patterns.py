@@ -60,11 +60,11 @@ def signals(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     long = base.select("symbol", "ts", F.col("__i").alias("i"), F.explode(hit).alias("pattern"), ahead.alias("ahead")).select("symbol", "pattern", "i", "ts", F.explode("ahead").alias("a"))
     long = long.select("symbol", "pattern", F.col("a.horizon").alias("horizon"), "i", "ts", F.col("a.forward").alias("forward")).where("forward is not null")
     key = ["symbol", "pattern", "horizon"]
-    gaps = long.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy(*key).orderBy("i"))).groupBy(*key).agg(F.median("gap").alias("gap"))
-    dense = gaps.where(F.col("gap") < F.col("horizon")).select(*key)
-    # Only patterns that stand close are thinned.
-    thinned = spaced(long.join(dense, key, "left_semi"), key, "horizon").where("kept").drop("kept")
-    return long.join(dense, key, "left_anti").unionByName(thinned.select(*long.columns))
+    w = Window.partitionBy(*key).orderBy("i")
+    long = long.withColumn("gap", F.col("i") - F.lag("i").over(w))
+    gaps = long.groupBy(*key).agg(F.median("gap").alias("close"))
+    marked = spaced(long.drop("gap"), key, "horizon", max(horizons)).join(gaps, key)
+    return marked.where(F.col("kept") | ~F.coalesce(F.col("close") < F.col("horizon"), F.lit(False))).select(*key, "i", "ts", "forward")
 
 
 @pandas_udf(DoubleType())
@@ -83,9 +83,12 @@ def deflated_sharpe(sharpe: pd.Series, trials: pd.Series, skew: pd.Series, kurto
     return pd.Series(np.where(np.isfinite(out) & (m > 1), out, 0.0))
 
 
-def scan(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, alpha: float = 0.05) -> DataFrame:
-    """A row a symbol, pattern and horizon with at least LEAST_SIGNALS signals: statistics, p, adjusted p, deflated Sharpe ratio, score."""
-    found = signals(bars, horizons)
+def scan(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, alpha: float = 0.05, found: DataFrame | None = None) -> DataFrame:
+    """A row a symbol, pattern and horizon with at least LEAST_SIGNALS signals: statistics, p, adjusted p, deflated Sharpe ratio, score.
+
+    found: the bars' `signals`, where they are there already.
+    """
+    found = signals(bars, horizons) if found is None else found
     vol = returns(bars).withColumn("vol", full(F.stddev_samp("ret").over(trailing(20)), 20, F.col("ret")))
     middle = vol.groupBy("symbol").agg(F.median("vol").alias("middle"))
     regime = vol.join(middle, "symbol").where("vol is not null").select("symbol", "ts", (F.col("vol") > F.col("middle")).cast("int").alias("regime"))
@@ -129,6 +132,7 @@ def deduplicate(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
     Groups are connected components over `pairs`, found by passing on the least name until
     nothing changes.  A catalogue has a few dozen names a symbol, so the graph is small.
     """
+    scanned = scanned.persist()
     nodes = scanned.select("symbol", F.col("pattern").alias("node")).distinct().withColumn("label", F.col("node"))
     edges = pairs.select("symbol", F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("symbol", "b", "a"))
     edges = edges.distinct().persist()

@@ -171,18 +171,17 @@ def forward_return(h: int) -> Column:
     return F.try_divide(F.lead("close", h).over(order()), F.col("close")) - 1
 
 
-def spaced(rows: DataFrame, key: list[str], h: str | int, least_span: int = 256) -> DataFrame:
+def spaced(rows: DataFrame, key: list[str], h: str | int, most: int | None = None, least_span: int = 256) -> DataFrame:
     """Of the places i of each key, those at least h after the last kept one; the first is kept.  Adds kept.
 
     rows: the key, i (from 0 or 1, repeated places count once) and, where `h` names one, a
-    column that is one number a key.  Places are folded in spans of `least_span` or h of them:
+    column that is one number a key, of at most `most`.  Places are folded in spans of `least_span` or h of them:
     first for each state in which a span can be entered (so many places still blocked), then
     over a key's spans, then once more for the state that holds.  No list is longer than a span
     or a key's number of spans.
     """
     far = (lambda x: F.col(x)) if isinstance(h, str) else F.lit
-    most = rows.agg(F.max(h)).first()[0] if isinstance(h, str) else h
-    span = max(least_span, int(most or 1))
+    span = max(least_span, most if isinstance(h, str) else h)
     held = [h] if isinstance(h, str) else []
     placed = rows.withColumn("__span", F.floor(F.col("i") / span))
     spans = placed.groupBy(*key, *held, "__span").agg(F.sort_array(F.collect_set(F.col("i").cast("bigint"))).alias("__at"))

@@ -150,8 +150,8 @@ def j14(spark, d):
   select symbol, pattern, horizon::int as horizon, n::bigint as n, round(dsr, 5) as dsr from scanned join label using (symbol, pattern) qualify row_number() over (partition by symbol, label order by round(dsr, 9) desc, pattern, horizon) = 1""")
 def p6(spark, d):
     bars = I.daily(spark, d)
-    scanned = P.scan(bars)
-    return P.deduplicate(scanned, P.similar_patterns(P.signals(bars))).select("symbol", "pattern", "horizon", "n", r("dsr").alias("dsr"))
+    found = P.signals(bars).persist()
+    return P.deduplicate(P.scan(bars, found=found), P.similar_patterns(found)).select("symbol", "pattern", "horizon", "n", r("dsr").alias("dsr"))
 
 
 def _trades(spark, d):

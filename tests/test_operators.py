@@ -377,9 +377,9 @@ def test_spaced_places_equal_a_plain_loop(spark, h, least_span):
             if last is None or i - last >= h:
                 want.add((k, last := i))
     for given in (h, "h"):
-        got = W.spaced(rows, ["symbol"], given, least_span).collect()
+        got = W.spaced(rows, ["symbol"], given, h, least_span).collect()
         assert {(r["symbol"], r["i"]) for r in got if r["kept"]} == want and len(got) == sum(map(len, places.values()))
-    assert W.spaced(rows.limit(0), ["symbol"], "h").count() == 0
+    assert W.spaced(rows.limit(0), ["symbol"], "h", h).count() == 0
 
 
 def test_sign_flips_equal_a_plain_loop(spark):
