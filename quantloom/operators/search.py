@@ -7,15 +7,16 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import distributions as D
 from quantloom.operators import metrics as M
 from quantloom.operators import simulation as Sim
 from quantloom.operators import store
+from quantloom.operators.bars import returns
 from quantloom.operators.resampling import sign_flip_test
-from quantloom.operators.windows import walk_forward_windows
+from quantloom.operators.windows import full, order, trailing, walk_forward_windows
 
 
 def steps(low: float, high: float, step: float) -> list[float]:
@@ -73,6 +74,51 @@ def walk_forward(bars: DataFrame, windows: DataFrame, combos: DataFrame, signal:
     return chosen.join(test, ["symbol", "window", "combo"], "left")
 
 
+def position_returns(bars: DataFrame, windows: list[int]) -> DataFrame:
+    """symbol, ts, window, ret, entered for each bar and each of the stated windows.
+
+    A position of that window is held on the bar after a close over the mean of so many closes;
+    ret is the bar's return while it is held, else 0; entered is 1 on a position's first bar.
+    Every window is a column of one pass over the sorted bars, then a row.
+    """
+    base = returns(bars).withColumns({f"__p{n}": F.coalesce((F.col("close") > full(F.avg("close").over(trailing(n)), n)).cast("int"), F.lit(0)) for n in windows})
+    held = lambda n, k: F.coalesce(F.lag(f"__p{n}", k).over(order()), F.lit(0))
+    row = lambda n: F.struct(F.lit(n).alias("window"), (F.col(f"__h{n}") * F.coalesce("ret", F.lit(0.0))).alias("ret"), F.when((F.col(f"__h{n}") == 1) & (F.col(f"__b{n}") == 0), 1).otherwise(0).alias("entered"))
+    base = base.withColumns({f"__{x}{n}": held(n, k) for n in windows for x, k in (("h", 1), ("b", 2))})
+    return base.select("symbol", "ts", F.explode(F.array(*[row(n) for n in windows])).alias("r")).select("symbol", "ts", "r.*")
+
+
+def _figures() -> list[Column]:
+    std = F.stddev_samp("ret")
+    sharpe = F.when(std > 0, F.avg("ret") / F.when(std > 0, std) * math.sqrt(252)).otherwise(0.0)
+    return [F.count("*").alias("bars"), F.sum("entered").alias("trades"), (F.product(1 + F.col("ret")) - 1).alias("total_return"), sharpe.alias("sharpe")]
+
+
+def position_sweep(bars: DataFrame, windows: list[int]) -> DataFrame:
+    """symbol, window, bars, trades, total_return, sharpe and rank (by sharpe, then the shorter window) of every stated window."""
+    got = position_returns(bars, windows).groupBy("symbol", "window").agg(*_figures())
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.round("sharpe", 9)), "window")))
+
+
+def position_walk_forward(bars: DataFrame, windows: list[int], spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each span of `walk_forward_windows` the window that was best in training, and its test figures; and the stitched curve.
+
+    The first: symbol, span, window, in_sample, out_of_sample (sharpe), test_return.  The second:
+    symbol, ts, span, window, equity: test returns of the chosen windows, one span after the other.
+    """
+    days = lambda part: spans.select(F.col("window").alias("span"), F.lit(part).alias("part"), F.explode(F.sequence(f"{part}_start", f"{part}_end")).alias("day"))
+    rows = position_returns(bars, windows).withColumn("day", F.to_date("ts"))
+    parts = rows.join(F.broadcast(days("train").unionByName(days("test"))), "day")  # a row a day of the stated spans
+    figures = parts.groupBy("symbol", "span", "part", "window").agg(*_figures())
+    best = figures.where("part = 'train'").groupBy("symbol", "span").agg(F.max_by(F.struct("window", "sharpe"), F.struct(F.round("sharpe", 9), -F.col("window"))).alias("b"))
+    best = best.select("symbol", "span", "b.window", F.col("b.sharpe").alias("in_sample"))
+    test = figures.where("part = 'test'").select("symbol", "span", "window", F.col("sharpe").alias("out_of_sample"), F.col("total_return").alias("test_return"))
+    chosen = best.join(test, ["symbol", "span", "window"], "left")
+    curve = parts.where("part = 'test'").join(best.drop("in_sample"), ["symbol", "span", "window"])
+    running = Window.partitionBy("symbol").orderBy("span", "ts")
+    return chosen, curve.select("symbol", "ts", "span", "window", F.product(1 + F.col("ret")).over(running).alias("equity"))
+
+
 def walk_forward_verdict(results: DataFrame) -> DataFrame:
     """symbol, efficiency (sum out of sample over sum in sample), stability, verdict by fixed bounds."""
     got = results.groupBy("symbol").agg(F.sum("out_of_sample").alias("o"), F.sum("in_sample").alias("i"), F.avg("out_of_sample").alias("mean"), F.avg(F.when(F.col("out_of_sample") > 0, 1.0).otherwise(0.0)).alias("positive"))

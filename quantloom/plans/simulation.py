@@ -134,6 +134,53 @@ def b11(spark, d):
     return S.resolve(I.chain(spark, d), S.strategy("long_straddle", 0.5, 0.5, dte=30)).select("symbol", "ts", F.round(S.net_delta(), 4).alias("net_delta"))
 
 
+_GRID = list(range(7, 29))
+_SPAN_GRID = [10, 20, 40]
+
+
+def _positions_sql(windows) -> str:
+    """CTEs up to `pos`: symbol, ts, window, ret, entered."""
+    one = lambda n: f"""select symbol, ts, {n}::int as "window", coalesce(lag(p) over v, 0) * coalesce(ret, 0) as ret, (coalesce(lag(p) over v, 0) = 1 and coalesce(lag(p, 2) over v, 0) = 0)::int as entered
+    from (select *, case when count(*) over w = {n} and close > avg(close) over w then 1 else 0 end as p from returns window w as (partition by symbol order by ts rows {n - 1} preceding)) window v as (partition by symbol order by ts)"""
+    return f"{I.RETURNS}, pos as ({' union all '.join(one(n) for n in windows)})"
+
+
+_SHARPE = "case when stddev_samp(ret) > 0 then avg(ret) / stddev_samp(ret) * sqrt(252) else 0 end"
+
+
+@query("v2_position_sweep", f"""with {_positions_sql(_GRID)}, g as (select symbol, "window", count(*)::bigint as bars, sum(entered)::bigint as trades, product(1 + ret) - 1 as total_return, {_SHARPE} as sharpe from pos group by 1, 2)
+  select symbol, "window", bars, trades, round(total_return, 5) as total_return, round(sharpe, 5) as sharpe, row_number() over (partition by symbol order by round(sharpe, 9) desc, "window")::int as rank from g""")
+def v2p(spark, d):
+    """A grid of 22 windows."""
+    got = V.position_sweep(I.daily(spark, d), _GRID)
+    return got.withColumns({"total_return": F.round("total_return", 5), "sharpe": F.round("sharpe", 5)})
+
+
+_SPANS = f"""{_positions_sql(_SPAN_GRID)}, days as (select day, row_number() over (order by day) - 1 as i, count(*) over () as t from (select distinct cast(o_orderdate as date) as day from orders)),
+  pq as (select distinct floor(t * 0.3 / (0.7 + 4 * 0.3))::bigint as test, t from days), q as (select *, round(test * 0.7 / 0.3)::bigint as train from pq),
+  sp as (select k::int as span, k * test as a, k * test + train - 1 as b, k * test + train as c, least(k * test + train + test, t) - 1 as d from q, (select unnest(range(4)) as k)),
+  spans as (select span, x.day as train_start, y.day as train_end, z.day as test_start, v.day as test_end from sp join days x on x.i = a join days y on y.i = b join days z on z.i = c join days v on v.i = d),
+  parts as (select pos.*, span, 'train' as part from pos join spans on ts::date between train_start and train_end union all select pos.*, span, 'test' from pos join spans on ts::date between test_start and test_end),
+  fig as (select symbol, span, part, "window", {_SHARPE} as sharpe, product(1 + ret) - 1 as total_return from parts group by 1, 2, 3, 4),
+  best as (select symbol, span, "window", sharpe as in_sample from fig where part = 'train' qualify row_number() over (partition by symbol, span order by round(sharpe, 9) desc, "window") = 1)"""
+
+
+def _walk(spark, d):
+    bars = I.daily(spark, d)
+    return V.position_walk_forward(bars, _SPAN_GRID, W.walk_forward_windows(bars.select(F.to_date("ts").alias("day")).distinct(), 4, 0.7))
+
+
+@query("v4_position_walk_forward", f"""with {_SPANS} select symbol, span, "window", round(in_sample, 5) as in_sample, round(fig.sharpe, 5) as out_of_sample, round(fig.total_return, 5) as test_return
+  from best left join (select * from fig where part = 'test') fig using (symbol, span, "window")""")
+def v4p(spark, d):
+    return _walk(spark, d)[0].withColumns({c: F.round(c, 5) for c in ("in_sample", "out_of_sample", "test_return")})
+
+
+@query("v4_stitched_curve", f"""with {_SPANS} select symbol, ts, span, "window", round(product(1 + ret) over (partition by symbol order by span, ts), 5) as equity from parts join best using (symbol, span, "window") where part = 'test'""")
+def v4c(spark, d):
+    return _walk(spark, d)[1].withColumn("equity", F.round("equity", 5))
+
+
 @query("v2_grid_sweep")
 def v2(spark, d):
     return V.sweep(I.daily(spark, d), V.grid(spark, {"window": V.steps(10, 40, 10)}), crossing, S.Rules())
