@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from quantloom.functions import distributions as D
 from quantloom.operators import stats as S
 from quantloom.operators.bars import returns
+from quantloom.operators.lineage import cut
 from quantloom.operators.windows import full, order, runs, spaced, trailing
 
 HORIZONS = (5, 10, 20)
@@ -129,23 +130,21 @@ def similar_patterns(found: DataFrame, threshold: float = 0.5) -> DataFrame:
 def deduplicate(scanned: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row a group of similar patterns: the one with the highest dsr (to nine digits; then the least name).
 
-    Groups are connected components over `pairs`, found by passing on the least name until
-    nothing changes.  A catalogue has a few dozen names a symbol, so the graph is small.
+    Groups are connected components over `pairs`: each round a pattern takes the least label of
+    those similar to it, and then that label's own, until nothing changes.  Rounds grow with the
+    logarithm of a group, and each is a checkpoint.
     """
     scanned = scanned.persist()
-    nodes = scanned.select("symbol", F.col("pattern").alias("node")).distinct().withColumn("label", F.col("node"))
-    edges = pairs.select("symbol", F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("symbol", "b", "a"))
-    edges = edges.distinct().persist()
-    before = None
-    while True:
+    nodes = cut(scanned.select("symbol", F.col("pattern").alias("node")).distinct().withColumn("label", F.col("node")))
+    edges = cut(pairs.select("symbol", F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("symbol", "b", "a")).distinct())
+    changed = 1
+    while changed:
         near = edges.join(nodes.select("symbol", F.col("node").alias("y"), "label"), ["symbol", "y"]).groupBy("symbol", F.col("x").alias("node")).agg(F.min("label").alias("other"))
-        step = nodes.join(near, ["symbol", "node"], "left").withColumn("new", F.least("label", F.coalesce("other", "label"))).persist()
-        changed = step.where("new <> label").count()
-        if before is not None:
-            before.unpersist()
-        nodes, before = step.select("symbol", "node", F.col("new").alias("label")), step
-        if not changed:
-            break
+        step = nodes.join(near, ["symbol", "node"], "left").select("symbol", "node", F.col("label").alias("old"), F.least("label", F.coalesce("other", "label")).alias("near"))
+        of_label = nodes.select("symbol", F.col("node").alias("near"), F.col("label").alias("own"))
+        step = cut(step.join(of_label, ["symbol", "near"], "left").select("symbol", "node", "old", F.least("near", F.coalesce("own", "near")).alias("label")))
+        changed = step.where("label <> old").count()
+        nodes = step.select("symbol", "node", "label")
     best = scanned.join(nodes.withColumnRenamed("node", "pattern"), ["symbol", "pattern"])
     rank = F.row_number().over(Window.partitionBy("symbol", "label").orderBy(F.desc(F.round("dsr", 9)), "pattern", "horizon"))
     return best.withColumn("place", rank).where("place = 1").drop("place", "label")
