@@ -282,7 +282,9 @@ def link(
     members = settle(spread_join(keyed, shared, "bucket", "members", n_classes * bands).drop("members"), "bucket-members")
 
     involved = firsts.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-    texts = settle(docs.join(involved, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "bucket-texts")
+    # Id and text hash name a node, so rows that repeat lie side by side already.
+    texts = docs.join(involved, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    texts = settle(texts.select("node", "text"), "bucket-texts")
     close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
 
     def labelled(found: DataFrame | None) -> DataFrame:
