@@ -63,9 +63,8 @@ def engle_granger(pairs: DataFrame) -> dict:
     for residuals of a fitted pair.  Needs 30 rows.
     """
     rows, alpha, beta, r2 = spread(pairs)
-    w = Window.orderBy("ts")
-    change = F.col("spread") - F.lag("spread").over(w)
-    steps = rows.select("ts", "spread", change.alias("d"), F.lag("spread").over(w).alias("level")).withColumn("d1", F.lag("d").over(Window.orderBy("ts")))
+    behind = S.lagged(rows.select("ts", "spread"), {"level": ("spread", 1), "before": ("spread", 2)})
+    steps = behind.withColumns({"d": F.col("spread") - F.col("level"), "d1": F.col("level") - F.col("before")})
     fit = S.ols(steps, ["level", "d1"], "d")
     first = steps.where("level is not null").agg(F.regr_slope("spread", "level"), F.count("*")).first()
     t = float(fit["t"][1]) if fit and first[1] >= 29 else None

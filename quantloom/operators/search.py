@@ -63,10 +63,12 @@ def walk_forward(bars: DataFrame, windows: DataFrame, combos: DataFrame, signal:
     spans = windows.select("window", F.explode(F.array(F.struct(F.lit("train").alias("part"), F.col("train_start").alias("a"), F.col("train_end").alias("z")), F.struct(F.lit("test").alias("part"), F.col("test_start").alias("a"), F.col("test_end").alias("z")))).alias("s"))
     spans = spans.select("window", "s.*")
     day = F.to_date("ts")
-    parts = bars.join(spans, (day >= F.col("a")) & (day <= F.col("z"))).withColumn("symbol", F.concat_ws("~", "symbol", F.col("window").cast("string"), "part")).drop("window", "part", "a", "z")
+    days = spans.select("window", "part", F.explode(F.sequence("a", "z")).alias("__day"))
+    # A row a day of the stated windows; a window's part is a symbol of its own, and its name any text.
+    parts = bars.withColumn("__day", day).join(days, "__day").withColumn("symbol", F.to_json(F.struct("symbol", "window", "part"))).drop("window", "part", "__day")
     results = sweep(parts, combos, signal, rules)
-    key = F.split("symbol", "~")
-    results = results.withColumns({"window": F.get(key, F.lit(1)).cast("int"), "part": F.get(key, F.lit(2)), "symbol": F.get(key, F.lit(0))})
+    key = F.from_json("symbol", "symbol string, window int, part string")
+    results = results.withColumn("__key", key).withColumns({c: F.col(f"__key.{c}") for c in ("window", "part", "symbol")}).drop("__key")
     results = results.withColumn("o", F.coalesce(store.objective(by), F.lit(0.0))).cache()  # both halves read it
     train = results.where("part = 'train'").groupBy("symbol", "window").agg(F.max_by(F.struct("combo", "params", "o"), F.struct(F.col("o"), -F.col("combo"))).alias("best"))
     test = results.where("part = 'test'").select("symbol", "window", "combo", F.col("o").alias("out_of_sample"), "total_return", "trades")
@@ -119,13 +121,14 @@ def position_walk_forward(bars: DataFrame, windows: list[int], spans: DataFrame)
     return chosen, curve.select("symbol", "ts", "span", "window", F.product(1 + F.col("ret")).over(running).alias("equity"))
 
 
-def walk_forward_verdict(results: DataFrame) -> DataFrame:
-    """symbol, efficiency (sum out of sample over sum in sample), stability, verdict by fixed bounds."""
-    got = results.groupBy("symbol").agg(F.sum("out_of_sample").alias("o"), F.sum("in_sample").alias("i"), F.avg("out_of_sample").alias("mean"), F.avg(F.when(F.col("out_of_sample") > 0, 1.0).otherwise(0.0)).alias("positive"))
+def walk_forward_verdict(results: DataFrame, *keys: str) -> DataFrame:
+    """The keys (symbol), efficiency (sum out of sample over sum in sample), stability, verdict by fixed bounds."""
+    keys = keys or ("symbol",)
+    got = results.groupBy(*keys).agg(F.sum("out_of_sample").alias("o"), F.sum("in_sample").alias("i"), F.avg("out_of_sample").alias("mean"), F.avg(F.when(F.col("out_of_sample") > 0, 1.0).otherwise(0.0)).alias("positive"))
     efficiency = F.when(F.col("i") != 0, F.col("o") / F.when(F.col("i") != 0, F.col("i"))).otherwise(0.0)
     stability = F.when(F.col("positive") >= 0.8, "stable").when(F.col("positive") >= 0.5, "moderate").otherwise("unstable")
     verdict = F.when((F.col("mean") >= 0.5) & (efficiency >= 0.8), "strong").when((F.col("mean") >= 0.1) & (efficiency >= 0.7), "acceptable").otherwise("weak")
-    return got.select("symbol", efficiency.alias("efficiency"), stability.alias("stability"), verdict.alias("verdict"))
+    return got.select(*keys, efficiency.alias("efficiency"), stability.alias("stability"), verdict.alias("verdict"))
 
 
 def bayesian(evaluate: Callable[[list[dict[str, float]]], list[float]], space: dict[str, tuple[float, float, float]], evaluations: int = 50, initial: int = 10, batch: int = 4, seed: int = 42) -> list[tuple[dict[str, float], float]]:
@@ -191,9 +194,7 @@ def evaluate(bars: DataFrame, days: DataFrame, combos: DataFrame, signal: Callab
         plan = walk_forward_windows(days, n, part, mode).withColumn("window", F.col("window") + 1000 * k)
         plans = plan if plans is None else plans.unionByName(plan)
     results = walk_forward(bars, plans, combos, signal, rules).withColumn("variant", F.floor(F.col("window") / 1000).cast("int"))
-    named = results.withColumn("symbol", F.concat_ws("~", F.col("variant").cast("string"), "symbol"))
-    key = F.split("symbol", "~")
-    return walk_forward_verdict(named).withColumns({"variant": F.get(key, F.lit(0)).cast("int"), "symbol": F.get(key, F.lit(1))})
+    return walk_forward_verdict(results, "variant", "symbol")
 
 
 def gates(bars: DataFrame, days: DataFrame, combos: DataFrame, signal: Callable[[DataFrame], DataFrame], rules: Sim.Rules, alpha: float = 0.05, permutations: int = 200, least_returns: int = 30) -> DataFrame:

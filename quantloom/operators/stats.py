@@ -114,17 +114,64 @@ def correlation(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 
 
 def covariance_matrix(returns: DataFrame, key: str = "symbol", at: str = "ts", x: str = "ret", factor: float = 252.0) -> DataFrame:
-    """a, b, n, covariance (times factor) and correlation of every two series on the times that both have; each pair both ways."""
+    """a, b, n, covariance (times factor) and correlation of every two series on the times that both have; each pair both ways.
+
+    A pair is joined and summed once, and its row mirrored.
+    """
     one = returns.where(F.col(x).isNotNull()).select(F.col(key).alias("a"), at, F.col(x).alias("xa"))
     two = one.select(F.col("a").alias("b"), at, F.col("xa").alias("xb"))
-    return one.join(two, at).groupBy("a", "b").agg(F.count("*").alias("n"), (F.covar_samp("xa", "xb") * factor).alias("covariance"), F.corr("xa", "xb").alias("correlation"))
+    figures = [F.count("*").alias("n"), (F.covar_samp("xa", "xb") * factor).alias("covariance"), F.corr("xa", "xb").alias("correlation")]
+    half = one.join(two, at).where("a <= b").groupBy("a", "b").agg(*figures)
+    there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    ways = F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))
+    return half.select(F.explode(ways).alias("w"), "n", "covariance", "correlation").select("w.*", "n", "covariance", "correlation")
+
+
+def numbered(df: DataFrame, name: str, by: str = "ts", span: str = "month") -> DataFrame:
+    """Adds the row number, from 1, in order of `by`; rows without a time come first, ties as they fall.
+
+    Rows are numbered in spans of time, and a row a span hands on how many came before it, so
+    that only as many rows as the calendar has spans are sorted in one task.
+    """
+    rows = df.withColumn("__span", F.date_trunc(span, by))
+    counts = rows.groupBy("__span").agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("__span").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rows = rows.withColumn("__in", F.row_number().over(Window.partitionBy("__span").orderBy(by)))
+    joined = rows.join(before, F.col("__span").eqNullSafe(F.col("__of")))
+    return joined.select(*df.columns, (F.col("__before") + F.col("__in")).alias(name))
+
+
+def lagged(df: DataFrame, lags: dict[str, tuple[str, int]], by: str = "ts", block: int = 1 << 16) -> DataFrame:
+    """Adds, for each name, the column's value so many rows (0 or more) earlier in order of `by`; null before the first.
+
+    Rows are dealt into blocks of consecutive ones, and the last rows of a block go to the next
+    as well, so that no task sorts the whole series.
+    """
+    reach = max((k for _, k in lags.values()), default=0)
+    block = max(block, reach)
+    place = lambda k: F.floor((k - 1) / block)
+    rows = numbered(df, "__k", by)
+    rows = rows.withColumn("__block", F.explode(F.array_distinct(F.array(place(F.col("__k")), place(F.col("__k") + reach)))))
+    inside = Window.partitionBy("__block").orderBy("__k")
+    rows = rows.withColumns({name: F.lag(c, k).over(inside) for name, (c, k) in lags.items()})
+    return rows.where(F.col("__block") == place(F.col("__k"))).drop("__k", "__block")
 
 
 def lead_lag(pairs: DataFrame, a: str, b: str, most: int) -> DataFrame:
-    """lag, n, correlation of a with b so many rows later, for lags from -most to most; rows in order of ts."""
-    numbered = pairs.select(F.row_number().over(Window.orderBy("ts")).alias("k"), F.col(a).alias("x_"), F.col(b).alias("y_"))
-    x = numbered.select("x_", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), F.col("k").alias("k0")).withColumn("k", F.col("k0") + F.col("lag"))
-    return x.join(numbered.select("k", "y_"), "k").groupBy("lag").agg(F.count("*").alias("n"), F.corr("x_", "y_").alias("correlation"))
+    """lag, n, correlation of a with b so many rows later, for lags from -most to most; rows in order of ts.
+
+    An earlier b is a later a: every row is set beside the `most` before it, and both signs are read off.
+    """
+    here = pairs.select("ts", F.struct(F.col(a).alias("x"), F.col(b).alias("y")).alias("now"))
+    rows = lagged(here, {f"back{k}": ("now", k) for k in range(1, most + 1)})
+    pair = lambda lag, x, y: F.struct(F.lit(lag).alias("lag"), F.col(f"{x}.x").alias("x"), F.col(f"{y}.y").alias("y"))
+    sides = [pair(0, "now", "now")]
+    for k in range(1, most + 1):
+        for way in (pair(k, f"back{k}", "now"), pair(-k, "now", f"back{k}")):
+            sides.append(F.when(F.col(f"back{k}").isNotNull(), way))
+    found = rows.select(F.explode(F.array_compact(F.array(*sides))).alias("p")).select("p.*")
+    return found.groupBy("lag").agg(F.count("*").alias("n"), F.corr("x", "y").alias("correlation"))
 
 
 def normal_matrix(df: DataFrame, columns: list[str], y: str) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -169,9 +216,8 @@ def ols(df: DataFrame, columns: list[str], y: str) -> dict | None:
 
 def granger(pairs: DataFrame, cause: str, effect: str, p: int) -> dict | None:
     """F and its p for lags 1..p of `cause` in a regression of `effect` on its own lags; rows in order of ts."""
-    w = Window.orderBy("ts")
-    lags = {f"e{i}": F.lag(effect, i).over(w) for i in range(1, p + 1)} | {f"c{i}": F.lag(cause, i).over(w) for i in range(1, p + 1)}
-    rows = pairs.select("ts", effect, cause).withColumns(lags).dropna()
+    lags = {f"e{i}": (effect, i) for i in range(1, p + 1)} | {f"c{i}": (cause, i) for i in range(1, p + 1)}
+    rows = lagged(pairs.select("ts", effect, cause), lags).dropna()
     small, large = ols(rows, [f"e{i}" for i in range(1, p + 1)], effect), ols(rows, [*[f"e{i}" for i in range(1, p + 1)], *[f"c{i}" for i in range(1, p + 1)]], effect)
     if small is None or large is None or large["n"] < 2 * p + 2 or large["rss"] <= 0:
         return None

@@ -232,7 +232,7 @@ def subsample(bars: DataFrame, most: int) -> DataFrame:
 def walk_forward_windows(days: DataFrame, n: int = 5, train: float = 0.7, mode: str = "rolling") -> DataFrame:
     """window, train_start, train_end, test_start, test_end from a table of distinct days (day).
 
-    Rolling windows train on as many days each; anchored ones from the first day on.
+    The days are numbered in one task: there are no more than the calendar has.  Rolling windows train on as many days each; anchored ones from the first day on.
     """
     numbered = days.withColumn("i", F.row_number().over(Window.orderBy("day")) - 1)
     total = days.count()

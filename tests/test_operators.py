@@ -247,6 +247,39 @@ def test_weights_sum_to_one(spark):
     assert len(got) == 3 and all(r["w"] == pytest.approx(1) and r["m"] >= 0 for r in got)
 
 
+def test_numbers_and_lags_across_spans_and_blocks(spark):
+    days = pd.date_range("2020-01-15", periods=200, freq="D").to_numpy().astype("datetime64[us]")
+    shuffled = np.random.default_rng(3).permutation(200)
+    df = spark.createDataFrame([(pd.Timestamp(days[i]).to_pydatetime(), int(i)) for i in shuffled], "ts timestamp_ntz, v int")
+    assert all(r["k"] == r["v"] + 1 for r in stats.numbered(df, "k").collect())
+    for block in (3, 7, 1000):
+        got = stats.lagged(df, {"one": ("v", 1), "five": ("v", 5)}, block=block).collect()
+        assert len(got) == 200
+        assert {r["v"]: (r["one"], r["five"]) for r in got} == {v: (v - 1 if v >= 1 else None, v - 5 if v >= 5 else None) for v in range(200)}
+    assert stats.lagged(df.where("v < 0"), {"one": ("v", 1)}).count() == 0
+    untimed = df.union(spark.createDataFrame([(None, -1)], df.schema))
+    assert {r["v"]: r["k"] for r in stats.numbered(untimed, "k").collect()} == {v: v + 2 for v in range(-1, 200)}
+
+
+def test_lead_lag_counts_rows_that_are_there(spark):
+    x = np.random.default_rng(4).normal(size=80)
+    y = np.roll(x, 2)
+    ts = [d.to_pydatetime() for d in pd.date_range("2020-01-30", periods=80, freq="D")]
+    df = spark.createDataFrame(list(zip(ts, x.tolist(), y.tolist(), strict=True)), "ts timestamp_ntz, a double, b double")
+    got = {r["lag"]: r for r in stats.lead_lag(df, "a", "b", 3).collect()}
+    assert sorted(got) == list(range(-3, 4)) and all(got[k]["n"] == 80 - abs(k) for k in got)
+    assert got[2]["correlation"] == pytest.approx(1) and got[-1]["correlation"] == pytest.approx(np.corrcoef(x[1:], y[:-1])[0, 1])
+
+
+def test_covariance_of_a_pair_both_ways(spark):
+    ts = [d.to_pydatetime() for d in pd.date_range("2020-01-01", periods=30, freq="D")]
+    x = np.random.default_rng(5).normal(size=(3, 30))
+    rows = [(s, t, float(v)) for s, line in zip("pqr", x, strict=True) for t, v in zip(ts, line, strict=True)]
+    got = {(r["a"], r["b"]): r for r in stats.covariance_matrix(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, ret double"), factor=1.0).collect()}
+    assert len(got) == 9 and all(got[a, b]["covariance"] == got[b, a]["covariance"] for a in "pqr" for b in "pqr")
+    assert got["r", "p"]["covariance"] == pytest.approx(np.cov(x)[0, 2]) and got["q", "q"]["correlation"] == pytest.approx(1)
+
+
 def test_hidden_markov_model_finds_two_regimes():
     draw = np.random.default_rng(4)
     state = (np.arange(400) // 100) % 2
