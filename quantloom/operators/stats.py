@@ -189,36 +189,51 @@ def normal_matrix(df: DataFrame, columns: list[str], y: str) -> tuple[np.ndarray
     return m, np.array(values[at : at + k]), values[at + k], int(values[-1])
 
 
-def ols(df: DataFrame, columns: list[str], y: str) -> dict | None:
-    """coefficients, errors, t, p (normal), r2, adjusted_r2, rss, n of a least-squares fit; None if singular or too short.
+def centred_sums(df: DataFrame, columns: list[str], y: str) -> tuple | None:
+    """Means (of the columns, then y), X'X, X'y and y'y about them, and n, over rows without nulls; None without rows.
 
-    Sums of products are taken about the means of the rows, for precision.
+    Sums of products are taken about the means, for precision.
     """
-    means = df.dropna(subset=[*columns, y]).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate([*columns, y])]).first()
+    rows = df.dropna(subset=[*columns, y])
+    means = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate([*columns, y])]).first()
     if means is None or means[0] is None:
         return None
-    centred = df.dropna(subset=[*columns, y]).select(*[(F.col(c) - means[i]).alias(c) for i, c in enumerate([*columns, y])])
-    m, v, yy, n = normal_matrix(centred, columns, y)
-    k = len(columns)
-    if n <= k + 1 or np.linalg.matrix_rank(m[1:, 1:]) < k:
+    m, v, yy, n = normal_matrix(rows.select(*[(F.col(c) - means[i]).alias(c) for i, c in enumerate([*columns, y])]), columns, y)
+    return np.array(means), m[1:, 1:], v[1:], yy, n
+
+
+def fit(sums: tuple | None, k: int) -> dict | None:
+    """The least-squares fit of y by a constant and the first k columns of `centred_sums`; None if singular or too short."""
+    if sums is None:
+        return None
+    means, m, v, yy, n = sums[0], sums[1][:k, :k], sums[2][:k], sums[3], sums[4]
+    if n <= k + 1 or np.linalg.matrix_rank(m) < k:
         return None
-    inverse = np.linalg.inv(m[1:, 1:])
-    beta = inverse @ v[1:]
-    rss = max(yy - float(beta @ v[1:]), 0.0)
-    mean_x = np.array(means[:k])
+    inverse = np.linalg.inv(m)
+    beta = inverse @ v
+    rss = max(yy - float(beta @ v), 0.0)
     sigma2 = rss / (n - k - 1)
-    errors = np.sqrt(np.concatenate([[sigma2 * (1 / n + mean_x @ inverse @ mean_x)], sigma2 * np.diag(inverse)]))
-    coefficients = np.concatenate([[means[k] - beta @ mean_x], beta])
+    errors = np.sqrt(np.concatenate([[sigma2 * (1 / n + means[:k] @ inverse @ means[:k])], sigma2 * np.diag(inverse)]))
+    coefficients = np.concatenate([[means[-1] - beta @ means[:k]], beta])
     t = coefficients / np.where(errors > 0, errors, np.nan)
     r2 = 1 - rss / yy if yy > 0 else 0.0
-    return {"coefficients": coefficients, "errors": errors, "t": t, "p": 2 * (1 - D.normal_cdf(np.abs(t))), "r2": r2, "adjusted_r2": 1 - (1 - r2) * (n - 1) / (n - k - 1), "rss": rss, "n": n}
+    return {
+        "coefficients": coefficients, "errors": errors, "t": t, "p": 2 * (1 - D.normal_cdf(np.abs(t))),
+        "r2": r2, "adjusted_r2": 1 - (1 - r2) * (n - 1) / (n - k - 1), "rss": rss, "n": n,
+    }
+
+
+def ols(df: DataFrame, columns: list[str], y: str) -> dict | None:
+    """coefficients, errors, t, p (normal), r2, adjusted_r2, rss, n of a least-squares fit; None if singular or too short."""
+    return fit(centred_sums(df, columns, y), len(columns))
 
 
 def granger(pairs: DataFrame, cause: str, effect: str, p: int) -> dict | None:
     """F and its p for lags 1..p of `cause` in a regression of `effect` on its own lags; rows in order of ts."""
     lags = {f"e{i}": (effect, i) for i in range(1, p + 1)} | {f"c{i}": (cause, i) for i in range(1, p + 1)}
     rows = lagged(pairs.select("ts", effect, cause), lags).dropna()
-    small, large = ols(rows, [f"e{i}" for i in range(1, p + 1)], effect), ols(rows, [*[f"e{i}" for i in range(1, p + 1)], *[f"c{i}" for i in range(1, p + 1)]], effect)
+    sums = centred_sums(rows, [*[f"e{i}" for i in range(1, p + 1)], *[f"c{i}" for i in range(1, p + 1)]], effect)
+    small, large = fit(sums, p), fit(sums, 2 * p)  # the shorter fit's sums are among those of the longer
     if small is None or large is None or large["n"] < 2 * p + 2 or large["rss"] <= 0:
         return None
     free = large["n"] - 1 - 2 * p
