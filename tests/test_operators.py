@@ -280,6 +280,21 @@ def test_covariance_of_a_pair_both_ways(spark):
     assert got["r", "p"]["covariance"] == pytest.approx(np.cov(x)[0, 2]) and got["q", "q"]["correlation"] == pytest.approx(1)
 
 
+def test_walk_forward_keeps_names_with_any_signs(spark):
+    closes = 100 + np.sin(np.arange(90) / 3) * 5
+    bars = series(spark, closes, symbol="a~b|c").union(series(spark, closes, symbol="plain"))
+    days = bars.select(F.to_date("ts").alias("day")).distinct()
+
+    def signal(rows):
+        before = F.lag("close").over(W.order())
+        return rows.withColumns({"enter": F.coalesce(F.col("close") > before, F.lit(False)), "leave": F.coalesce(F.col("close") < before, F.lit(False))})
+
+    got = search.walk_forward(bars, W.walk_forward_windows(days, 2), search.grid(spark, {"w": [1.0]}), signal, simulation.Rules()).toPandas()
+    assert set(got.symbol) == {"a~b|c", "plain"} and sorted(got.window) == [0, 0, 1, 1]
+    one, other = (got[got.symbol == s].sort_values("window").out_of_sample.values for s in ("a~b|c", "plain"))
+    assert one == pytest.approx(other)
+
+
 def test_hidden_markov_model_finds_two_regimes():
     draw = np.random.default_rng(4)
     state = (np.arange(400) // 100) % 2
