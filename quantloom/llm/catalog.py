@@ -6,6 +6,7 @@ from quantloom.llm.bigru import op7_bigru_language
 from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
 from quantloom.llm.host_rules import OP6_SQL, op6_host_rules
 from quantloom.llm.kneser_ney import op10_kneser_ney
+from quantloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from quantloom.llm.minmax import OP8_SQL, op8_minmax_dedup
 from quantloom.llm.mixing import op9_temperature_mix
 from quantloom.llm.pii import op2_boosted_pii
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_minmax_dedup": op8_minmax_dedup,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_windows": OP5_SQL,
     "op6_host_rules": OP6_SQL,
     "op8_minmax_dedup": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
