@@ -9,6 +9,7 @@ from quantloom.llm.kneser_ney import op10_kneser_ney
 from quantloom.llm.merkle import OP11_SQL, op11_merkle_manifest
 from quantloom.llm.minmax import OP8_SQL, op8_minmax_dedup
 from quantloom.llm.mixing import op9_temperature_mix
+from quantloom.llm.packing import op12_mixture_packing
 from quantloom.llm.pii import op2_boosted_pii
 from quantloom.llm.secrets import op1_secret_forest
 from quantloom.llm.sharding import op4_sampled_splitters
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_temperature_mix": op9_temperature_mix,
     "op10_kneser_ney": op10_kneser_ney,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_mixture_packing": op12_mixture_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
