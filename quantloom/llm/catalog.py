@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quantloom.llm.alignment import op13_byte_owner_alignment
 from quantloom.llm.bigru import op7_bigru_language
 from quantloom.llm.decontamination import OP5_SQL, op5_benchmark_windows
 from quantloom.llm.host_rules import OP6_SQL, op6_host_rules
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_kneser_ney": op10_kneser_ney,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_mixture_packing": op12_mixture_packing,
+    "op13_byte_owner_alignment": op13_byte_owner_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
