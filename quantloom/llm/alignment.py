@@ -27,8 +27,8 @@ from quantloom.llm.bytewords import slices
 from quantloom.llm.shared import settle, table
 from quantloom.llm.units import Memo, Ragged, byte_letters, hashes, pack_small, spread, unpack_small
 
-#: Text bytes of a block; bytes of unit texts that a worker remembers.
-BLOCK_BYTES, REMEMBERED_BYTES = 8 << 20, 8 << 20
+#: Text bytes of a block and of a step of it; bytes of unit texts that a worker remembers.
+BLOCK_BYTES, STEP_BYTES, REMEMBERED_BYTES = 8 << 20, 1 << 20, 4 << 20
 _DOC, _UNITS, _PAIR = range(3)
 ROWS = "kind integer, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, pair long, place integer, n long"
 
@@ -78,10 +78,13 @@ class Aligner:
         self.memo, self.links, self.text, self.held = Memo(), Ragged(np.int64), [], 0
         self.numbers = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links; n_groups is 0 where a side's bytes differ
 
-    def entries(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The entry of each unit of `body`; those not known are aligned."""
+    def make_room(self) -> None:
+        """Forgets all units where they are too many; entries given before are void then."""
         if self.held > REMEMBERED_BYTES:
             self.clear()
+
+    def entries(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each unit of `body`; those not known are aligned."""
         keys, at, back = np.unique(hashes(body, starts, ends), return_index=True, return_inverse=True)
         found = self.memo.find(keys)
         new = np.flatnonzero(found < 0)
@@ -143,46 +146,57 @@ def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, schema
     aligner = _ALIGNERS.get((path_a, path_b)) or _ALIGNERS.setdefault((path_a, path_b), Aligner(path_a, path_b))
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        for row, end, body, offsets in slices(batch.column("text"), BLOCK_BYTES):
-            held = np.diff(offsets) > 0
-            body = np.insert(body, offsets[:-1][held], 32)
-            offsets = offsets + np.concatenate([[0], np.cumsum(held)])
-            starts = unit_starts(body, offsets)
-            entries = aligner.entries(body, starts, np.concatenate([starts[1:], offsets[-1:]])[: len(starts)])
-            first = np.searchsorted(starts, offsets)
-            per = np.diff(first)
-            doc = np.repeat(np.arange(len(per)), per)
-            bad = np.zeros(len(per), bool)
-            bad[doc[aligner.numbers[entries, 2] == 0]] = True
-            good = ~bad[doc]
-            numbers = np.zeros((len(per), 4), np.int64)
-            sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(aligner.numbers[entries], 0)])
-            numbers[~bad] = (sums[first[1:]] - sums[first[:-1]])[~bad]
-            # Units of good documents, the most frequent first, so that most numbers take a byte or two.
-            known, back, times = np.unique(entries[good], return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            local = np.zeros(len(entries), np.int64)
-            local[good] = rank[back]
-            links, each = aligner.links.take(known[order])
-            pairs, places = np.unique(links, return_inverse=True)
-            counts = np.bincount(places, np.repeat(times[order], each), len(pairs)).astype(np.int64)
-            hashed, units = [], []
-            text = aligner.text
-            listed = entries.tolist()
-            for a, b, wrong in zip(first[:-1].tolist(), first[1:].tolist(), bad.tolist(), strict=True):
-                whole = a < b and not wrong
-                hashed.append(hashlib.sha256("".join([text[i] for i in listed[a:b]])[:-1].encode()).hexdigest() if whole else "")
-                units.append(pack_small(local[a:b]) if whole else b"")
-            n = len(per)
-            same = {"kind": np.full(n, _DOC), "block": np.full(n, block)}
-            yield _record(schema, n, batch.column("doc_id").slice(row, end - row), **same, **dict(zip(("n_a", "n_b", "n_groups", "n_links"), numbers.T, strict=True)), groups_sha256=hashed, units=units)
-            if len(pairs):
-                yield _record(schema, 1, None, kind=[_UNITS], block=[block], units=[pack_small(np.concatenate([[len(each)], each, places]))])
-                m = len(pairs)
-                yield _record(schema, m, None, kind=np.full(m, _PAIR), block=np.full(m, block), pair=pairs, place=np.arange(m), n=counts)
-            block += 1
+        ids, parts, size, begin = batch.column("doc_id"), [], 0, 0
+        for row, end, body, offsets in slices(batch.column("text"), STEP_BYTES):
+            if not parts:
+                aligner.make_room()  # never between the steps of a block
+            parts.append(_step(aligner, body, offsets))
+            size += len(body)
+            if size >= BLOCK_BYTES or end == len(ids):
+                yield from _block(aligner, block, ids.slice(begin, end - begin), parts, schema)
+                block, parts, size, begin = block + 1, [], 0, end
+
+
+def _step(aligner: Aligner, body: np.ndarray, offsets: np.ndarray) -> tuple:
+    """Of each text: entries of its units (none where a tokenizer changes a byte), numbers, and the hash of its groups."""
+    held = np.diff(offsets) > 0
+    body = np.insert(body, offsets[:-1][held], 32)
+    offsets = offsets + np.concatenate([[0], np.cumsum(held)])
+    starts = unit_starts(body, offsets)
+    entries = aligner.entries(body, starts, np.concatenate([starts[1:], offsets[-1:]])[: len(starts)])
+    first = np.searchsorted(starts, offsets)
+    per = np.diff(first)
+    bad = np.zeros(len(per), bool)
+    bad[np.repeat(np.arange(len(per)), per)[aligner.numbers[entries, 2] == 0]] = True
+    numbers = np.zeros((len(per), 4), np.int64)
+    for k in range(4):
+        sums = np.concatenate([[0], np.cumsum(aligner.numbers[entries, k])])
+        numbers[:, k] = np.where(bad, 0, sums[first[1:]] - sums[first[:-1]])
+    listed, text, hashed = entries.tolist(), aligner.text, []
+    for a, b, wrong in zip(first[:-1].tolist(), first[1:].tolist(), bad.tolist(), strict=True):
+        hashed.append("" if a == b or wrong else hashlib.sha256("".join([text[i] for i in listed[a:b]])[:-1].encode()).hexdigest())
+    return entries[np.repeat(~bad, per)].astype(np.int32), np.where(bad, 0, per), numbers, hashed
+
+
+def _block(aligner: Aligner, block: int, ids: pa.Array, parts: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    entries, per, numbers = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    # The most frequent units first, so that most numbers take a byte or two.
+    known, local, times = np.unique(entries, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    local = rank[local]
+    links, each = aligner.links.take(known[order])
+    pairs, places = np.unique(links, return_inverse=True)
+    counts = np.bincount(places, np.repeat(times[order], each), len(pairs)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(per)]).tolist()
+    units = [pack_small(local[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    n, m = len(per), len(pairs)
+    named = dict(zip(("n_a", "n_b", "n_groups", "n_links"), numbers.T, strict=True))
+    yield _record(schema, n, ids, kind=np.full(n, _DOC), block=np.full(n, block), **named, groups_sha256=[x for p in parts for x in p[3]], units=units)
+    if m:
+        yield _record(schema, 1, None, kind=[_UNITS], block=[block], units=[pack_small(np.concatenate([[len(each)], each, places]))])
+        yield _record(schema, m, None, kind=np.full(m, _PAIR), block=np.full(m, block), pair=pairs, place=np.arange(m), n=counts)
 
 
 def _record(schema: pa.Schema, rows: int, doc_id: pa.Array | None, **columns) -> pa.RecordBatch:
