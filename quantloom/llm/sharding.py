@@ -8,8 +8,12 @@ alone fills several ranges has boundaries among its ids.  Offsets inside ranges
 of ranges together give every record its exact place in the order, from which shard and slot
 follow.
 
+Groups of equal texts stay whole.  Those that would be felt in a shard's size are dealt first, the
+largest to the emptiest shard; the other records then fill the shards up in their order.
+
 Everything is DataFrame functions; texts are never shuffled.  The driver sees only the
-sampled keys (about ``oversample`` a range) and a row a range, and no row of the corpus.
+sampled keys (about ``oversample`` a range), a row a range and a row a large group, and no
+row of the corpus.
 """
 
 from __future__ import annotations
@@ -68,19 +72,43 @@ def _ranged(keyed: DataFrame, splitters: list[str]) -> DataFrame:
     return joined.withColumn("range", (F.col("__from") + inner).cast("int")).drop("__block", "__from", "__bounds")
 
 
+def _deal(groups: list[tuple[str, int]], rest: int, shards: int) -> tuple[dict[str, int], list[int]]:
+    """The shard of each group (head, bytes), and where in the other records' bytes the shards from the second on begin."""
+    filled, at = [0] * shards, {}
+    for head, n in sorted(groups, key=lambda g: (-g[1], g[0])):
+        at[head] = min(range(shards), key=lambda k: (filled[k], k))
+        filled[at[head]] += n
+    # The level up to which `rest` bytes fill the shards that are under it.
+    order, level, left = sorted(filled), 0.0, rest
+    for k, lowest in enumerate(order, 1):
+        level = lowest + left / k
+        if k == shards or level <= order[k]:
+            break
+        left -= k * (order[k] - lowest)
+    bounds, upto = [], 0.0
+    for n in filled[:-1]:
+        upto += max(0.0, level - n)
+        bounds.append(min(rest, round(upto)))
+    return at, bounds
+
+
 def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, oversample: int = 32, most_rows: int = 1_000_000, group_part: float = 1e-3) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) for each row of `docs`.
 
     docs: doc_id, text (other columns are ignored).  Law: the shards' bytes are near equal.
     ranges: sorting ranges, more where the rows are over `most_rows` a range; oversample:
     sampled keys a range; most_rows: rows of a range above which it is subdivided;
-    group_part: a group of equal texts stays in one shard unless it has more than this part
-    of a shard's bytes.
-
-    Null text: size 1, crc32 0, as the empty text.  Null or repeated ids and repeated rows each
-    get a slot.  No rows: an empty result.  Shard sizes differ by less than
-    2 * group_part of a shard plus twice the largest record.
+    group_part: groups of equal texts with more than this part of a shard's bytes are dealt before the
+    other records; there are shards / group_part of them at most.
+
+    A group of equal texts lies in one shard, unless it has more bytes than an equal share:
+    then its records are cut by their ids.  So rows of one id stay together where their texts are
+    equal, and not where they differ.  Null text: size 1, crc32 0, as the empty text.
+    Null or repeated ids and repeated rows each get a slot.  No rows: an empty result.  Shard
+    sizes differ by no more than the largest group that is kept whole, and mostly
+    by less than 2 * group_part of a shard plus twice the largest record.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = settle(
         docs.select(
@@ -106,55 +134,71 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = 256, oversample: int =
     ranged = _ranged(keyed, splitters)
     full = overfull(ranged)
     if full:
-        table_ = F.broadcast(docs.sparkSession.createDataFrame([(k, oversample * -(-n // most_rows) / n) for k, n in full.items()], "range int, chance double"))
+        table_ = F.broadcast(spark.createDataFrame([(k, oversample * -(-n // most_rows) / n) for k, n in full.items()], "range int, chance double"))
         sample: dict[int, list[str]] = {}
         for r in drawn(ranged.join(table_, "range"), F.col("chance")).select("range", "key").collect():
             sample.setdefault(r[0], []).append(r[1])
         more = [x for k, found in sample.items() for x in _cuts(found, -(-full[k] // most_rows))]
         splitters = sorted(set(splitters) | set(more))
         ranged = _ranged(keyed, splitters)
-    inside = Window.partitionBy("range").orderBy("key", "doc_id", "size")
-    head = F.substring("key", 1, 16).alias("head")
-    same_text = Window.partitionBy("range", "head")
+    head = F.substring("key", 1, 16)
+    ranged = ranged.withColumn("head", head)
+    # Texts that lie in several ranges: as many as there are splitters among ids at most.
+    cut = spark.createDataFrame([(x,) for x in sorted({k[:16] for k in splitters if len(k) > 16})], "head string")
+    several = ranged.join(F.broadcast(cut), "head", "left_semi").groupBy("head").agg(F.sum("size").alias("head_bytes"))
+    ranged = ranged.join(F.broadcast(settle(several, "shard-cut-texts")), "head", "left")
+    whole = Window.partitionBy("range", "head")
+    ranged = ranged.repartition("range").withColumn("group_bytes", F.coalesce("head_bytes", F.sum("size").over(whole)))
+    # large: dealt as a group; of the others, loose records go by their own places.
+    share = total / shards
+    ranged = ranged.withColumn("loose", F.col("group_bytes") > share).withColumn("large", (F.col("group_bytes") > share * group_part) & ~F.col("loose"))
+    ranged = ranged.withColumn("counted", F.when(F.col("large"), 0).otherwise(F.col("size")))
+    inside = Window.partitionBy("range", "large").orderBy("key", "doc_id", "size")
     ordered = settle(
-        ranged.withColumn("head", head)
-        .withColumn("nth", F.row_number().over(inside) - 1)
-        .withColumn("before", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("group_bytes", F.sum("size").over(same_text))
-        .withColumn("group_before", F.min("before").over(same_text)),
+        ranged.withColumn("nth", F.row_number().over(inside) - 1)
+        .withColumn("before", F.coalesce(F.sum("counted").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("group_before", F.min("before").over(Window.partitionBy("range", "large", "head")))
+        .withColumn("group_nth", F.min("nth").over(Window.partitionBy("range", "large", "head")))
+        .drop("key", "counted", "head_bytes"),
         "shard-order",
     )
-    # A row a range, with running sums, on the driver.
+    free(keyed)
+    # A row a range, with running sums, and a row a range and large group, on the driver.
     offsets, at_bytes, at_rows = [], 0, 0
-    for k, n_bytes, n in ordered.groupBy("range").agg(F.sum("size"), F.count("*")).orderBy("range").collect():
+    for k, n_bytes, n in ordered.where("not large").groupBy("range").agg(F.sum("size"), F.count("*")).orderBy("range").collect():
         offsets.append((k, at_bytes, at_rows))
         at_bytes, at_rows = at_bytes + n_bytes, at_rows + n
-    spark = docs.sparkSession
-    located = ordered.join(F.broadcast(spark.createDataFrame(offsets, "range int, bytes_before long, rows_before long")), "range")
-    # Texts that lie in several ranges: as many as there are splitters among ids at most.
-    cut = spark.createDataFrame([(x,) for x in sorted({k[:16] for k in splitters if len(k) > 16})], "head string")
-    several = located.join(F.broadcast(cut), "head", "left_semi").groupBy("head")
-    several = several.agg(F.sum("size").alias("head_bytes"), F.min(F.col("bytes_before") + F.col("before")).alias("head_before"))
-    located = located.join(F.broadcast(several), "head", "left")
-    whole = F.coalesce("head_bytes", "group_bytes") <= total / shards * group_part
-    start = F.coalesce(F.col("head_before"), F.col("bytes_before") + F.col("group_before"))
-    at = F.when(whole, start).otherwise(F.col("bytes_before") + F.col("before"))
-    placed = located.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.least(F.lit(shards - 1), F.floor(at * shards / F.lit(total))).cast("int").alias("shard"),
-        (F.col("rows_before") + F.col("nth")).cast("long").alias("at"),
-    )
-    free(keyed)
-    first = placed.groupBy("shard").agg(F.min("at").alias("first"))  # one row a shard
-    return placed.join(F.broadcast(first), "shard").select(
-        "doc_id",
-        "size",
-        "text_crc32",
+    groups = ordered.where("large").groupBy("head", "range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("head", "range").collect()
+    sums: dict[str, int] = {}
+    for g in groups:
+        sums[g["head"]] = sums.get(g["head"], 0) + g["bytes"]
+    dealt, bounds = _deal(list(sums.items()), at_bytes, shards)
+
+    located = ordered.where("not large").join(F.broadcast(spark.createDataFrame(offsets, "range int, bytes_before long, rows_before long")), "range")
+    start = F.col("bytes_before") + F.col("group_before")
+    # A text in several ranges that stays whole goes by its first range.
+    first = located.join(F.broadcast(cut), "head", "left_semi").groupBy("head").agg(F.min(start).alias("head_before"))
+    located = located.join(F.broadcast(first), "head", "left")
+    at = F.when(F.col("loose"), F.col("bytes_before") + F.col("before")).otherwise(F.coalesce("head_before", start))
+    number = _place(F.array(*[F.lit(b) for b in bounds]), len(bounds), len(bounds), at) if bounds else F.lit(0)
+    columns = ["doc_id", "size", "text_crc32"]
+    placed = located.select(*columns, number.cast("int").alias("shard"), (F.col("rows_before") + F.col("nth")).alias("at"))
+    firsts = {r[0]: (r[1], r[2]) for r in placed.groupBy("shard").agg(F.min("at"), F.count("*")).collect()}  # a row a shard
+    taken = {k: n for k, (_, n) in firsts.items()}
+    begins = []
+    for g in groups:
+        k = dealt[g["head"]]
+        begins.append((g["head"], g["range"], k, taken.get(k, 0)))
+        taken[k] = taken.get(k, 0) + g["rows"]
+    shard_first = F.broadcast(spark.createDataFrame([(k, n) for k, (n, _) in firsts.items()], "shard int, first long"))
+    loose = placed.join(shard_first, "shard").select(*columns, "shard", (F.col("at") - F.col("first")).alias("slot"))
+    heads = F.broadcast(spark.createDataFrame(begins, "head string, range int, shard int, begin long"))
+    large = ordered.where("large").join(heads, ["head", "range"]).select(*columns, "shard", (F.col("begin") + F.col("nth") - F.col("group_nth")).alias("slot"))
+    return loose.unionByName(large).select(
+        *columns[:3],
         F.lit(LAW).alias("law"),
         "shard",
-        (F.col("at") - F.col("first")).alias("slot"),
+        F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

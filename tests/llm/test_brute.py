@@ -625,33 +625,73 @@ def test_mixing_keeps_budgets(spark):
 
 
 def test_bisection_on_the_driver_equals_bisection_in_spark(spark):
-    counted = spark.createDataFrame([(i, f"s{i}", 10 * 2**i) for i in range(8)], "__id long, __source string, __tokens long")
+    counted = spark.createDataFrame([(i, f"s{i}", 10 * 2**i, 1) for i in range(8)], "__id long, __source string, __tokens long, __times long")
     a, b = (mixing.plan_mix(counted, max_repeats=50.0, driver_sources=n, steps=12) for n in (100, 0))
     assert a.exponent == b.exponent and a.entropy == pytest.approx(b.entropy)
     flat = mixing.plan_mix(counted, target_entropy=10.0, max_repeats=1e9)
     assert flat.exponent == 0 and mixing.plan_mix(counted, max_repeats=1.0).exponent == pytest.approx(1)
 
 
-@pytest.mark.parametrize("most_rows", [40, 1_000_000])
-def test_shards_with_a_hot_group(spark, most_rows):
+def test_schedule_does_not_depend_on_how_rows_are_dealt(spark):
+    rows = [((None, 1, 2, 3, 4)[i % 5], prose(5 + i % 40, i // 2), "ab"[i % 9 == 0]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = ["block", "place", "doc_id", "n_tokens", "pass"]
+    one, two = (mixing.schedule(docs.repartition(n), block_tokens=2000).orderBy(*order).collect() for n in (3, 7))
+    assert one == two and len(one) >= 400
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in one if r["pass"] == 0) == Counter((i, len(space_words(t)) + 1) for i, t, _ in rows)
+    none = [(None, prose(30, i), "ab"[i % 9 == 0]) for i in range(500)]  # ids say nothing: a last pass still takes a part
+    mixed = mixing.remix(spark.createDataFrame(none, "doc_id long, text string, source string"), max_repeats=1.5).groupBy("source").count().collect()
+    assert 55 < {r[0]: r[1] for r in mixed}["b"] < 112
+
+
+@pytest.mark.parametrize(("most_rows", "part"), [(40, 1e-3), (1_000_000, 1e-3), (1_000_000, 0.1)])
+def test_shards_with_a_hot_group(spark, most_rows, part):
     hot = [(i, prose(50, 1)) for i in range(700)] + [(10_000 + i, (None, "")[i % 2]) for i in range(900)]
     rows = hot + [(1000 + i, prose(20 + i % 80, 5000 + i // 3)) for i in range(1400)]
-    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8, ranges=32, most_rows=most_rows, group_part=0.1).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(docs, shards=8, ranges=32, most_rows=most_rows, group_part=part).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
-    size = Counter()
+    size, groups = Counter(), Counter()
+    texts, spread = dict(rows), {}
     for r in got:
         size[r["shard"]] += r["size"]
+        groups[texts[r["doc_id"]] or ""] += r["size"]
     mean = sum(size.values()) / 8
-    assert max(abs(v - mean) for v in size.values()) < 0.2 * mean
+    assert max(abs(v - mean) for v in size.values()) < (0.2 if part == 0.1 else 0.02) * mean
     for s in range(8):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    texts, spread = dict(rows), {}
     for r in got:
         spread.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
-    assert {t for t, v in spread.items() if len(v) > 1} == {prose(50, 1)}  # over 0.1 of a shard
+    assert {t for t, v in spread.items() if len(v) > 1} == {t for t, n in groups.items() if n > mean} == {prose(50, 1)}
     assert all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 and r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in got)
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_shards_of_the_tables_keep_groups_whole(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    got = sharding.shard(docs).join(docs.select("doc_id", F.xxhash64("text").alias("h")), "doc_id").cache()
+    groups = got.groupBy("h").agg(F.countDistinct("shard").alias("n"), F.sum("size").alias("bytes")).agg(F.max("n"), F.max("bytes")).first()
+    size = [r[1] for r in got.groupBy("shard").agg(F.sum("size")).collect()]
+    assert groups[0] == 1 and len(size) == 8 and max(size) - min(size) <= max(groups[1], 1)
+    assert got.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("gap"), F.min("slot").alias("a"), (F.countDistinct("slot") - F.count("*")).alias("d")).where("gap <> 0 or a <> 0 or d <> 0").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_dealing_fills_shards_to_one_level(seed):
+    draw = random.Random(seed)
+    shards = draw.randint(1, 9)
+    groups = [(str(i), draw.randint(1, 200)) for i in range(draw.randint(0, 30))]
+    rest = draw.randint(0, 3000)
+    at, bounds = sharding._deal(groups, rest, shards)
+    filled = [sum(n for g, n in groups if at[g] == k) for k in range(shards)]
+    cuts = [0, *bounds, rest]
+    sizes = [f + b - a for f, a, b in zip(filled, cuts, cuts[1:], strict=False)]
+    assert cuts == sorted(cuts) and sum(sizes) == rest + sum(n for _, n in groups)
+    assert max(sizes) <= max(max(filled), sum(sizes) / shards + 2 + max((f for f in filled if f > sum(sizes) / shards), default=0) * 0)
+    grown = [s for s, f, a, b in zip(sizes, filled, cuts, cuts[1:], strict=False) if b > a]
+    assert not grown or max(grown) - min(grown) <= 2
+
+
 def test_ranges_hold_few_rows_and_split_no_text_that_fits(spark):
     draw = random.Random(6)
     heads = [f"{draw.getrandbits(64):016X}" for _ in range(200)]

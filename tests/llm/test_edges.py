@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantloom.llm import bigru, decontamination, host_rules, minmax, mixing, pii, secrets, sharding, toxicity
-from tests.llm.texts import SCHEMA, edge_docs, edge_rows, prose
+from tests.llm.texts import SCHEMA, edge_docs, edge_rows, kept_whole, prose
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,9 @@ def test_host_rules(docs, none):
     assert rows[1]["n_words"] == rows[2]["n_words"] == rows[3]["n_words"] == 0 and rows[1]["base_failed"]
     assert rows[5]["n_words"] == 30_000 and rows[8]["n_words"] == 80
     assert host_rules.judge_hosts(none).count() == 0
+    assert got.columns[: len(docs.columns) - 3] == [c for c in docs.columns if c not in ("text", "n_words", "kept")]
+    held = got.drop("n_words", "kept").withColumns({"n_words": F.lit(1), "kept": F.lit(1)})
+    assert kept_whole(held)
 
 
 def test_host_rules_reject_a_bad_host_only(spark):
@@ -83,6 +86,7 @@ def test_mixing(docs, none):
     assert mixing.schedule(none).count() == 0 and mixing.remix(none).count() == 0
     again = mixing.remix(docs)
     assert again.columns == docs.columns and again.count() == got.count()
+    assert kept_whole(again) and kept_whole(mixing.remix(docs, max_repeats=1.0))
     less = mixing.remix(docs, budget=2_000, max_repeats=100.0)
     assert 0 < less.count() < docs.count()
 
@@ -94,7 +98,7 @@ def test_toxicity(spark, docs, none):
         got = toxicity.score(docs, model)
         assert got.count() == docs.count() and got.where("score is null or score < 0 or score > 1").count() == 0
         assert toxicity.reject_toxic(docs, model, 2.0).count() == docs.count()
-        assert toxicity.reject_toxic(docs, model).columns == docs.columns
+        assert toxicity.reject_toxic(docs, model).columns == docs.columns and kept_whole(toxicity.reject_toxic(docs, model, 2.0))
     assert toxicity.score(none, model).count() == 0
 
 
@@ -112,6 +116,7 @@ def test_pii(docs, none):
     got = {r["doc_id"]: r for r in pii.find(docs, detector).collect()}
     assert got[1]["base"] == got[2]["base"] == "" and got[11]["base"].startswith("ip:8:15")
     assert pii.find(docs, detector).count() == docs.count() and pii.find(none, pii.train(none)).count() == 0
+    assert kept_whole(pii.redact(docs, detector))
     assert pii.redact(docs, detector).columns == docs.columns and pii.redact(docs, detector).where("doc_id = 1 and text is null").count() == 1
 
 
@@ -129,7 +134,7 @@ def test_every_stage_takes_them(spark, docs, tmp_path):
             got = stage(spark, table_, str(tmp_path))
             got.count()
             if name != "sharding":
-                assert got.columns == docs.columns
+                assert got.columns == docs.columns and kept_whole(got)
 
 
 def test_rows_of_the_edge_table():

@@ -201,7 +201,7 @@ def test_alignment_of_odd_texts(spark, monkeypatch, block):
     size = block
 
     def aligned(batches, a, b, schema):
-        alignment.BLOCK_BYTES = size  # in the worker
+        alignment.BLOCK_BYTES = alignment.STEP_BYTES = size  # in the worker
         yield from plain(batches, a, b, schema)
 
     plain = alignment._aligned
@@ -226,6 +226,7 @@ def test_an_aligner_that_forgets_finds_the_same(monkeypatch):
         starts = alignment.unit_starts(body, np.array([0, len(body)]))
         ends = np.append(starts[1:], len(body))
         for x in (held, fresh):
+            x.make_room()
             entries = x.entries(body, starts, ends)
             said = "".join(x.text[i] for i in entries)
             assert x is held or said == known

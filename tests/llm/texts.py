@@ -46,11 +46,20 @@ def edge_rows() -> list[tuple]:
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns with names that operators use inside.
-CLASHES = "_n_words, _n_hit, _hit_spans, _items, _contaminated, __text_hash, row, __nth, set, text_hash, hub, salt, hits, words, key, size, node, component, bucket, range, y, score, kept, n_words, _words, __id, __source, h, at, bands"
+CLASHES = "_n_words, _n_hit, _hit_spans, _items, _contaminated, __text_hash, row, __nth, set, text_hash, hub, salt, hits, words, key, size, node, component, bucket, range, y, score, kept, n_words, _words, __id, __source, h, at, bands, __last, __upto, __copy, __row, __hr_words, __hr_windows, __hr_host, __hr_row, __hr_of, group, g, i, n, digest, tie, parent, run, path, task, queue, start, before, ids, block, kind, units"
 
 
 def edge_docs(spark, clashes: bool = True):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(edge_rows(), SCHEMA)
-    return docs.withColumns({c: F.lit(1) for c in CLASHES.split(", ")}) if clashes else docs
+    if not clashes:
+        return docs
+    quoted = F.struct(F.lit(2).alias("a b"), F.lit(3).alias("c`d"))
+    return docs.withColumns({c: F.lit(1) for c in CLASHES.split(", ")}).select("*", quoted.alias("has a space"), F.lit(4).alias("e`f.g"))
+
+
+def kept_whole(df) -> bool:
+    """Whether the columns that `edge_docs` adds still hold what they held."""
+    wrong = df.where(" or ".join(f"coalesce(`{c}`, 0) <> 1" for c in CLASHES.split(", ")) + " or `has a space`.`a b` <> 2 or `has a space`.`c``d` <> 3 or `e``f.g` <> 4")
+    return wrong.count() == 0
