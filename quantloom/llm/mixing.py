@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.shared import settle, table, unit
@@ -38,9 +38,11 @@ class Mix:
 
 
 def count_tokens(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """__id, __source and __tokens (words, and one for the end) of each row."""
-    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").alias("__id"), F.col(source).alias("__source"), (words + 1).cast("long").alias("__tokens"))
+    """A row for each id, source and text: __id, __source, __text (a hash), __tokens (words, and one for the end) and __times, how often it stands."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    words = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+"))
+    named = docs.select(F.col("doc_id").alias("__id"), F.col(source).alias("__source"), F.xxhash64(body).alias("__text"), (words + 1).cast("long").alias("__tokens"))
+    return named.groupBy(*named.columns).agg(F.count("*").alias("__times"))
 
 
 def plan_mix(
@@ -58,7 +60,7 @@ def plan_mix(
     is read at least once.  Up to `driver_sources` sources are bisected on the driver (a
     number and a count each); with more, each step is an aggregate over the sources' table.
     """
-    sources = settle(counted.groupBy("__source").agg(F.count("*").alias("__docs"), F.sum("__tokens").alias("__tokens")), "sources")
+    sources = settle(counted.groupBy("__source").agg(F.sum("__times").alias("__docs"), F.sum(F.col("__tokens") * F.col("__times")).alias("__tokens")), "sources")
     n, total, least, most = sources.agg(F.count("*"), F.sum("__tokens"), F.min("__tokens"), F.max("__tokens")).first()
     if not n:
         return Mix(1.0, 0.0, 0, sources.withColumns({"__weight": F.lit(0.0), "__budget": F.lit(0), "__last": F.lit(0)}), True)
@@ -108,13 +110,13 @@ def _draws(counted: DataFrame, mix: Mix, seed: int) -> DataFrame:
     sources = F.broadcast(sources) if mix.small else sources
     joined = counted.join(sources, counted["__source"].eqNullSafe(sources["__s"])).drop("__s")
     passes = joined.withColumn("__pass", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__last"), F.lit(0)))))
-    passes = passes.withColumn("__u", unit(F.col("__id"), F.col("__pass"), F.lit(seed)))
+    passes = passes.withColumn("__u", _place_of(F.col("__id"), F.col("__text"), F.col("__nth"), F.col("__pass"), seed))
     passes = passes.withColumn("__bucket", F.floor(F.col("__u") * F.ceil(F.sqrt(F.col("__docs")))).cast("int"))
     key = ["__source", "__pass", "__bucket"]
     running = Window.partitionBy("__source").orderBy("__pass", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = passes.groupBy(*key).agg(F.sum("__tokens").alias("__n"))
     buckets = buckets.select(*[F.col(k).alias(f"{k}_b") for k in key], F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy(*key).orderBy("__u", "__id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("__u", "__id", "__text", "__nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = passes.withColumn("__before", F.coalesce(F.sum("__tokens").over(inside), F.lit(0)))
     same = placed["__source"].eqNullSafe(buckets["__source_b"])
     same &= (placed["__pass"] == buckets["__pass_b"]) & (placed["__bucket"] == buckets["__bucket_b"])
@@ -122,20 +124,29 @@ def _draws(counted: DataFrame, mix: Mix, seed: int) -> DataFrame:
     return located.where(F.col("__at") < F.col("__budget"))
 
 
+def _place_of(doc_id: Column, text_hash: Column, nth: Column, turn: Column, seed: int) -> Column:
+    """Where in its source a document is read in a pass: in [0, 1)."""
+    return unit(doc_id, text_hash, nth.cast("long"), turn.cast("int"), F.lit(seed))
+
+
 def schedule(docs: DataFrame, block_tokens: int = 1_000_000, seed: int = 7, **limits) -> DataFrame:
     """The order of reading: doc_id, source, n_tokens, weight, pass, block, place.
 
     docs: doc_id, source, text.  limits: as in `plan_mix`.  A document stands once for each
     pass in which its source's budget reaches it; place counts from 0 within the block, in
-    an order drawn by hash.  Blocks have about `block_tokens` tokens.  A null source is a
-    source of its own; null and empty texts count one token; repeated rows are separate
-    documents; no rows give none.
+    an order drawn by hash.  Blocks have about `block_tokens` tokens.  The order depends on ids,
+    sources and texts alone, not on how the rows are dealt.  A null source is a
+    source of its own; null and empty texts count one token; null and repeated ids and repeated
+    rows are documents of their own (rows of equal id, source and text are counted, then numbered);
+    no rows give none.
     """
     counted = settle(count_tokens(docs), "token-counts")
     mix = plan_mix(counted, **limits)
     blocks = max(1, math.ceil(mix.budget / block_tokens))
-    drawn = _draws(counted, mix, seed).withColumn("__block", F.floor(F.col("__at") * blocks / F.col("__budget")).cast("int"))
-    shuffled = Window.partitionBy("__block").orderBy(F.xxhash64("__id", "__pass", F.lit(seed)), "__id", "__pass")
+    each = counted.withColumn("__nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
+    drawn = _draws(each, mix, seed).withColumn("__block", F.floor(F.col("__at") * blocks / F.col("__budget")).cast("int"))
+    document = ["__id", "__pass", "__text", "__nth"]
+    shuffled = Window.partitionBy("__block").orderBy(F.xxhash64(*document, F.lit(seed)), *document, "__source")
     return drawn.select(
         F.col("__id").alias("doc_id"),
         F.col("__source").alias("source"),
@@ -148,22 +159,28 @@ def schedule(docs: DataFrame, block_tokens: int = 1_000_000, seed: int = 7, **li
 
 
 def remix(docs: DataFrame, seed: int = 7, **limits) -> DataFrame:
-    """`docs` with each row repeated as often as `schedule` reads it; the same columns.
+    """`docs` with each row repeated as often as its source's budget asks for; the same columns, whatever their names.
 
     Whole passes follow from the source; in its last pass, a source's documents up to one
-    value of their random order are taken, so that texts need no shuffle.
+    value of their random order are taken, so that texts need no shuffle.  Rows of equal id, source and
+    text share that value: the last pass takes all of them or none, so a budget is met within one
+    such class.  A null source is a source of its own; null and empty texts count one token;
+    null and repeated ids are documents by their texts; no rows give none.
     """
     counted = settle(count_tokens(docs), "token-counts")
     mix = plan_mix(counted, **limits)
-    last = _draws(counted, mix, seed).where(F.col("__pass") == F.col("__last"))
+    classes = counted.withColumn("__tokens", F.col("__tokens") * F.col("__times")).withColumn("__nth", F.lit(0).cast("long"))
+    last = _draws(classes, mix, seed).where(F.col("__pass") == F.col("__last"))
     upto = last.groupBy(F.col("__source").alias("__of")).agg(F.max("__u").alias("__upto"))
     cut = mix.sources.join(upto, F.col("__source").eqNullSafe(F.col("__of")), "left").select(F.col("__source").alias("__s"), "__last", "__upto")
     cut = settle(cut, "mix-cuts")
     cut = F.broadcast(cut) if mix.small else cut
-    joined = docs.join(cut, docs["source"].eqNullSafe(cut["__s"]))
-    in_last = unit(docs["doc_id"], F.col("__last"), F.lit(seed)) <= F.col("__upto")
+    rows = docs.select(F.struct("*").alias("__row"))  # the caller's columns apart from those here
+    joined = rows.join(cut, F.col("__row.source").eqNullSafe(F.col("__s")))
+    text = F.xxhash64(F.coalesce(F.col("__row.text"), F.lit("")))
+    in_last = _place_of(F.col("__row.doc_id"), text, F.lit(0), F.col("__last"), seed) <= F.col("__upto")
     times = F.col("__last") + F.when(in_last, 1).otherwise(0)
-    return joined.withColumn("__copy", F.explode(F.when(times >= 1, F.sequence(F.lit(1), times)))).select(*[docs[c] for c in docs.columns])
+    return joined.select("__row", F.explode(F.when(times >= 1, F.sequence(F.lit(1), times)))).select("__row.*")
 
 
 def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
