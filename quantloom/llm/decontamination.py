@@ -149,7 +149,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, window: int, broadcast_bytes:
     if small(marks, mark_bytes):
         marks = F.broadcast(marks)
     n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_RAW_WORD)).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), n_words.alias("_n_words"), *keys)
+    rows = docs.select(F.struct("*").alias("row"), n_words.alias("_n_words"), *keys)
     return rows.join(marks, on(rows, marks), "left").select(
         "row",
         "_n_words",

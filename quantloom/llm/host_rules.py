@@ -20,7 +20,7 @@ from quantloom.llm.shared import settle, table
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: The columns that the operators here add; columns of the input with these names are replaced.
+#: The columns that the operators here add, measures first; columns of the input with these names are replaced, others stay.
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
 
 
@@ -35,8 +35,16 @@ def measures(text: Column) -> dict[str, Column]:
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    raw = docs.withColumns(measures(F.col(text)))
+    """`docs` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; other columns of any name stay."""
+    return _spread(_measured(docs, text), [])
+
+
+def _measured(docs: DataFrame, text: str, **more: Column) -> DataFrame:
+    """The measures, `more`, and __hr_row, a struct of the caller's columns."""
+    rest = [docs[_quoted(c)] for c in docs.columns if c != text and c not in ADDED]
+    packed = F.struct(*rest) if rest else F.lit(None).cast("struct<none: int>")
+    docs = docs.select(packed.alias("__hr_row"), docs[_quoted(text)].alias("__hr_text"), *[c.alias(k) for k, c in more.items()])
+    raw = docs.withColumns(measures(F.col("__hr_text")))
     at = F.when(F.size("__hr_words") >= 3, F.sequence(F.lit(0), F.size("__hr_words") - 3)).otherwise(F.array().cast("array<int>"))
     windows = raw.withColumns(
         {
@@ -57,7 +65,7 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     places = F.array_distinct(F.flatten(F.transform(repeated, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return ordered.select(
-        *[c for c in docs.columns if c != text and c not in ADDED],
+        *[c for c in docs.columns if c != "__hr_text"],
         F.size("__hr_words").cast("long").alias("n_words"),
         F.col("__hr_chars").cast("long").alias("word_chars"),
         F.col("__hr_n_symbols").alias("n_symbols"),
@@ -66,6 +74,16 @@ def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _spread(measured: DataFrame, more: list[str]) -> DataFrame:
+    """The caller's columns, the measures and `more`."""
+    own = [] if measured.schema["__hr_row"].dataType.names == ["none"] else ["__hr_row.*"]
+    return measured.select(*own, *ADDED[:5], *more)
+
+
 def rules() -> dict[str, Column]:
     """Name and test (true: failed) of each rule, on the measures."""
     n = F.col("n_words")
@@ -123,18 +141,17 @@ def judge_hosts(docs: DataFrame, host: str = "source", text: str = "text", rejec
     rows count as often as they stand; no rows give none.  Only rejected hosts are joined
     back: broadcast up to `broadcast_hosts` of them, otherwise by shuffle.
     """
-    measured = settle(with_measures(docs, text), "measures")
-    rates = settle(host_rates(measured, host), "host-rates")
+    measured = settle(_measured(docs, text, __hr_host=docs[_quoted(host)]), "measures")
+    rates = settle(host_rates(measured, "__hr_host"), "host-rates").withColumnRenamed("__hr_host", "__hr_of")
     worst = F.greatest(*[F.col(f"shrunk_{k}") for k in rules()])
-    rejected = rates.where(worst >= reject).select("__hr_host", F.lit(True).alias("host_rejected"))
+    rejected = rates.where(worst >= reject).select("__hr_of", F.lit(True).alias("host_rejected"))
     if rejected.count() <= broadcast_hosts:
         rejected = F.broadcast(rejected)
     test = rules()
     base = test["short"] | test["repeats"]
-    joined = measured.join(rejected, measured[host].eqNullSafe(rejected["__hr_host"]), "left").drop("__hr_host")
-    return joined.withColumns({"base_failed": base, "host_rejected": F.coalesce("host_rejected", F.lit(False))}).withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_rejected")
-    )
+    joined = measured.join(rejected, F.col("__hr_host").eqNullSafe(F.col("__hr_of")), "left")
+    joined = joined.withColumns({"base_failed": base, "host_rejected": F.coalesce("host_rejected", F.lit(False))})
+    return _spread(joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")), list(ADDED[5:]))
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

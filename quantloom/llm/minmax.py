@@ -354,7 +354,7 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     a null id all stay.
     """
     kept = link(docs.select("doc_id", "text"), size, percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text_hash"))
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__text_hash"))
     with_id = packed.where(F.col("__id").isNotNull())
     once = with_id.join(kept, with_id["__id"] == kept["__kept"], "left_semi")
     once = once.withColumn("__nth", F.row_number().over(Window.partitionBy("__id").orderBy("__text_hash"))).where("__nth = 1")

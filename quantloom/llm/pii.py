@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm.shared import free, settle, table, unit
 from quantloom.llm.trees import Boosted
@@ -301,7 +302,6 @@ def find(docs: DataFrame, detector: Detector) -> DataFrame:
 
 def redact(docs: DataFrame, detector: Detector) -> DataFrame:
     """`docs` with every span of the text replaced by its kind in square brackets; the same columns, null stays null."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:
@@ -317,10 +317,13 @@ def redact(docs: DataFrame, detector: Detector) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pa.array([clean(t.as_py()) for t in batch.column("text")], pa.string())
-            yield batch.set_column(at, "text", text)
+            row = batch.column("row")
+            fields = row.flatten()
+            fields[at] = pa.array([clean(t.as_py()) for t in fields[at]], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type))], names=["row"])
 
-    return docs.mapInArrow(scan, schema)
+    rows = docs.select(F.struct("*").alias("row"))  # names of any kind stay inside
+    return rows.mapInArrow(scan, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op2_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.llm import bytewords
 from quantloom.llm.shared import free, remainder, settle, table, unit
@@ -177,17 +178,17 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of `docs` (any columns) that score below the threshold; the same columns."""
-    kept = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))  # names of any kind stay inside
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = _scorer(model)
         for batch in batches:
             scored = next(inner(iter([batch.select(["text"])])))
             good = pa.array(scored.column("score").to_numpy() < threshold)
-            yield batch.filter(good)
+            yield batch.select(["row"]).filter(good)
 
-    return docs.mapInArrow(select, schema)
+    return rows.mapInArrow(select, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
 
 
 def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
