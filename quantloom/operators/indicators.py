@@ -20,10 +20,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from quantloom.operators.windows import full, order, percentile_rank, range_rank, runs, trailing
+from quantloom.operators import blocks
+from quantloom.operators.windows import full, order, percentile_rank, range_rank, run_lengths, trailing
 
 #: Default parameters of each indicator (fixed values).
 DEFAULTS: dict[str, tuple[int, ...]] = {
@@ -62,13 +63,25 @@ def column_name(name: str, parameters: tuple[int, ...]) -> str:
     return "_".join([name, *map(str, parameters)])
 
 
+def _aged(x: str, n: int, frame: WindowSpec, keep: float) -> Column:
+    """The sum of a frame of n rows at most with weights keep ** age, without a list: null values count as 0.
+
+    Rows carry keep ** -place in chunks of n rows; a frame meets two chunks, an even and an odd one.
+    """
+    if keep <= 0:
+        return F.coalesce(F.col(x), F.lit(0.0))
+    at, odd = F.pmod("__i", F.lit(n)), F.pmod(F.floor(F.col("__i") / n), F.lit(2)) == 1
+    grown = F.col(x) * F.pow(F.lit(1 / keep), at)
+    evens, odds = (F.coalesce(F.sum(F.when(c, grown)).over(frame), F.lit(0.0)) for c in (~odd, odd))
+    here, before = F.when(odd, odds).otherwise(evens), F.when(odd, evens).otherwise(odds)
+    return F.pow(F.lit(keep), at) * (here + keep**n * before)
+
+
 def weighted(x: str, n: int, alpha: float) -> Column:
     """The normalised mean of the last n values with weights (1 - alpha) ** age; null until there are n."""
-    values = F.collect_list(x).over(trailing(n))
     keep = 1 - alpha
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc * keep + v)
     norm = sum(keep**i for i in range(n))
-    return F.when(F.count(x).over(trailing(n)) == n, total / norm)
+    return F.when(F.count(x).over(trailing(n)) == n, _aged(x, n, trailing(n), keep) / norm)
 
 
 def ema(x: str, n: int) -> Column:
@@ -90,7 +103,6 @@ _BASE: list[dict[str, Callable[[], Column]]] = [
         "__pc": lambda: F.lag("close").over(order()),
         "__ph": lambda: F.lag("high").over(order()),
         "__pl": lambda: F.lag("low").over(order()),
-        "__i": lambda: F.row_number().over(order()),
         "__tp": lambda: (F.col("high") + F.col("low") + F.col("close")) / 3,
     },
     {
@@ -116,12 +128,12 @@ def _over(n: int):
 
 
 def _whole(x: Column, n: int) -> Column:
-    return F.when(F.col("__i") >= n, x)
+    return F.when(F.col("__i") >= n - 1, x)
 
 
 def _change_mean(x: str, n: int) -> Column:
     """The smoothed mean of the changes among the last n bars (not normalised: both sides of a ratio have them)."""
-    return F.aggregate(F.collect_list(x).over(_over(n)), F.lit(0.0), lambda acc, v: acc * (1 - 1 / n) + v)
+    return _aged(x, n, _over(n), 1 - 1 / n)
 
 
 def _simple(name: str, p: tuple[int, ...]) -> dict[str, Column] | None:
@@ -145,13 +157,10 @@ def _simple(name: str, p: tuple[int, ...]) -> dict[str, Column] | None:
         mean = F.avg("__tp").over(w)
         mad = F.aggregate(F.collect_list("__tp").over(w), F.lit(0.0), lambda acc, v: acc + F.abs(v - mean)) / n
         return at(full(ratio(F.col("__tp") - mean, 0.015 * mad, 0.0), n))
-    if name == "obv":
-        move = F.coalesce(F.signum("__chg") * F.col("volume"), F.lit(0.0))
-        return at(F.when(F.col("__i") > 1, F.sum(move).over(order().rowsBetween(Window.unboundedPreceding, 0))))
     if name in ("plus_di", "minus_di"):
         return at(_whole(100 * ratio(smoothed("__up" if name == "plus_di" else "__dn", n), smoothed("__tr", n), 0.0), n + 1))
     if name == "tr":
-        return at(F.when(F.col("__i") > 1, F.col("__tr")))
+        return at(F.when(F.col("__i") >= 1, F.col("__tr")))
     if name.startswith("keltner"):
         return at(ema("close", n) + (1 if name == "keltner_upper" else -1) * p[1] / 10 * smoothed("__tr", n))
     if name.startswith("donchian"):
@@ -165,12 +174,8 @@ def _simple(name: str, p: tuple[int, ...]) -> dict[str, Column] | None:
     if name in ("cmo", "mfi"):
         a, b = (F.sum(c).over(_over(n)) for c in (("__gain", "__loss") if name == "cmo" else ("__in", "__out")))
         return at(_whole(100 * ratio(a - b if name == "cmo" else a, a + b, 0.0 if name == "cmo" else 50 / 100), n))
-    if name == "vpt":
-        return at(F.sum(F.coalesce(F.col("volume") * F.try_divide("__chg", "__pc"), F.lit(0.0))).over(order().rowsBetween(Window.unboundedPreceding, 0)))
     if name == "roc":
         return at((F.try_divide("close", F.lag("close", n).over(order())) - 1) * 100)
-    if name == "rank":
-        return at(percentile_rank("close", n))
     if name == "iv_rank":
         return at(range_rank("close", n))
     if name == "cmf":
@@ -181,8 +186,6 @@ def _simple(name: str, p: tuple[int, ...]) -> dict[str, Column] | None:
         return at(F.try_divide("close", F.lag("close", n).over(order())) - 1)
     if name in ("std", "max", "min"):
         return at(full({"std": F.stddev_pop, "max": F.max, "min": F.min}[name]("close").over(w), n))
-    if name in ("consecutive_up", "consecutive_down"):
-        return at(runs(F.col("__chg") > 0 if name == "consecutive_up" else F.col("__chg") < 0, order()).cast("double"))
     return None
 
 
@@ -227,16 +230,28 @@ def _supertrend(n: int, times: float) -> Callable[[pd.DataFrame], np.ndarray]:
     return run
 
 
-def add(bars: DataFrame, declarations: list[str]) -> DataFrame:
-    """`bars` with a column for each declared indicator, named by `column_name`."""
+#: Running sums, of values that look at their own row.
+_SUMS: dict[str, Callable[[], Column]] = {
+    "obv": lambda: F.coalesce(F.signum("__chg") * F.col("volume"), F.lit(0.0)),
+    "vpt": lambda: F.coalesce(F.col("volume") * F.try_divide("__chg", "__pc"), F.lit(0.0)),
+}
+_RUNS: dict[str, Callable[[], Column]] = {"consecutive_up": lambda: F.col("__chg") > 0, "consecutive_down": lambda: F.col("__chg") < 0}
+
+
+def add(bars: DataFrame, declarations: list[str], span: str = "month", size: int | None = None) -> DataFrame:
+    """`bars` with a column for each declared indicator, named by `column_name`.
+
+    A symbol's bars are computed in blocks, running sums and streaks with values handed on from block to
+    block (span, size: as in `blocks`), so a long series uses many tasks.  Only psar and supertrend, whose state
+    depends on every bar before, walk through a symbol's bars in one task: three prices a bar, about 100 bytes
+    of a worker's memory each.
+    """
     wanted = list(dict.fromkeys(x for d in declarations for x in parse(d)))
-    out = bars
-    for level in _BASE:
-        out = out.withColumns({k: f() for k, f in level.items()})
+    levels: list[dict[str, Column]] = [{k: f() for k, f in level.items()} for level in _BASE]
     first: dict[str, Column] = {}
     second: dict[str, Column] = {}
     third: dict[str, Column] = {}
-    stateful = {}
+    sums, streaks, ranks, stateful = {}, {}, {}, {}
     for name, p in wanted:
         key = column_name(name, p)
         simple = _simple(name, p)
@@ -257,11 +272,31 @@ def add(bars: DataFrame, declarations: list[str]) -> DataFrame:
             first |= {up: _simple("plus_di", p)[column_name("plus_di", p)], down: _simple("minus_di", p)[column_name("minus_di", p)]}
             second[dx] = 100 * ratio(F.abs(F.col(up) - F.col(down)), F.col(up) + F.col(down), 0.0)
             third[key] = full(F.avg(dx).over(trailing(p[0])), p[0], F.col(dx))
+        elif name in _SUMS:
+            sums[key] = ("sum", _SUMS[name]())
+        elif name in _RUNS:
+            streaks[key] = _RUNS[name]()
+        elif name == "rank":
+            ranks[key] = p[0]
         else:
             stateful[key] = _psar(p[0] / 100, p[1] / 100) if name == "psar" else _supertrend(p[0], p[1] / 10)
-    for level in (first, second, third):
-        out = out.withColumns(level) if level else out
-    out = out.select(*[c for c in out.columns if not c.startswith("__")])
+
+    def windows(rows: DataFrame) -> DataFrame:
+        for level in [*levels, first, second, third]:
+            rows = rows.withColumns(level) if level else rows
+        return rows
+
+    reach = 4 + 2 * max((sum(p) for _, p in wanted), default=0)  # over the levels; more border rows change nothing
+    place = {"span": span, "size": size}
+    rows = blocks.in_blocks(blocks.placed(bars, span=span), windows, reach, **place)
+    if sums:
+        rows = blocks.running(rows, sums, **place)
+        rows = rows.withColumns({k: F.when(F.col("__i") >= 1, F.col(k)) for k in sums if k == "obv"})
+    if streaks:
+        rows = run_lengths(rows, streaks, **place).withColumns({k: F.col(k).cast("double") for k in streaks})
+    for key, n in ranks.items():
+        rows = percentile_rank(rows, "close", n, key, **place)
+    out = rows.select(*bars.columns, *[column_name(name, p) for name, p in wanted if column_name(name, p) not in stateful])
     if stateful:
         # The walk reads three prices; its columns are joined to the rest (one bar a symbol and time).
         schema = ", ".join(["symbol string", "ts timestamp_ntz", *[f"`{k}` double" for k in stateful]])

@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quantloom.functions import distributions as D
+from quantloom.operators import blocks
 from quantloom.operators import stats as S
 from quantloom.operators.bars import returns
 from quantloom.operators.lineage import cut
@@ -60,6 +61,11 @@ def signals(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("forward")) for h in horizons])
     long = base.select("symbol", "ts", F.col("__i").alias("i"), F.explode(hit).alias("pattern"), ahead.alias("ahead")).select("symbol", "pattern", "i", "ts", F.explode("ahead").alias("a"))
     long = long.select("symbol", "pattern", F.col("a.horizon").alias("horizon"), "i", "ts", F.col("a.forward").alias("forward")).where("forward is not null")
+    return _apart(long, horizons)
+
+
+def _apart(long: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
+    """Signals (symbol, pattern, horizon, i, ts, forward) that stand a horizon apart, where a pattern's median gap is shorter than that."""
     key = ["symbol", "pattern", "horizon"]
     w = Window.partitionBy(*key).orderBy("i")
     long = long.withColumn("gap", F.col("i") - F.lag("i").over(w))
@@ -68,6 +74,23 @@ def signals(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     return marked.where(F.col("kept") | ~F.coalesce(F.col("close") < F.col("horizon"), F.lit(False))).select(*key, "i", "ts", "forward")
 
 
+def cross_asset_signals(bars: DataFrame, tests: DataFrame, horizons: tuple[int, ...] = HORIZONS, alpha: float = 0.05, move: float = 0.02) -> DataFrame:
+    """Signals, as of `signals`, of patterns "cross_asset/<symbol>": a day's move of over `move` of a symbol that leads this one.
+
+    tests: `stats.granger_pairs`; a symbol leads another where its p is below `alpha`.  A signal stands on the bar of the
+    symbol that is led, at the time of the move.
+    """
+    lead = {f"f{h}": F.try_divide(F.lead("close", h).over(order()), F.col("close")) - 1 for h in horizons}
+    rows = blocks.in_blocks(blocks.placed(bars), lambda b: returns(b).withColumns(lead), 1, max(horizons))
+    moves = rows.where(F.abs("ret") > move).select(F.col("symbol").alias("cause"), "ts")
+    led = tests.where(F.col("p") < alpha).select("cause", F.col("effect").alias("symbol"))
+    hits = led.join(moves, "cause").select("symbol", "ts", F.concat(F.lit("cross_asset/"), "cause").alias("pattern"))
+    ahead = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("forward")) for h in horizons])
+    base = rows.select("symbol", "ts", (F.col("__i") + 1).cast("int").alias("i"), F.explode(ahead).alias("a"))
+    long = hits.join(base, ["symbol", "ts"]).select("symbol", "pattern", F.col("a.horizon").alias("horizon"), "i", "ts", F.col("a.forward").alias("forward"))
+    return _apart(long.where("forward is not null"), horizons)
+
+
 @pandas_udf(DoubleType())
 def deflated_sharpe(sharpe: pd.Series, trials: pd.Series, skew: pd.Series, kurtosis: pd.Series, n: pd.Series) -> pd.Series:
     """The probability that a Sharpe ratio is above the best of `trials` by chance; 0 where it is not defined.

@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quantloom.functions import distributions as D
+from quantloom.operators import blocks
 
 
 def skew(x: str) -> Column:
@@ -241,6 +242,62 @@ def granger(pairs: DataFrame, cause: str, effect: str, p: int) -> dict | None:
     return {"f": f, "p": float(D.f_upper(np.array([f]), np.array([p]), np.array([free]))[0]), "n": large["n"]}
 
 
+def granger_pairs(returns: DataFrame, p: int = 5, x: str = "ret", least: int = 60, span: str = "month", size: int | None = None) -> DataFrame:
+    """cause, effect, f, p, n: the Granger test of every ordered pair of symbols for lags 1..p of both, in one job.
+
+    returns: symbol, ts, x.  A pair's series are the times that both have; pairs with fewer than `least` are left out,
+    and f and p are null where a fit is singular or too short.  Lags are taken in blocks of a pair's rows (span, size: as in
+    `blocks`); the sums of products of a pair serve both directions, and pairs are
+    solved many at a time where their sums lie.
+    """
+    one = returns.where(F.col(x).isNotNull()).select(F.col("symbol").alias("a"), "ts", F.col(x).cast("double").alias("xa"))
+    two = one.select(F.col("a").alias("b"), "ts", F.col("xa").alias("xb"))
+    pairs = one.join(two, "ts").where("a < b").select(F.struct("a", "b").alias("symbol"), "ts", "xa", "xb")
+    names = [f"{c}{k}" for c in ("a", "b") for k in range(1, p + 1)]
+    along = Window.partitionBy("symbol").orderBy("ts")
+    lags = {f"{c}{k}": F.lag(f"x{c}", k).over(along) for c in ("a", "b") for k in range(1, p + 1)}
+    rows = blocks.in_blocks(pairs, lambda b: b.withColumns(lags), p, span=span, size=size)
+    zs = [F.col(c) for c in [*names, "xa", "xb"]]
+    whole = F.col(names[p - 1]).isNotNull() if p else F.lit(True)
+    products = [F.sum(F.when(whole, zs[i] * zs[j])) for i in range(len(zs)) for j in range(i, len(zs))]
+    sums = rows.groupBy("symbol").agg(F.count("*").alias("times"), F.count(F.when(whole, 1)).alias("n"), F.array(*[F.sum(F.when(whole, z)) for z in zs], *products).alias("sums"))
+    k = len(zs)
+    up = np.triu_indices(k)
+
+    def solve(batches):
+        for g in batches:
+            n = g["n"].to_numpy(float)
+            s = np.array([np.asarray(v, float) for v in g["sums"]]).reshape(len(g), -1)
+            m = np.zeros((len(g), k, k))
+            m[:, up[0], up[1]] = m[:, up[1], up[0]] = s[:, k:]
+            m -= s[:, :k, None] * s[:, None, :k] / n[:, None, None]  # about the means
+            for effect, own, others in (("b", range(p, 2 * p), range(p)), ("a", range(p), range(p, 2 * p))):
+                y = 2 * p + (effect == "b")
+                small, large = (_residual(m, list(q), y, n) for q in (own, [*own, *others]))
+                free = n - 1 - 2 * p
+                with np.errstate(all="ignore"):
+                    f = np.where((n >= 2 * p + 2) & (large > 0) & (free > 0), (small - large) / p / (large / free), np.nan)
+                tail = D.f_upper(np.nan_to_num(f), np.full(len(f), float(p)), np.maximum(free, 1.0))
+                cause = "a" if effect == "b" else "b"
+                yield pd.DataFrame({"cause": g[cause], "effect": g[effect], "f": f, "p": np.where(np.isnan(f), np.nan, tail), "n": g["n"]})
+
+    kind = one.schema["a"].dataType.simpleString()
+    flat = sums.where(F.col("times") >= least).where("n > 0").select("symbol.a", "symbol.b", "n", "sums")
+    got = flat.mapInPandas(solve, f"cause {kind}, effect {kind}, f double, p double, n long")
+    return got.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("f", "p")})
+
+
+def _residual(m: np.ndarray, q: list[int], y: int, n: np.ndarray) -> np.ndarray:
+    """The residual sums of squares of y on the variables q, by sums of products about the means; nan where singular or too short."""
+    x, v = m[:, q][:, :, q], m[:, q, y]
+    good = (n > len(q) + 1) & (np.linalg.matrix_rank(x) == len(q))
+    out = np.full(len(m), np.nan)
+    if good.any():
+        beta = np.linalg.solve(x[good], v[good][:, :, None])[:, :, 0]
+        out[good] = np.maximum(m[good, y, y] - (beta * v[good]).sum(1), 0.0)
+    return out
+
+
 def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Adds rank, adjusted (Benjamini-Hochberg) and significant to a table of tests; ties by label.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators import blocks
+
 YEAR = 252.0
 
 
@@ -33,17 +37,13 @@ def rolling(value: str, n: int, metric: str) -> Column:
     return full(x, n, F.col(value))
 
 
-def rolling_max_drawdown(value: str, n: int) -> Column:
-    """The deepest fall (%) from a peak inside the last n returns, each window starting at 1."""
-    start = F.struct(F.lit(1.0).alias("equity"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(acc, r):
-        equity = acc["equity"] * (1 + r)
-        peak = F.greatest(acc["peak"], equity)
-        return F.struct(equity.alias("equity"), peak.alias("peak"), F.greatest(acc["worst"], (peak - equity) / peak).alias("worst"))
+def rolling_max_drawdown(rows: DataFrame, value: str, n: int, name: str = "value") -> DataFrame:
+    """Adds the deepest fall (%) from a peak inside the last n returns, each window starting at 1; null until there are n.
 
-    fold = F.aggregate(F.collect_list(value).over(trailing(n)), start, step, lambda acc: acc["worst"] * 100)
-    return full(fold, n, F.col(value))
+    rows: with __i (``blocks.placed``); in blocks it looks n rows back.
+    """
+    rows = blocks.sliding_drawdown(rows, name, value, n)
+    return rows.withColumn(name, full(F.col(name) * 100, n, F.col(value)))
 
 
 def rolling_beta(asset: str, bench: str, n: int) -> Column:
@@ -70,24 +70,27 @@ def summary(series: DataFrame, value: str) -> DataFrame:
     return got.withColumn("trend", trend).drop("slope")
 
 
-def drawdown(bars: DataFrame, value: str = "close") -> DataFrame:
+def drawdown(bars: DataFrame, value: str = "close", **place) -> DataFrame:
     """Adds peak (the highest so far) and drawdown (the fall from it, as a part of it; 0 or below)."""
-    peak = F.max(value).over(order().rowsBetween(Window.unboundedPreceding, 0))
-    return bars.withColumn("peak", peak).withColumn("drawdown", F.col(value) / F.col("peak") - 1)
+    return blocks.running(bars, {"peak": ("max", F.col(value))}, **place).withColumn("drawdown", F.col(value) / F.col("peak") - 1)
 
 
-def drawdown_episodes(bars: DataFrame, least: float = 0.001) -> DataFrame:
+def drawdown_episodes(bars: DataFrame, least: float = 0.001, span: str = "month", size: int | None = None) -> DataFrame:
     """A row an episode: from the first close under the peak to the first at or over it.
 
     symbol, start, trough, end (null if still open), depth (%), duration and recovery in bars
-    (0 if open).  Episodes no deeper than `least` are left out.
+    (0 if open).  Episodes no deeper than `least` are left out.  span, size: as in `blocks`.
     """
-    marked = drawdown(bars).withColumn("i", F.row_number().over(order()))
+    place = {"span": span, "size": size}
+    marked = drawdown(blocks.placed(bars, span=span).withColumn("i", F.col("__i") + 1), **place)
     under = F.col("close") < F.col("peak")
-    begins = under & ~F.coalesce(F.lag(under).over(order()), F.lit(False))
-    marked = marked.withColumns({"under": under, "begins": begins})
-    marked = marked.withColumn("episode", F.sum(F.col("begins").cast("int")).over(order().rowsBetween(Window.unboundedPreceding, 0)))
-    marked = marked.withColumns({"next_i": F.lead("i").over(order()), "next_ts": F.lead("ts").over(order())})
+
+    def neighbours(rows: DataFrame) -> DataFrame:
+        begins = under & ~F.coalesce(F.lag(under).over(order()), F.lit(False))
+        return rows.withColumns({"under": under, "begins": begins, "next_i": F.lead("i").over(order()), "next_ts": F.lead("ts").over(order())})
+
+    marked = blocks.in_blocks(marked, neighbours, 1, 1, **place)
+    marked = blocks.running(marked, {"episode": ("sum", F.col("begins").cast("int"))}, **place)
     at_end = F.struct("i", "next_i", "next_ts")
     got = marked.where("under").groupBy("symbol", "episode").agg(
         F.min("ts").alias("start"), F.min("i").alias("start_i"), F.min_by(F.struct("ts", "i"), F.struct("drawdown", "i")).alias("low"), F.min("drawdown").alias("worst"), F.max(at_end).alias("last")
@@ -111,23 +114,59 @@ def runs(flag: Column, w) -> Column:
     return F.when(F.coalesce(flag, F.lit(False)), F.col("__i") - F.coalesce(broken, F.lit(0))).otherwise(0)
 
 
-def consecutive(bars: DataFrame) -> DataFrame:
+def runs(flag: Column, w) -> Column:
+    """How many rows in a row have the flag, up to this one; 0 without it.  Rows have __i, from 1."""
+    broken = F.max(F.when(~F.coalesce(flag, F.lit(False)), F.col("__i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(F.coalesce(flag, F.lit(False)), F.col("__i") - F.coalesce(broken, F.lit(0))).otherwise(0)
+
+
+def run_lengths(rows: DataFrame, flags: dict[str, Column], **place) -> DataFrame:
+    """Adds, for each name, how many rows in a row have the flag up to this one; 0 without it.  rows: with __i."""
+    has = {k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}
+    marked = blocks.running(rows, {f"__{k}": ("max", F.when(~v, F.col("__i"))) for k, v in has.items()}, **place)
+    lengths = {k: F.when(v, F.col("__i") - F.coalesce(f"__{k}", F.lit(-1))).otherwise(0) for k, v in has.items()}
+    return marked.withColumns(lengths).drop(*[f"__{k}" for k in flags])
+
+
+def consecutive(bars: DataFrame, span: str = "month", size: int | None = None) -> DataFrame:
     """Adds up_run and down_run: closes in a row above, below the close before."""
-    change = F.col("close") - F.lag("close").over(order())
-    base = bars.withColumns({"__i": F.row_number().over(order()), "__c": change})
-    return base.withColumns({"up_run": runs(F.col("__c") > 0, order()), "down_run": runs(F.col("__c") < 0, order())}).drop("__i", "__c")
+    place = {"span": span, "size": size}
+    rows = blocks.in_blocks(blocks.placed(bars, span=span), lambda b: b.withColumn("__c", F.col("close") - F.lag("close").over(order())), 1, **place)
+    return run_lengths(rows, {"up_run": F.col("__c") > 0, "down_run": F.col("__c") < 0}, **place).drop("__c", "__i")
 
 
-def longest_losing_streak(trades: DataFrame, pnl: str = "pnl") -> DataFrame:
+def longest_losing_streak(trades: DataFrame, pnl: str = "pnl", span: str = "month", size: int | None = None) -> DataFrame:
     """symbol and the most losing trades in a row; a trade of 0 ends a streak."""
-    base = trades.withColumn("__i", F.row_number().over(order()))
-    return base.withColumn("r", runs(F.col(pnl) < 0, order())).groupBy("symbol").agg(F.max("r").alias("longest"))
+    rows = run_lengths(blocks.placed(trades, span=span), {"r": F.col(pnl) < 0}, size=size)
+    return rows.groupBy("symbol").agg(F.max("r").alias("longest"))
 
 
-def percentile_rank(value: str, n: int) -> Column:
-    """The part (%) of the n - 1 values before that are lower; null until there are n."""
-    lower = F.size(F.filter(F.collect_list(value).over(trailing(n)), lambda v: v < F.col(value)))
-    return full(lower / (n - 1) * 100.0, n)
+def percentile_rank(df: DataFrame, value: str, n: int, name: str = "percentile", **place) -> DataFrame:
+    """Adds the part (%) of the n - 1 values before that are lower; null until there are n.
+
+    A block's values are compared n at a time in one array of bounded size, not as a list a row.
+    Nulls are no values: they are lower than none, and a null's own rank is null.
+    """
+
+    def ranks(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("__i", kind="stable")
+        x = group[value].to_numpy(float)
+        out = np.full(len(x), np.nan)
+        windows = np.lib.stride_tricks.sliding_window_view(x, n) if len(x) >= n else np.zeros((0, n))
+        step = max(1, (1 << 20) // n)
+        for a in range(0, len(windows), step):
+            part = windows[a : a + step]
+            out[n - 1 + a : n - 1 + a + len(part)] = (part[:, :-1] < part[:, -1:]).sum(1) / max(n - 1, 1) * 100.0
+        return pd.DataFrame({"__s": group["__s"], "__b": group["__b"], "__i": group["__i"], "__x": np.where(np.isnan(x), np.nan, out)})
+
+    def add(rows: DataFrame) -> DataFrame:
+        flat = rows.select(F.col("symbol.symbol").alias("__s"), F.col("symbol.__block").alias("__b"), "__i", F.col(value).cast("double").alias(value))
+        kind = flat.schema["__s"].dataType.simpleString()
+        got = flat.groupBy("__s", "__b").applyInPandas(ranks, f"__s {kind}, __b long, __i long, __x double")
+        got = got.select(F.struct(F.col("__s").alias("symbol"), F.col("__b").alias("__block")).alias("__k"), F.col("__i").alias("__j"), F.nanvl("__x", F.lit(None).cast("double")).alias(name))
+        return rows.join(got, F.col("symbol").eqNullSafe(F.col("__k")) & (F.col("__i") == F.col("__j"))).drop("__k", "__j")
+
+    return blocks.in_blocks(df, add, n - 1, **place)
 
 
 def range_rank(value: str, n: int) -> Column:

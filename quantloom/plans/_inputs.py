@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.operators import bars as B
+from quantloom.operators import blocks as L
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +57,7 @@ PAIR = RETURNS + """, pair as (
 
 def pair(spark: SparkSession, d: str) -> DataFrame:
     """ts, a, b (closes), ra, rb (returns) of 1-URGENT and 2-HIGH."""
-    r = B.returns(daily(spark, d))
+    r = L.in_blocks(daily(spark, d), B.returns, 1)
     side = lambda s, x: r.where(F.col("symbol") == s).select("ts", F.col("close").alias(x), F.col("ret").alias(f"r{x}"))
     return side("1-URGENT", "a").join(side("2-HIGH", "b"), "ts")
 

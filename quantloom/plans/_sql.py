@@ -34,13 +34,13 @@ def inverse(name: str, source: str, k: int, keep: str = "") -> str:
     return ",\n  ".join([*out, f"{name} as (select * from {name}_{k})"])
 
 
-def ols(name: str, source: str, xs: list[str], y: str) -> str:
-    """CTEs that end in `name`: b0 (the constant's) ... bk, their errors e0 ... ek, rss, tss, n of a least-squares fit over the whole rows."""
+def ols(name: str, source: str, xs: list[str], y: str, by: str = "") -> str:
+    """CTEs that end in `name`: b0 (the constant's) ... bk, their errors e0 ... ek, rss, tss, n of a least-squares fit over the whole rows, one for each `by`."""
     columns, k = ["1.0", *xs], len(xs) + 1
     sums = [f"sum({columns[i]} * {columns[j]}) as m_{i}_{j}" for i in range(k) for j in range(k)] + [f"sum({c} * {y}) as v_{i}" for i, c in enumerate(columns)]
     whole = " and ".join(f"{c} is not null" for c in [*xs, y])
-    keep = ", ".join([*[f"v_{i}" for i in range(k)], "yy", "tss", "n"])
-    first = f"{name}_s as (select {', '.join(sums)}, sum({y} * {y}) as yy, var_pop({y}) * count(*) as tss, count(*) as n from {source} where {whole})"
+    keep = ", ".join([*[f"v_{i}" for i in range(k)], "yy", "tss", "n", *([by] if by else [])])
+    first = f"{name}_s as (select {by + ', ' if by else ''}{', '.join(sums)}, sum({y} * {y}) as yy, var_pop({y}) * count(*) as tss, count(*) as n from {source} where {whole}{f' group by {by}' if by else ''})"
     b = [" + ".join(f"w_{i}_{j} * v_{j}" for j in range(k)) for i in range(k)]
     fit = f"{name}_b as (select *, {', '.join(f'{x} as b{i}' for i, x in enumerate(b))} from {name}_i)"
     rss = f"{name}_r as (select *, yy - ({' + '.join(f'b{i} * v_{i}' for i in range(k))}) as rss from {name}_b)"

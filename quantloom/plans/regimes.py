@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.operators import bars as B
+from quantloom.operators import blocks as L
 from quantloom.operators import patterns as P
 from quantloom.operators import regimes as G
 from quantloom.operators import resampling as X
+from quantloom.operators import stats as S
 from quantloom.plans import _inputs as I
 from quantloom.plans import _sql as Q
 from quantloom.plans._registry import Registry
@@ -85,18 +87,19 @@ _CONDITIONS |= {
 }
 
 
-def _signals_sql() -> str:
-    """CTEs up to `found`: symbol, pattern, horizon, i, ts, forward."""
+def _signals_sql(hits: str | None = None, before: str = "") -> str:
+    """CTEs up to `found`: symbol, pattern, horizon, i, ts, forward.  hits: bars with their patterns, of the conditions if not given; before: CTEs that it needs."""
     w20 = "over (partition by symbol order by ts rows between 19 preceding and current row)"
     patterns = ", ".join(f"case when {c} then '{k}' end" for k, c in _CONDITIONS.items())
     full = lambda x: f"case when count(*) {w20} = 20 then {x} {w20} end"
+    hits = hits or f"select *, unnest(list_filter([{patterns}], lambda x: x is not null)) as pattern from f"
     ahead = " union all ".join(f"select symbol, pattern, {h} as horizon, rn as i, ts, f{h} as forward, min(rn) over (partition by symbol, pattern order by rn range between {h} following and unbounded following) as nxt from hits where f{h} is not null" for h in P.HORIZONS)
     return f"""{I.RETURNS}, f0 as (select *, lag(ret) over v as r1, lag(ret, 5) over v as r5, open / lag(close) over v - 1 as gap, (high - low) / low as range, close / lag(close, 20) over v - 1 as r20, datediff('day', ts::date, last_day(ts)) as before_end,
     case when ret > 0 then rn - max(case when ret > 0 then 0 else rn end) over v else 0 end as up, case when ret < 0 then rn - max(case when ret < 0 then 0 else rn end) over v else 0 end as down,
     {", ".join(f"lead(close, {h}) over v / close - 1 as f{h}" for h in P.HORIZONS)} from returns window v as (partition by symbol order by ts)),
   f1 as (select *, {full("avg(close)")} as sma, {full("stddev_samp(close)")} as sd, {full("avg(volume)")} as vol_sma, {full("avg(range)")} as range_sma, case when count(ret) {w20} = 20 then stddev_samp(ret) {w20} end as vol from f0),
   qu as (select symbol, quantile_cont(vol, 0.25) as v25, quantile_cont(vol, 0.75) as v75, corr(ret, r1) as ac1, corr(ret, r5) as ac5, median(vol) as middle from f1 group by 1),
-  f as (select * from f1 join qu using (symbol)), hits as (select *, unnest(list_filter([{patterns}], lambda x: x is not null)) as pattern from f),
+  f as (select * from f1 join qu using (symbol)), {before}hits as ({hits}),
   long as ({ahead}), gaps as (select symbol, pattern, horizon, median(g) as gap from (select *, i - lag(i) over (partition by symbol, pattern, horizon order by i) as g from long) group by 1, 2, 3),
   dense as (select symbol, pattern, horizon from gaps where gap < horizon),
   kept(symbol, pattern, horizon, i) as (select symbol, pattern, horizon, min(i) from long semi join dense using (symbol, pattern, horizon) group by 1, 2, 3
@@ -104,11 +107,11 @@ def _signals_sql() -> str:
   found as (select * from long anti join dense using (symbol, pattern, horizon) union all select long.* from long join kept using (symbol, pattern, horizon, i))"""
 
 
-def _scan_sql() -> str:
-    """CTEs up to `scanned`."""
+def _scan_sql(hits: str | None = None, before: str = "") -> str:
+    """CTEs up to `scanned`; hits, before: as in `_signals_sql`."""
     key = "symbol, pattern, horizon"
     best = "case when trials > 1 then sqrt(2 * ln(trials)) - (ln(ln(trials)) + ln(4 * pi())) / (2 * sqrt(2 * ln(trials))) else 0 end"
-    return _signals_sql() + f""",
+    return _signals_sql(hits, before) + f""",
   m as (select {key}, count(*) as n, avg(forward) as mean, stddev_samp(forward) as std, avg((forward > 0)::int) as win_rate from found group by {key} having count(*) >= {P.LEAST_SIGNALS} and stddev_samp(forward) > 0),
   zs as (select {key}, sum(((forward - mean) / std) ** 3) as z3, sum(((forward - mean) / std) ** 4) as z4 from found join m using ({key}) group by {key}),
   st as (select *, sqrt(n * (n - 1.0)) / (n - 2) * z3 / n as skew, (n - 1.0) / ((n - 2) * (n - 3)) * ((n + 1) * z4 / n - 3 * (n - 1)) as kurtosis, mean / (std / sqrt(n)) as t, mean / std * sqrt(252.0 / horizon) as sharpe, count(*) over (partition by symbol) as trials from m join zs using ({key})),
@@ -130,6 +133,33 @@ def p14(spark, d):
     return P.scan(I.daily(spark, d)).select("symbol", "pattern", "horizon", "n", "trials", *[r(c, k).alias(c) for c, k in _SHOWN.items()], "significant")
 
 
+#: Granger tests of all ordered pairs with two lags, as CTEs up to `tests`; the tail of F with two and d degrees is in closed form.
+_TESTS = f"""pairs as (select x.symbol as c, y.symbol as e, x.ts, x.ret as rc, y.ret as re from returns x join returns y on x.ts = y.ts and x.symbol <> y.symbol where x.ret is not null and y.ret is not null),
+  lags as (select c, e, ts, re as y, {", ".join(f"lag(r{x}, {k}) over w as {x}{k}" for x in "ce" for k in (1, 2))} from pairs window w as (partition by c, e order by ts)),
+  whole as (select * from lags where c2 is not null), {Q.ols("small", "whole", ["e1", "e2"], "y", "c, e")}, {Q.ols("large", "whole", ["e1", "e2", "c1", "c2"], "y", "c, e")},
+  fs as (select l.c as cause, l.e as effect, l.n, (s.rss - l.rss) / 2 / (l.rss / (l.n - 5)) as f from small s join large l on s.c = l.c and s.e = l.e),
+  tests as (select *, pow(1 + 2 * f / (n - 5), -(n - 5) / 2.0) as p from fs)"""
+
+
+@query("p14_cross_granger", f"with {I.RETURNS}, {_TESTS} select cause, effect, round(f, 4) as f, round(p, 6) as p, n::bigint as n from tests")
+def p14g(spark, d):
+    tests = S.granger_pairs(L.in_blocks(I.daily(spark, d), B.returns, 1), p=2)
+    return tests.select("cause", "effect", r("f", 4).alias("f"), r("p", 6).alias("p"), "n")
+
+
+#: Few of the pairs here lead: a fifth of all tests is let through.
+_LED = "select f.*, 'cross_asset/' || cause as pattern from f join tests on effect = f.symbol and p < 0.2 join returns m on m.symbol = cause and m.ts = f.ts and abs(m.ret) > 0.02"
+
+
+@query("p14_cross_asset", f"""with recursive {_scan_sql(_LED, _TESTS + ", ")}
+  select symbol, pattern, horizon::int as horizon, n::bigint as n, trials::bigint as trials, {", ".join(f"round({c}, {k}) as {c}" for c, k in _SHOWN.items())}, adjusted <= 0.05 as significant from scanned""")
+def p14c(spark, d):
+    bars = I.daily(spark, d)
+    tests = S.granger_pairs(L.in_blocks(bars, B.returns, 1), p=2)
+    found = P.cross_asset_signals(bars, tests, alpha=0.2)
+    return P.scan(bars, found=found).select("symbol", "pattern", "horizon", "n", "trials", *[r(c, k).alias(c) for c, k in _SHOWN.items()], "significant")
+
+
 @query("j14_similar_patterns", f"""with {I.RETURNS}, t as (select symbol, ts, 'fri' as pattern from returns where isodow(ts) = 5 union all select symbol, ts, 'up' from returns where ret > 0
     union all select symbol, ts, 'big' from returns where ret > 0.02 union all select symbol, ts, 'gap' from returns where ret > 0.5), n as (select symbol, pattern, count(*) as n from t group by 1, 2),
   b as (select x.symbol, x.pattern as a, y.pattern as b, count(*) as k from t x join t y on x.symbol = y.symbol and x.ts = y.ts and x.pattern < y.pattern group by 1, 2, 3)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.operators import bars as B
+from quantloom.operators import blocks as L
 from quantloom.operators import windows as W
 from quantloom.plans import _inputs as I
 from quantloom.plans._registry import Registry
@@ -24,7 +25,8 @@ def rets(spark, d):
 
 @query("w2_rolling_mean", f"with {I.BARS} select symbol, ts, case when count(*) over w = {N} then round(avg(close) over w, 3) end as mean from bars {RW}")
 def w2(spark, d):
-    return I.daily(spark, d).select("symbol", "ts", r(W.full(F.avg("close").over(W.trailing(N)), N), 3).alias("mean"))
+    got = L.in_blocks(I.daily(spark, d), lambda b: b.withColumn("mean", W.full(F.avg("close").over(W.trailing(N)), N)), N - 1)
+    return got.select("symbol", "ts", r("mean", 3).alias("mean"))
 
 
 for _m, _e in {
@@ -33,7 +35,7 @@ for _m, _e in {
     "mean_return": "avg(ret) over w * 252 * 100",
 }.items():
     query(f"w3_rolling_{_m}", f"with {I.RETURNS} select symbol, ts, case when count(ret) over w = {N} then round({_e}, 4) end as value from returns {RW}")(
-        lambda spark, d, m=_m: rets(spark, d).select("symbol", "ts", r(W.rolling("ret", N, m), 4).alias("value"))
+        lambda spark, d, m=_m: L.in_blocks(I.daily(spark, d), lambda b: B.returns(b).withColumn("value", W.rolling("ret", N, m)), N).select("symbol", "ts", r("value", 4).alias("value"))
     )
 
 
@@ -43,7 +45,7 @@ for _m, _e in {
   p as (select symbol, ts, back, equity, greatest(1, max(equity) over (partition by symbol, ts order by back desc)) as peak from q)
   select symbol, ts, round(max((peak - equity) / peak) * 100, 4) as value from p group by 1, 2""")
 def w4(spark, d):
-    out = rets(spark, d).withColumn("value", r(W.rolling_max_drawdown("ret", N), 4))
+    out = L.in_blocks(I.daily(spark, d), lambda b: W.rolling_max_drawdown(B.returns(b), "ret", N), N + 1).withColumn("value", r("value", 4))
     return out.where("value is not null").select("symbol", "ts", "value")
 
 
@@ -51,7 +53,8 @@ def w4(spark, d):
   case when count(*) over w = {N} then round(corr(ra, rb) over w, 5) end as correlation from pair window w as (order by ts rows between {N - 1} preceding and current row)""")
 def w5(spark, d):
     p = I.pair(spark, d).withColumn("symbol", F.lit("pair"))
-    return p.select("ts", r(W.rolling_beta("ra", "rb", N)).alias("beta"), r(W.rolling_correlation("ra", "rb", N)).alias("correlation"))
+    p = L.in_blocks(p, lambda b: b.withColumns({"beta": W.rolling_beta("ra", "rb", N), "correlation": W.rolling_correlation("ra", "rb", N)}), N - 1)
+    return p.select("ts", r("beta").alias("beta"), r("correlation").alias("correlation"))
 
 
 @query("w6_series_summary", f"""with {I.RETURNS}, v as (select symbol, ts, case when count(ret) over w = {N} then stddev_samp(ret) over w * sqrt(252) * 100 end as v from returns {RW}),
@@ -67,7 +70,8 @@ def w6(spark, d):
 
 @query("w7_rolling_level_correlation", f"with {I.PAIR} select ts, case when count(*) over w = 60 then round(corr(a, b) over w, 5) end as correlation from pair window w as (order by ts rows between 59 preceding and current row)")
 def w7(spark, d):
-    return I.pair(spark, d).withColumn("symbol", F.lit("p")).select("ts", r(W.rolling_correlation("a", "b", 60)).alias("correlation"))
+    p = I.pair(spark, d).withColumn("symbol", F.lit("p"))
+    return L.in_blocks(p, lambda b: b.withColumn("correlation", W.rolling_correlation("a", "b", 60)), 59).select("ts", r("correlation").alias("correlation"))
 
 
 @query("w8_lead_lag", f"""with {I.PAIR}, p as (select *, row_number() over (order by ts) as k from pair where ra is not null and rb is not null), lags as (select unnest(range(-10, 11)) as lag)
@@ -120,7 +124,7 @@ def w15(spark, d):
 
 @query("w12_losing_streak", f"with {_RUNS} select symbol, max(case when c < 0 then i - bd else 0 end)::int as longest from k group by 1")
 def w12(spark, d):
-    t = I.daily(spark, d).withColumn("pnl", F.col("close") - F.lag("close").over(W.order()))
+    t = L.in_blocks(I.daily(spark, d), lambda b: b.withColumn("pnl", F.col("close") - F.lag("close").over(W.order())), 1)
     return W.longest_losing_streak(t).select("symbol", F.col("longest").cast("int").alias("longest"))
 
 
@@ -128,26 +132,33 @@ def w12(spark, d):
   select symbol, ts, case when n = {N} then round(len(list_filter(l, lambda x: x < close)) / {N - 1}.0 * 100, 5) end as percentile,
     case when n = {N} then case when high > low then round((close - low) / (high - low) * 100, 5) else 50.0 end end as range_rank from l""")
 def w13(spark, d):
-    return I.daily(spark, d).select("symbol", "ts", r(W.percentile_rank("close", N)).alias("percentile"), r(W.range_rank("close", N)).alias("range_rank"))
+    got = W.percentile_rank(I.daily(spark, d), "close", N)
+    got = L.in_blocks(got, lambda b: b.withColumn("range_rank", W.range_rank("close", N)), N - 1)
+    return got.select("symbol", "ts", r("percentile").alias("percentile"), r("range_rank").alias("range_rank"))
 
 
 @query("w16_extremes", f"""with {I.BARS} select symbol, ts, max(high) over w as highest_high, min(low) over w as lowest_low, max(close) over w as highest_close, min(close) over w as lowest_close from bars {RW}""")
 def w16(spark, d):
     w = W.trailing(N)
-    return I.daily(spark, d).select("symbol", "ts", F.max("high").over(w).alias("highest_high"), F.min("low").over(w).alias("lowest_low"), F.max("close").over(w).alias("highest_close"), F.min("close").over(w).alias("lowest_close"))
+    wanted = {"highest_high": F.max("high").over(w), "lowest_low": F.min("low").over(w), "highest_close": F.max("close").over(w), "lowest_close": F.min("close").over(w)}
+    return L.in_blocks(I.daily(spark, d), lambda b: b.withColumns(wanted), N - 1).select("symbol", "ts", *wanted)
 
 
 @query("w17_lookback", f"with {I.BARS} select symbol, ts, lag(close, 5) over (partition by symbol order by ts) as close_5, lag(volume, 1) over (partition by symbol order by ts) as volume_1 from bars")
 def w17(spark, d):
-    return I.daily(spark, d).select("symbol", "ts", F.lag("close", 5).over(W.order()).alias("close_5"), F.lag("volume", 1).over(W.order()).alias("volume_1"))
+    wanted = {"close_5": F.lag("close", 5).over(W.order()), "volume_1": F.lag("volume", 1).over(W.order())}
+    return L.in_blocks(I.daily(spark, d), lambda b: b.withColumns(wanted), 5).select("symbol", "ts", *wanted)
 
 
 @query("w18_crossings", f"""with {I.BARS}, m as (select symbol, ts, close, case when count(*) over w = {N} then avg(close) over w end as sma from bars {RW}),
   p as (select *, lag(close) over v as pc, lag(sma) over v as ps from m window v as (partition by symbol order by ts))
   select symbol, ts, coalesce(close > sma and pc <= ps, false) as above, coalesce(close < sma and pc >= ps, false) as below from p""")
 def w18(spark, d):
-    b = I.daily(spark, d).withColumn("sma", W.full(F.avg("close").over(W.trailing(N)), N))
-    return b.select("symbol", "ts", W.crossed("close", "sma").alias("above"), W.crossed("close", "sma", above=False).alias("below"))
+    def add(b):
+        b = b.withColumn("sma", W.full(F.avg("close").over(W.trailing(N)), N))
+        return b.withColumns({"above": W.crossed("close", "sma"), "below": W.crossed("close", "sma", above=False)})
+
+    return L.in_blocks(I.daily(spark, d), add, N).select("symbol", "ts", "above", "below")
 
 
 @query("w19_calendar", f"""with {I.TICKS}, h as (select symbol, min(ts) as ts from ticks group by symbol, date_trunc('hour', ts)),
@@ -162,7 +173,7 @@ def w19(spark, d):
 
 @query("w20_forward_returns", f"with {I.BARS} select symbol, ts, round(lead(close, 5) over (partition by symbol order by ts) / close - 1, 6) as forward from bars")
 def w20(spark, d):
-    return I.daily(spark, d).select("symbol", "ts", r(W.forward_return(5), 6).alias("forward"))
+    return L.in_blocks(I.daily(spark, d), lambda b: b.withColumn("forward", W.forward_return(5)), 0, 5).select("symbol", "ts", r("forward", 6).alias("forward"))
 
 
 @query("w20_purge_overlaps", f"""with recursive {I.RETURNS}, s as (select symbol, rn::bigint as i from returns where ret > 0.5),
