@@ -7,6 +7,7 @@ the words, the word pairs, and the pairs that skip one or two words, as present
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,7 +134,18 @@ def train(docs: DataFrame, known: DataFrame, most: tuple[int, int] = (5000, 3000
     here = [sum(y == k for _, y in rows) for k in (0, 1)]
     if not all(here):
         return Model(np.zeros(0, np.int32), np.zeros(0), -2.0 if not here[1] else 2.0, skips)
-    return ftrl(rows, tuple(count[k] / here[k] / max(1.0, sum(count.values()) / sum(here)) for k in (0, 1)), skips=skips)
+    model = ftrl(rows, tuple(count[k] / here[k] / max(1.0, sum(count.values()) / sum(here)) for k in (0, 1)), skips=skips)
+    del rows, body, offs, held, got
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a driver lives on for long after it has trained."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def _scorer(model: Model):
