@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, written to the folder in spark.checkpoint.dir and read from there.
+def folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
     Only where that is unset and the master is local, a temporary folder is taken; on a cluster
     it is an error.
     """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (where or "file://" + tempfile.mkdtemp(prefix="quantloom-")).rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder and read from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="quantloom-"))
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()

@@ -76,7 +76,7 @@ def bootstrap_paths(returns: DataFrame, paths: int = 10_000, horizon: int = 252,
             yield batch[[name, "path"]].assign(**dict(zip(("terminal", "max_drawdown"), np.array(rows).reshape(-1, 2).T, strict=True)))
 
     kind = numbered.schema[name].dataType.simpleString()
-    drawn = counts.crossJoin(returns.sparkSession.range(paths).withColumnRenamed("id", "path")).mapInPandas(draws, f"{name} {kind}, path long, starts array<long>")
+    drawn = counts.withColumn("path", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(paths - 1).cast("long")))).select(name, "n", "path").repartition("path").mapInPandas(draws, f"{name} {kind}, path long, starts array<long>")
     begun = drawn.select(name, "path", F.posexplode("starts").alias("block", "start"))
     steps = begun.select(name, "path", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))).alias("i"), "block", "start").select(name, "path", (F.col("block") * BLOCK + F.col("i")).alias("step"), (F.col("start") + F.col("i")).alias("place"))
     joined = steps.where(F.col("step") < horizon).join(numbered, [name, "place"])

@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from quantloom.functions import distributions as D
-from quantloom.operators import blocks
+from quantloom.operators import blocks, ranks
 
 
 def skew(x: str) -> Column:
@@ -104,28 +104,61 @@ def pearson_p(r: Column, n: Column) -> Column:
 def correlation(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """n, pearson, spearman (average ranks), covariance by `keys`; correlations are 0 with fewer than 2 pairs or none spread."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-
-    def rank(c: str) -> Column:
-        same = Window.partitionBy(*keys, c)
-        return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count("*").over(same) - 1) / 2
-
-    ranked = rows.withColumns({"ra_": rank(a), "rb_": rank(b)})
+    both = ranks.ranked(ranks.ranked(rows, a, "ra_", keys), b, "rb_", keys)
     zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), zero(F.corr(a, b)).alias("pearson"), zero(F.corr("ra_", "rb_")).alias("spearman"), F.covar_samp(a, b).alias("covariance"))
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), zero(F.corr(a, b)).alias("pearson"), zero(F.corr("ra_", "rb_")).alias("spearman"), F.covar_samp(a, b).alias("covariance"))
 
 
-def covariance_matrix(returns: DataFrame, key: str = "symbol", at: str = "ts", x: str = "ret", factor: float = 252.0) -> DataFrame:
+def covariance_matrix(returns: DataFrame, key: str = "symbol", at: str = "ts", x: str = "ret", factor: float = 252.0, width: int = 256, times: int = 4096) -> DataFrame:
     """a, b, n, covariance (times factor) and correlation of every two series on the times that both have; each pair both ways.
 
-    A pair is joined and summed once, and its row mirrored.
+    returns: one row a series and time; null values are no rows.  Sums of products come from matrices: `width` series or
+    so by `times` times or so, with a matrix of ones where a value stands, so that a pair's sums are over the times that both
+    have.  A row goes to each pair of blocks of series that holds its own, and a matrix gives a
+    row a pair; no time is expanded into its pairs.  Values are taken about their series' mean, for precision.
     """
-    one = returns.where(F.col(x).isNotNull()).select(F.col(key).alias("a"), at, F.col(x).alias("xa"))
-    two = one.select(F.col("a").alias("b"), at, F.col("xa").alias("xb"))
-    figures = [F.count("*").alias("n"), (F.covar_samp("xa", "xb") * factor).alias("covariance"), F.corr("xa", "xb").alias("correlation")]
-    half = one.join(two, at).where("a <= b").groupBy("a", "b").agg(*figures)
+    rows = returns.where(F.col(x).isNotNull()).select(F.col(key).alias("a"), F.col(at).alias("t"), F.col(x).cast("double").alias("x"))
+    total, series = rows.agg(F.count("*"), F.approx_count_distinct("a")).first()
+    blocks = max(1, -(-series // width))
+    chunks = max(1, total // (max(series, 1) * times))
+    means = rows.groupBy(F.col("a").alias("of")).agg(F.avg("x").alias("mean"))
+    rows = rows.join(means, F.col("a") == F.col("of")).select("a", "t", (F.col("x") - F.col("mean")).alias("x"), F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("own"), F.pmod(F.xxhash64("t"), F.lit(chunks)).alias("chunk"))
+    wide = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    wide = wide.select("a", "t", "x", "own", "chunk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def sums(where: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        times_, t = np.unique(group["t"].to_numpy(), return_inverse=True)
+        sides = []
+        for block in (where[0], where[1]):
+            mine = (group["own"] == block).to_numpy()
+            symbols, s = np.unique(group["a"].to_numpy()[mine].astype(str), return_inverse=True)
+            values, ones = np.zeros((len(times_), len(symbols))), np.zeros((len(times_), len(symbols)))
+            values[t[mine], s], ones[t[mine], s] = group["x"].to_numpy()[mine], 1.0
+            sides.append((symbols, values, ones))
+        (a, xa, ma), (b, xb, mb) = sides
+        got = [ma.T @ mb, xa.T @ mb, ma.T @ xb, (xa * xa).T @ mb, ma.T @ (xb * xb), xa.T @ xb]
+        p, q = np.nonzero(got[0])
+        if where[0] == where[1]:
+            p, q = p[p <= q], q[p <= q]
+        left, right = a[p], b[q]
+        turned = left > right
+        cells = [m[p, q] for m in got]
+        for one, two in ((1, 2), (3, 4)):
+            cells[one], cells[two] = np.where(turned, cells[two], cells[one]), np.where(turned, cells[one], cells[two])
+        return pd.DataFrame({"a": np.where(turned, right, left), "b": np.where(turned, left, right), **dict(zip(names, cells, strict=True))})
+
+    parts = wide.groupBy("i", "j", "chunk").applyInPandas(sums, "a string, b string, " + ", ".join(f"{c} double" for c in names))
+    half = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names])
+    n = F.col("n")
+    product = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
+    figures = [n.cast("long").alias("n"), F.when(n > 1, product / F.when(n > 1, n - 1) * factor).alias("covariance"), F.when(spread > 0, product / F.sqrt(F.when(spread > 0, spread))).alias("correlation")]
     there, back = F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
     ways = F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))
-    return half.select(F.explode(ways).alias("w"), "n", "covariance", "correlation").select("w.*", "n", "covariance", "correlation")
+    both = half.select(F.explode(ways).alias("w"), *figures).select("w.*", "n", "covariance", "correlation")
+    kind = returns.schema[key].dataType
+    return both.withColumns({c: F.col(c).cast(kind) for c in ("a", "b")})
 
 
 def numbered(df: DataFrame, name: str, by: str = "ts", span: str = "month") -> DataFrame:
@@ -301,14 +334,9 @@ def _residual(m: np.ndarray, q: list[int], y: int, n: np.ndarray) -> np.ndarray:
 def benjamini_hochberg(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
     """Adds rank, adjusted (Benjamini-Hochberg) and significant to a table of tests; ties by label.
 
-    The table has a row a hypothesis; its order and reverse minimum are two sorted windows.
+    The table has a row a hypothesis; its order and reverse minimum are taken in ranges of p.
     """
-    up = Window.orderBy(p, "label")
-    n = tests.count()
-    ranked = tests.withColumn("rank", F.row_number().over(up))
-    raw = F.col(p) * n / F.col("rank")
-    down = Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("adjusted", F.least(F.min(raw).over(down), F.lit(1.0))).withColumn("significant", F.col("adjusted") <= alpha)
+    return ranks.adjusted(tests, p).withColumn("significant", F.col("adjusted") <= alpha)
 
 
 def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:

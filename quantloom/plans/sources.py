@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from quantloom.functions import distributions as D
 from quantloom.operators import bars as B
-from quantloom.operators import store
+from quantloom.operators import lineage, store
 from quantloom.plans import _inputs as I
 from quantloom.plans import _sql as Q
 from quantloom.plans._registry import Registry
@@ -34,12 +33,14 @@ def sc4(spark, d):
     return market.search(_catalog(spark, d), "en").select(F.upper("symbol").alias("symbol"))
 
 
-@query("sc7_first_category", """with f as (select * from (values ('stocks', 'AA'), ('etf', 'AA'), ('futures', 'BB'), ('indices', 'BB'), ('indices', 'CC'), ('crypto', 'DD')) t(category, symbol))
-  select symbol, case min(case category when 'etf' then 1 when 'stocks' then 2 when 'futures' then 3 when 'indices' then 4 end) when 1 then 'etf' when 2 then 'stocks' when 3 then 'futures' else 'indices' end as category
-  from f where category <> 'crypto' group by 1""")
+@query("sc7_first_category", """with f as (select distinct case c_custkey % 5 when 0 then 'crypto' when 1 then 'stocks' when 2 then 'etf' when 3 then 'futures' else 'indices' end as category, c_mktsegment || '-' || c_nationkey as symbol from customer)
+  select symbol, arg_min(category, case category when 'etf' then 1 when 'stocks' then 2 when 'futures' then 3 when 'indices' then 4 end) as category from f where category <> 'crypto' group by 1""")
 def sc7(spark, d):
-    files = [("stocks", "AA"), ("etf", "AA"), ("futures", "BB"), ("indices", "BB"), ("indices", "CC"), ("crypto", "DD")]
-    return market.resolve(spark.createDataFrame([(c, s, f"{c}/{s}.parquet") for c, s in files], "category string, symbol string, path string")).select("symbol", "category")
+    """The files of a catalogue that the customers name: a segment and nation is a symbol."""
+    category = F.element_at(F.array(*[F.lit(c) for c in ("crypto", "stocks", "etf", "futures", "indices")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    symbol = F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    files = I.table(spark, d, "customer").select(category.alias("category"), symbol.alias("symbol")).distinct()
+    return market.resolve(files.withColumn("path", F.concat_ws("/", "category", "symbol"))).select("symbol", "category")
 
 
 _LINE = "o_orderkey % 11"
@@ -87,12 +88,13 @@ def sc13(spark, d):
 @query("sc14_run_store", """select o_orderpriority as symbol, count(*)::bigint as runs, round(sum(o_totalprice), 2) as total from (select * from orders where o_orderkey % 2 = 0 union all select * from orders where o_orderkey % 3 = 0) group by 1""")
 def sc14(spark, d):
     """Two appends to a stored table of runs, read back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    path = f"{lineage.folder(spark)}/runs-{uuid.uuid4().hex}"
     runs = I.table(spark, d, "orders").select(F.col("o_orderpriority").alias("symbol"), "o_orderkey", "o_totalprice")
     for part in (2, 3):
         store.append(runs.where(F.col("o_orderkey") % part == 0), path)
-    return spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("runs"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    got = lineage.cut(spark.read.parquet(path).groupBy("symbol").agg(F.count("*").alias("runs"), F.round(F.sum("o_totalprice"), 2).alias("total")))
+    lineage.delete(spark, path)
+    return got
 
 
 @query("x10_bars_a_year", "select * from (values " + ", ".join(f"('{k}', {v!r}::double, {B.SIM_BARS_PER_YEAR.get(k, 'null')}::double)" for k, v in B.BARS_PER_YEAR.items()) + ") t(interval, analysis, simulator)")
