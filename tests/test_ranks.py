@@ -55,8 +55,8 @@ def test_only_a_row_a_range_meets_in_one_task(spark):
     df = spark.createDataFrame([(float(i % 50), float(i), f"l{i}", 1) for i in range(500)], "a double, b double, label string, k int")
     found = S.correlation(df, "a", "b", ["k"])
     assert "SinglePartition" not in plan_of(found) and only_ranges_meet(R.adjusted(df.withColumn("p", F.col("b") / 500)))
-    ranks = [np.argsort(np.argsort(x)) for x in (np.arange(500) % 50 + np.arange(500) * 1e-9, np.arange(500.0))]
-    assert found.first()["spearman"] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=0.01)
+    rank_a = (np.arange(500) % 50) * 10 + 5.5  # ten equal values each
+    assert found.first()["spearman"] == pytest.approx(np.corrcoef(rank_a, np.arange(500.0))[0, 1])
 
 
 @pytest.mark.parametrize(("width", "times"), [(2, 7), (3, 1000), (256, 4096)])
