@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from quantloom.operators import blocks
-from quantloom.operators.windows import full, order, percentile_rank, range_rank, run_lengths, trailing
+from quantloom.operators.windows import full, order, percentile_rank, range_rank, trailing
 
 #: Default parameters of each indicator (fixed values).
 DEFAULTS: dict[str, tuple[int, ...]] = {
@@ -281,21 +281,32 @@ def add(bars: DataFrame, declarations: list[str], span: str = "month", size: int
         else:
             stateful[key] = _psar(p[0] / 100, p[1] / 100) if name == "psar" else _supertrend(p[0], p[1] / 10)
 
-    def windows(rows: DataFrame) -> DataFrame:
-        for level in [*levels, first, second, third]:
-            rows = rows.withColumns(level) if level else rows
-        return rows
+    def windows(*parts: dict[str, Column]) -> Callable[[DataFrame], DataFrame]:
+        def apply(rows: DataFrame) -> DataFrame:
+            for level in parts:
+                rows = rows.withColumns(level) if level else rows
+            return rows
+
+        return apply
 
     reach = 4 + 2 * max((sum(p) for _, p in wanted), default=0)  # over the levels; more border rows change nothing
     place = {"span": span, "size": size}
-    rows = blocks.in_blocks(blocks.placed(bars, span=span), windows, reach, **place)
-    if sums:
-        rows = blocks.running(rows, sums, **place)
-        rows = rows.withColumns({k: F.when(F.col("__i") >= 1, F.col(k)) for k in sums if k == "obv"})
-    if streaks:
-        rows = run_lengths(rows, streaks, **place).withColumns({k: F.col(k).cast("double") for k in streaks})
+    placed = blocks.placed(bars, span=span)
+    rows = blocks.in_blocks(placed, windows(*levels, first, second, third), reach, **place)
+    # What reads its rows twice does so on a few columns of its own.
+    beside = []
+    if sums or streaks:
+        side = blocks.in_blocks(placed.select("symbol", "ts", "high", "low", "close", "volume", "__i"), windows(*levels), 4, **place)
+        has = {k: F.coalesce(c, F.lit(False)) for k, c in streaks.items()}
+        side = blocks.running(side, sums | {f"__{k}": ("max", F.when(~c, F.col("__i"))) for k, c in has.items()}, **place)
+        lengths = {k: F.when(c, F.col("__i") - F.coalesce(f"__{k}", F.lit(-1))).otherwise(0).cast("double") for k, c in has.items()}
+        seen = {k: F.when(F.col("__i") >= 1, F.col(k)) for k in sums if k == "obv"}
+        beside.append(side.withColumns(lengths | seen).select(F.col("symbol").alias("__s"), F.col("__i").alias("__j"), *sums, *streaks))
     for key, n in ranks.items():
-        rows = percentile_rank(rows, "close", n, key, **place)
+        side = percentile_rank(placed.select("symbol", "ts", "close", "__i"), "close", n, key, **place)
+        beside.append(side.select(F.col("symbol").alias("__s"), F.col("__i").alias("__j"), key))
+    for side in beside:
+        rows = rows.join(side, F.col("symbol").eqNullSafe(F.col("__s")) & (F.col("__i") == F.col("__j"))).drop("__s", "__j")
     out = rows.select(*bars.columns, *[column_name(name, p) for name, p in wanted if column_name(name, p) not in stateful])
     if stateful:
         # The walk reads three prices; its columns are joined to the rest (one bar a symbol and time).
